@@ -84,6 +84,6 @@ def union_all(frames) -> DataFrame:
 
 def sized_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Broadcast hint only after counting: beyond `max_rows` the plain shuffled join stays."""
-    if df.limit(max_rows + 1).count() <= max_rows:
+    if df.count() <= max_rows:
         return F.broadcast(df)
     return df

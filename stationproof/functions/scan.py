@@ -19,6 +19,10 @@ DAY_S = 86_400
 BLK = "_blk"
 
 
+def longest(sizes: DataFrame, col: str) -> int:
+    return sizes.agg(F.max(col)).first()[0] or 0
+
+
 def assign_blocks(
     df: DataFrame,
     keys: list[str],
@@ -26,22 +30,26 @@ def assign_blocks(
     seq: str = "ingest_seq",
     target: int | None = None,
     bucket_s: int = DAY_S,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Add `_blk`, a struct that is monotone in (ts, seq) within `keys`, when a series is long.
 
     Time buckets are packed into blocks of about `target` rows. A bucket that alone is far
     larger (many copies of one instant) is split by exact instant and then by sequence range,
     so no block exceeds a few times `target` even if one instant holds a third of all rows.
-    Without long series the frame is returned unchanged.
+    Without long series the frame is returned unchanged; `at_most`, a known bound on the rows
+    of any series, answers that without a job.
     """
     target = target or BLOCK_ROWS
+    if at_most is not None and at_most <= target:
+        return df
     bucket = F.floor(secs(ts) / bucket_s).cast("bigint")
-    days = df.groupBy(*keys, bucket.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
-    total = days.groupBy(*keys).agg(F.sum("_n").alias("_total")).where(F.col("_total") > target)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    if longest(sizes, "_total") <= target:
+        return df
+    hot = df.groupBy(*keys, bucket.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
     if keys:
-        hot = days.join(total.select(*keys), keys, "left_semi")
-    else:
-        hot = days.where(total.exists())
+        hot = hot.join(sizes.where(F.col("_total") > target).select(*keys), keys, "left_semi")
     before = W.partitionBy(*keys).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
     hot = hot.select(
         *keys,
@@ -49,8 +57,6 @@ def assign_blocks(
         F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / target).cast("bigint").alias("_b"),
         (F.col("_n") > 4 * target).alias("_big"),
     )
-    if hot.limit(1).count() == 0:
-        return df
     hot = sized_broadcast(hot)
     out = df.withColumn("_day", bucket).join(hot, [*keys, "_day"], "left")
     zero = F.lit(0).cast("bigint")
@@ -67,13 +73,20 @@ def assign_blocks(
 
 
 def assign_seq_blocks(
-    df: DataFrame, keys: list[str], seq: str = "ingest_seq", target: int | None = None
+    df: DataFrame,
+    keys: list[str],
+    seq: str = "ingest_seq",
+    target: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Like `assign_blocks` for scans in delivered order: sequence ranges, so always balanced."""
     target = target or BLOCK_ROWS
-    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target)
-    if big.limit(1).count() == 0:
+    if at_most is not None and at_most <= target:
+        return df
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if longest(sizes, "_n") <= target:
         return df
+    big = sizes.where(F.col("_n") > target)
     zero = F.lit(0).cast("bigint")
     big = sized_broadcast(big.select(*keys, F.lit(True).alias("_big")))
     return (

@@ -209,8 +209,8 @@ def run_audit(readings: DataFrame, materialise: bool = True, **rules) -> dict[st
     Lineage is cut behind the series table and the defect frame, the two frames that every
     section reads, so neither a lost executor nor the next section recomputes them.
     """
-    cov = coverage.build(readings, materialise)
-    absences = coverage.structural_absences(readings, cov.series)
+    cov = coverage.build(readings)
+    absences = coverage.structural_absences(readings, cov.series, cov.n_rows)
     defects = detectors.run_all(cov, **rules)
     if materialise:
         defects = state.cut(defects)

@@ -24,6 +24,7 @@ class Coverage(NamedTuple):
     readings: DataFrame
     series: DataFrame
     gap_ranges: DataFrame
+    n_rows: int | None = None
 
 
 def cells(readings: DataFrame) -> DataFrame:
@@ -33,10 +34,10 @@ def cells(readings: DataFrame) -> DataFrame:
     )
 
 
-def gaps(points: DataFrame, keys: list[str]) -> DataFrame:
+def gaps(points: DataFrame, keys: list[str], at_most: int | None = None) -> DataFrame:
     """Distances between neighbouring distinct instants: keys, prev_s, ts_s."""
     distinct = points.select(*keys, "timestamp_utc").distinct()
-    blocked = scan.assign_blocks(distinct, keys, seq=None)
+    blocked = scan.assign_blocks(distinct, keys, seq=None, at_most=at_most)
     out = scan.ordered_scan(
         blocked, keys, ["timestamp_utc"], lags={"prev_s": secs("timestamp_utc")}
     )
@@ -49,14 +50,15 @@ def infer_cadence(gap: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n")
     )
     return freq.groupBy(*keys).agg(
-        F.min_by("gap_s", F.struct(-F.col("n"), F.col("gap_s"))).alias("cadence_s")
+        F.min_by("gap_s", F.struct(-F.col("n"), F.col("gap_s"))).alias("cadence_s"),
+        (F.sum("n") + 1).alias("n_observed"),
     )
 
 
 def cadence(readings: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Cadence of every series; the default where a series has one instant only."""
     keys = keys or SERIES
-    found = infer_cadence(gaps(readings, keys), keys)
+    found = infer_cadence(gaps(readings, keys), keys).drop("n_observed")
     return (
         readings.select(*keys)
         .distinct()
@@ -80,11 +82,8 @@ def series_grid(readings: DataFrame, gap: DataFrame | None = None) -> DataFrame:
         F.stddev_pop(v).alias("v_std"),
         F.min_by("unit", first).alias("unit"),
     )
-    seen = gap.groupBy(*SERIES).agg((F.count(F.lit(1)) + 1).alias("n_observed"))
-    out = (
-        stats.join(seen, SERIES, "left")
-        .join(infer_cadence(gap, SERIES), SERIES, "left")
-        .fillna({"n_observed": 1, "cadence_s": C.DEFAULT_CADENCE_S})
+    out = stats.join(infer_cadence(gap, SERIES), SERIES, "left").fillna(
+        {"n_observed": 1, "cadence_s": C.DEFAULT_CADENCE_S}
     )
     span = secs("end") - secs("start")
     return out.withColumns(
@@ -117,12 +116,13 @@ def gap_ranges(gap: DataFrame, series: DataFrame) -> DataFrame:
     ).where("k_hi >= k_lo")
 
 
-def build(readings: DataFrame, materialise: bool = False) -> Coverage:
-    gap = gaps(readings, SERIES)
-    series = series_grid(readings, gap)
-    if materialise:
-        series = cut(series)
-    return Coverage(readings, series, gap_ranges(gap, series))
+def build(readings: DataFrame) -> Coverage:
+    """Coverage of a network. The series table, one row per series, is computed once and kept:
+    every detector reads it."""
+    n = readings.count()
+    gap = gaps(readings, SERIES, n)
+    series = cut(series_grid(readings, gap))
+    return Coverage(readings, series, gap_ranges(gap, series), n)
 
 
 def absent_ticks(ranges: DataFrame) -> DataFrame:
@@ -176,9 +176,11 @@ def parameter_domain(readings: DataFrame) -> DataFrame:
     return src.select("parameter", domain_of(F.col("source_file")).alias("domain"))
 
 
-def structural_absences(readings: DataFrame, series: DataFrame) -> DataFrame:
+def structural_absences(
+    readings: DataFrame, series: DataFrame, at_most: int | None = None
+) -> DataFrame:
     """Standard parameters a station never carried: R19 if its whole domain is missing, else R18."""
-    net = infer_cadence(gaps(readings, ["parameter"]), ["parameter"])
+    net = infer_cadence(gaps(readings, ["parameter"], at_most), ["parameter"])
     b = bounds(series.select(F.col("start").alias("timestamp_utc")).union(series.select("end")))
     start, end = (secs(b.select(c).scalar()) for c in ("global_start", "global_end"))
     standard = (

@@ -24,6 +24,7 @@ from stationproof.functions.columns import (
     steps_for_hours,
     union_all,
 )
+from stationproof.functions.state import cut
 from stationproof.operators import coverage as cov_ops
 from stationproof.operators import runs
 from stationproof.operators.coverage import Coverage
@@ -53,7 +54,7 @@ def row_absent(cov: Coverage) -> DataFrame:
 
 
 def communication_gaps(cov: Coverage, hours: int = C.GAP_HOURS) -> DataFrame:
-    r = runs.range_runs(cov.gap_ranges)
+    r = runs.range_runs(cov.gap_ranges, cov.n_rows)
     need = steps_for_hours(hours, F.col("cadence_s"))
     tick = lambda k: at_secs(F.col("start_s") + F.col(k) * F.col("cadence_s"))
     long = r.where(F.col("n_ticks") >= need).select(
@@ -81,8 +82,10 @@ def duplicate_values(readings: DataFrame) -> DataFrame:
     return readings.select(*CELL, "value", "ingest_seq").join(dup, CELL)
 
 
-def out_of_order(readings: DataFrame) -> DataFrame:
-    blocked = scan.assign_seq_blocks(readings.select(*CELL, "ingest_seq"), SERIES)
+def out_of_order(readings: DataFrame, at_most: int | None = None) -> DataFrame:
+    blocked = scan.assign_seq_blocks(
+        readings.select(*CELL, "ingest_seq"), SERIES, at_most=at_most
+    )
     seen = scan.ordered_scan(
         blocked, SERIES, ["ingest_seq"], maxs={"_max": F.col("timestamp_utc")}
     )
@@ -165,7 +168,7 @@ def row_flags(cov: Coverage, codes=ROW_CODES, bounds=None, unit_rules=None) -> D
             facts = f if facts is None else facts.join(f, SERIES, "full")
     if facts is not None:
         only_series = not {"R07", "R08"} & set(codes)
-        rows = rows.join(sized_broadcast(facts), SERIES, "inner" if only_series else "left")
+        rows = rows.join(sized_broadcast(cut(facts)), SERIES, "inner" if only_series else "left")
     lo = lookup({p: b[0] for p, b in bounds.items()}, F.col("parameter"))
     hi = lookup({p: b[1] for p, b in bounds.items()}, F.col("parameter"))
     v = F.col("value")
@@ -225,7 +228,7 @@ def detection_floor(cov: Coverage, floors=None, hours: int = C.FLOOR_HOURS) -> D
         "ingest_seq",
         F.coalesce(is_close(F.col("value"), limit), F.lit(False)).cast("int").alias("_at"),
     )
-    rows = runs.equal_value_rows(r, SERIES, "_at")
+    rows = runs.equal_value_rows(r, SERIES, "_at", at_most=cov.n_rows)
     rows = scan.drop_blocks(rows).where("_at = 1")
     lengths = rows.groupBy(*SERIES, "_run").agg(F.count(F.lit(1)).alias("run_length"))
     long = runs.with_cadence(lengths, cov.series).where(
@@ -273,7 +276,7 @@ def step_change(cov: Coverage, bounds=None, floors=None, k=C.CUSUM_K, h=C.CUSUM_
         .where((F.col("_n") >= C.CUSUM_MIN_POINTS) & (F.col("_lo") < F.col("_hi")))
         .drop("_lo", "_hi")
     )
-    rows = scan.assign_blocks(scope, SERIES).join(stats, SERIES)
+    rows = scan.assign_blocks(scope, SERIES, at_most=cov.n_rows).join(stats, SERIES)
     z = (v - F.col("_mean")) / F.col("_std")
     order = ["timestamp_utc", "ingest_seq"]
     rows = scan.ordered_scan(
@@ -321,10 +324,12 @@ def step_change(cov: Coverage, bounds=None, floors=None, k=C.CUSUM_K, h=C.CUSUM_
     )
 
 
-def structural(readings: DataFrame, series: DataFrame, absences: DataFrame | None = None) -> DataFrame:
-    gone = cov_ops.structural_absences(readings, series) if absences is None else absences
+def structural(cov: Coverage, absences: DataFrame | None = None) -> DataFrame:
+    series = cov.series
+    if absences is None:
+        absences = cov_ops.structural_absences(cov.readings, series, cov.n_rows)
     anchor = series.agg(F.min("start")).scalar()
-    return gone.select(
+    return absences.select(
         *SERIES,
         anchor.alias("timestamp_utc"),
         "reason_code",
@@ -356,12 +361,12 @@ def run_all(cov: Coverage, bounds=None, unit_rules=None, floors=None, rules=C.CR
             row_absent(cov),
             communication_gaps(cov),
             duplicate_timestamps(r),
-            out_of_order(r),
+            out_of_order(r, cov.n_rows),
             row_flags(cov, ROW_CODES, bounds, unit_rules),
             cross_parameter(r, rules),
             detection_floor(cov, floors),
             step_change(cov, bounds, floors),
-            structural(r, cov.series),
+            structural(cov),
             dead_sensors(cov.series),
         ]
     )

@@ -12,10 +12,12 @@ from stationproof.functions.columns import SERIES, secs
 ORDER = ["timestamp_utc", "ingest_seq"]
 
 
-def equal_value_rows(df: DataFrame, keys: list[str], value: str, order=None) -> DataFrame:
+def equal_value_rows(
+    df: DataFrame, keys: list[str], value: str, order=None, at_most: int | None = None
+) -> DataFrame:
     """Rows with `_run`, the number of their run of equal values; a null is a run of its own."""
     v = F.col(value)
-    blocked = scan.assign_blocks(df, keys)
+    blocked = scan.assign_blocks(df, keys, at_most=at_most)
     return scan.islands(
         blocked,
         keys,
@@ -35,9 +37,11 @@ def equal_value_runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def consecutive_runs(points: DataFrame, keys: list[str], cadence_s: str = "cadence_s") -> DataFrame:
+def consecutive_runs(
+    points: DataFrame, keys: list[str], cadence_s: str = "cadence_s", at_most: int | None = None
+) -> DataFrame:
     """Runs of distinct instants spaced exactly one cadence; needs a cadence column."""
-    blocked = scan.assign_blocks(points, keys, seq=None)
+    blocked = scan.assign_blocks(points, keys, seq=None, at_most=at_most)
     rows = scan.islands(
         blocked,
         keys,
@@ -66,7 +70,7 @@ def episodes(defects: DataFrame, series: DataFrame, extra: list[str] | None = No
     return consecutive_runs(with_cadence(points, series), keys).drop("_run")
 
 
-def range_runs(ranges: DataFrame) -> DataFrame:
+def range_runs(ranges: DataFrame, at_most: int | None = None) -> DataFrame:
     """Runs of absent ticks from tick ranges: neighbours merge where no grid tick was observed."""
     keys = [*SERIES, "start_s", "cadence_s"]
     pts = ranges.withColumn(
@@ -74,7 +78,7 @@ def range_runs(ranges: DataFrame) -> DataFrame:
         F.timestamp_seconds(F.col("start_s") + F.col("k_lo") * F.col("cadence_s")).cast("timestamp_ntz"),
     )
     rows = scan.islands(
-        scan.assign_blocks(pts, SERIES, seq=None),
+        scan.assign_blocks(pts, SERIES, seq=None, at_most=at_most),
         SERIES,
         ["timestamp_utc"],
         lambda: F.col("_ph").isNull() | (F.col("k_lo") != F.col("_ph") + 1),

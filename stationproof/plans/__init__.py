@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("q_audit",)
+FAMILIES = ("q_audit", "q_trust")
 
 
 def load():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stationproof import registry
 from stationproof.functions.columns import CELL, SERIES, humanise, secs, steps_for_hours
+from stationproof.functions.state import cut
 from stationproof.operators import audit, canonical, coverage, detectors, runs
 from stationproof.plans import oracle as O
 from stationproof.plans import views
@@ -132,7 +133,7 @@ def f6(spark, sf):
         [
             detectors.communication_gaps(c),
             detectors.row_flags(c, ("R12", "R13")),
-            detectors.structural(c.readings, c.series),
+            detectors.structural(c),
             detectors.dead_sensors(c.series),
         ]
     )
@@ -206,7 +207,7 @@ def v6(spark, sf):
 @query("v7_structural_absence", "SELECT * FROM structural")
 def v7(spark, sf):
     c = cov(spark, sf)
-    return coverage.structural_absences(c.readings, c.series)
+    return coverage.structural_absences(c.readings, c.series, c.n_rows)
 
 
 @query(
@@ -228,7 +229,7 @@ O.cte(
 @query("v9_cell_totals", "SELECT *, n_covered_cells + n_excluded_cells AS n_expected_cells FROM totals")
 def v9(spark, sf):
     c = cov(spark, sf)
-    return coverage.totals(c, coverage.structural_absences(c.readings, c.series))
+    return coverage.totals(c, coverage.structural_absences(c.readings, c.series, c.n_rows))
 
 
 # --- runs --------------------------------------------------------------------------------------
@@ -259,7 +260,7 @@ def u2(spark, sf):
 @query("u3_fault_episodes", "SELECT * FROM episode")
 def u3(spark, sf):
     c = cov(spark, sf)
-    return runs.episodes(detectors.run_all(c, **RULES), c.series)
+    return runs.episodes(cut(detectors.run_all(c, **RULES)), c.series)
 
 
 @query(
@@ -386,7 +387,7 @@ def d13(spark, sf):
 def d14(spark, sf):
     c = cov(spark, sf)
     return shown(
-        detectors.structural(c.readings, c.series),
+        detectors.structural(c),
         reason_code=F.col("reason_code"),
         domain=ev("domain"),
         excluded_cells=ev("excluded_cells", "bigint"),
@@ -445,7 +446,7 @@ def a2(spark, sf):
 )
 def a4(spark, sf):
     c = cov(spark, sf)
-    return audit.coverage_summary(c, coverage.structural_absences(c.readings, c.series))
+    return audit.coverage_summary(c, coverage.structural_absences(c.readings, c.series, c.n_rows))
 
 
 @query(

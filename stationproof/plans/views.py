@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationproof.functions.columns import at_secs, secs
+from stationproof.functions.columns import at_secs, literal_table, secs
 
 UNIT_RULES = {"CO2": ("ug/m3", "ppm", 300.0, 10000.0)}
 FLOORS = {"NO": (0.7, "ug/m3")}
@@ -17,6 +17,19 @@ PARAMETERS = [
     "PM10", "CO2", "PM2.5", "O3", "NO", "NO2", "Wind_Direction", "Humidity", "Wind_Speed", "Pressure",
 ]
 TICK_S = 21600
+# event type, user group -> parameter, unit, and value = base + v * mul / div
+CHANNELS = (
+    ("view", 0, "PM10", "ug/m3", 0, 10, 1),
+    ("view", 1, "CO2", "ppm", 400, 5, 1),
+    ("click", 0, "PM2.5", "ug/m3", 0, 2, 1),
+    ("click", 1, "O3", "ug/m3", 0, 1, 1),
+    ("purchase", 0, "NO", "ug/m3", 0, 1, 5),
+    ("purchase", 1, "NO2", "ug/m3", 0, 1, 1),
+    ("signup", 0, "Wind_Direction", "degrees", 0, 7, 1),
+    ("signup", 1, "Humidity", "percent", 0, 1, 3),
+    ("error", 0, "Wind_Speed", "m/s", 0, 1, 10),
+    ("error", 1, "Pressure", "mbar", 1000, 1, 10),
+)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,44 +50,25 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
     b = e.select(
         "event_id",
         (F.col("user_id") % 10).cast("int").alias("i"),
-        (F.floor(F.col("user_id") / 10) % 2).alias("g"),
+        (F.floor(F.col("user_id") / 10) % 2).cast("int").alias("g"),
         F.col("event_type").alias("e"),
         F.col("value").alias("v"),
         tick.alias("timestamp_utc"),
     )
-    kind = F.col("e")
-    first = F.col("g") == 0
-    pick = lambda a, c: F.when(first, a).otherwise(c)
-    b = b.withColumn(
-        "parameter",
-        F.when(kind == "view", pick("PM10", "CO2"))
-        .when(kind == "click", pick("PM2.5", "O3"))
-        .when(kind == "purchase", pick("NO", "NO2"))
-        .when(kind == "signup", pick("Wind_Direction", "Humidity"))
-        .otherwise(pick("Wind_Speed", "Pressure")),
-    )
+    b = b.join(literal_table(spark, CHANNELS, "e string, g int, parameter string, unit string, base double, mul double, div double"), ["e", "g"])
     p, i, v, ts = F.col("parameter"), F.col("i"), F.col("v"), F.col("timestamp_utc")
     day = lambda d: F.lit(d).cast("timestamp_ntz")
     value = (
-        F.when(p == "PM10", F.when(i == 3, F.lit(30.0) + v * 0.001).otherwise(v * 10))
-        .when(p == "CO2", F.lit(400.0) + v * 5)
-        .when(p == "PM2.5", F.when(F.col("event_id") % 53 == 0, -1.0).otherwise(v * 2))
-        .when(p == "O3", F.when((i == 1) & (ts >= day("2024-01-16 00:00:00")), v + 150).otherwise(v))
-        .when(p == "NO", F.when(v < 10, 0.7).otherwise(v / 5))
-        .when(p == "NO2", F.when(i == 0, 5.0).otherwise(v))
+        F.when((p == "PM10") & (i == 3), F.lit(30.0) + v * 0.001)
+        .when((p == "PM2.5") & (F.col("event_id") % 53 == 0), -1.0)
+        .when((p == "O3") & (i == 1) & (ts >= day("2024-01-16 00:00:00")), v + 150)
+        .when((p == "NO") & (v < 10), 0.7)
+        .when((p == "NO2") & (i == 0), 5.0)
         .when(p == "Wind_Direction", (v * 7) % 360)
-        .when(p == "Wind_Speed", v / 10)
-        .when(p == "Humidity", F.when(F.col("event_id") % 41 == 0, None).otherwise(v / 3))
-        .otherwise(F.lit(1000.0) + v / 10)
-    )
-    unit = (
-        F.when(p == "CO2", F.when(i == 1, "ug/m3").otherwise("ppm"))
-        .when(p == "Wind_Direction", "degrees")
-        .when(p == "Wind_Speed", "m/s")
-        .when(p == "Humidity", "percent")
-        .when(p == "Pressure", "mbar")
-        .otherwise("ug/m3")
+        .when((p == "Humidity") & (F.col("event_id") % 41 == 0), None)
+        .otherwise(F.col("base") + v * F.col("mul") / F.col("div"))
     )
+    unit = F.when((p == "CO2") & (i == 1), "ug/m3").otherwise(F.col("unit"))
     station = F.concat(F.lit("STA-"), F.lpad((i + 1).cast("string"), 2, "0"))
     wind = p.isin("Wind_Direction", "Wind_Speed")
     return b.where(
@@ -149,6 +143,9 @@ def counters(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("TC-"), F.col("c").cast("string")).alias("counter_id"),
         F.lit("qty").alias("parameter"),
         at_secs(d * 86400).alias("timestamp_utc"),
-        (total - F.when(ln == 3, 60).otherwise(0)).cast("double").alias("cumulative"),
+        F.when(F.col("c") == 9, 100)
+        .otherwise(total - F.when(ln == 3, 60).otherwise(0))
+        .cast("double")
+        .alias("cumulative"),
         ((d + late) * F.lit(1 << 38) + F.col("l_orderkey") * 16 + ln).cast("bigint").alias("ingest_seq"),
     )

@@ -74,7 +74,7 @@ def main(sf, names):
         try:
             ok, msg = compare(spark, con, name, q[name], o.get(name), sf)
         except Exception as e:  # noqa: BLE001
-            ok, msg = False, "".join(traceback.format_exception_only(e))[:1500]
+            ok, msg = False, "".join(traceback.format_exception_only(e)).splitlines()[0][:600]
         print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - t:.1f}s {msg}", flush=True)
         if not ok:
             bad.append(name)
