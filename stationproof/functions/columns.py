@@ -87,3 +87,20 @@ def sized_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     if df.count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def dense(left: DataFrame, right: DataFrame, key: str, shards: int = 64) -> DataFrame:
+    """Every left row with every right row, for results that are defined as that.
+
+    The right side is repeated over a fixed number of shards of the left side, so this is a
+    hash join whose tasks each hold one shard, not a Cartesian product.
+    """
+    a = left.withColumn("_shard", F.pmod(F.xxhash64(key), F.lit(shards)))
+    b = right.withColumn("_shard", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(shards)])))
+    return a.join(b, "_shard").drop("_shard")
+
+
+def one_row(df: DataFrame, other: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row frame."""
+    cols = {c: other.select(c).scalar() for c in other.columns}
+    return df.withColumns(cols)

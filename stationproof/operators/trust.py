@@ -234,7 +234,7 @@ def cross_sensor(readings: DataFrame, series: DataFrame, c: Clock) -> DataFrame:
     against = (
         F.when(few, 0)
         .when(F.col("frozen"), F.col("n_peers"))
-        .when(F.col("rho") < C.DISAGREE_RHO, F.col("n_valid"))
+        .when(F.round("rho", 9) < C.DISAGREE_RHO, F.col("n_valid"))
         .otherwise(0)
     )
     lacking = few | (~F.col("frozen") & F.col("rho").isNull())

@@ -264,7 +264,7 @@ O.cte(
   LEFT JOIN (SELECT station_id, parameter, count(*) AS np FROM pr GROUP BY ALL) USING (station_id, parameter)
   LEFT JOIN (SELECT station_id, parameter, k, avg(rho) AS rho, count(*) AS nv FROM rhos GROUP BY ALL) USING (station_id, parameter, k)""",
     cross1="""SELECT station_id, k, avg(sc) AS sc, count(sc) AS n_scored, sum(dis)::BIGINT AS n_disagree, bool_or(lack) AS lack FROM (SELECT *,
-  CASE WHEN np < 2 THEN NULL WHEN frozen THEN 0.0 ELSE (rho + 1) / 2 END AS sc, CASE WHEN np < 2 THEN 0 WHEN frozen THEN np WHEN rho < 0.3 THEN nv ELSE 0 END AS dis,
+  CASE WHEN np < 2 THEN NULL WHEN frozen THEN 0.0 ELSE (rho + 1) / 2 END AS sc, CASE WHEN np < 2 THEN 0 WHEN frozen THEN np WHEN round(rho, 9) < 0.3 THEN nv ELSE 0 END AS dis,
   np < 2 OR (NOT frozen AND rho IS NULL) AS lack FROM cross0) GROUP BY ALL""",
     t_cross="""SELECT station_id, k, coalesce(sc, 0.5) AS consistency, coalesce(n_scored, 0) AS n_scored, coalesce(n_disagree, 0) AS n_disagree,
   coalesce(n_scored = 0 OR lack, true) AS few_peers FROM stk LEFT JOIN cross1 USING (station_id, k)""",
@@ -281,8 +281,8 @@ O.cte(
   CASE WHEN few_peers THEN 'T05' END, CASE WHEN implausible THEN 'T04' END) AS codes
   FROM stk JOIN t_health USING (station_id, k) JOIN t_imp USING (station_id, k) JOIN t_cross USING (station_id, k) JOIN t_plaus USING (station_id, k)
   LEFT JOIN t_sev1 USING (station_id, k) LEFT JOIN layer USING (station_id)""",
-    tfinal="""SELECT station_id, timestamp_utc, round(least(greatest(c1 + c2 + c3 + c4, 0), 1), 5) AS trust, CASE WHEN codes = '' THEN 'T00' ELSE codes END AS reason_codes,
-  round((c1 + c2 + c3 + c4) * severity * x, 5) AS risk, round(severity, 6) AS severity_vs_threshold, x::DOUBLE AS population_exposure, NOT coalesce(measured, false) AS stubbed, * EXCLUDE (station_id, timestamp_utc) FROM tscore""",
+    tfinal="""SELECT station_id, timestamp_utc, round(least(greatest(c1 + c2 + c3 + c4, 0), 1), 6) AS trust, CASE WHEN codes = '' THEN 'T00' ELSE codes END AS reason_codes,
+  round(round((c1 + c2 + c3 + c4) * severity * x, 6), 4) AS risk, round(severity, 6) AS severity_vs_threshold, x::DOUBLE AS population_exposure, NOT coalesce(measured, false) AS stubbed, * EXCLUDE (station_id, timestamp_utc) FROM tscore""",
 )
 
 
@@ -360,7 +360,7 @@ def scores(spark, sf):
 @query("t9_trust_score", "SELECT station_id, timestamp_utc, trust, reason_codes FROM tfinal")
 def t9(spark, sf):
     return scores(spark, sf).select(
-        "station_id", "timestamp_utc", F.round("trust", 5).alias("trust"), F.concat_ws("|", "reason_codes").alias("reason_codes")
+        "station_id", "timestamp_utc", F.round("trust", 6).alias("trust"), F.concat_ws("|", "reason_codes").alias("reason_codes")
     )
 
 
@@ -369,7 +369,7 @@ def t10(spark, sf):
     return scores(spark, sf).select(
         "station_id",
         "timestamp_utc",
-        F.round("risk.value", 5).alias("risk"),
+        F.round("risk.value", 4).alias("risk"),
         F.round("risk.severity_vs_threshold", 6).alias("severity_vs_threshold"),
         "risk.population_exposure",
         F.col("risk.population_exposure_stubbed").alias("stubbed"),
@@ -378,7 +378,7 @@ def t10(spark, sf):
 
 @query(
     "t11_trust_components",
-    """SELECT station_id, timestamp_utc, name, round(value, 6) AS value, round(contribution, 5) AS contribution FROM (
+    """SELECT station_id, timestamp_utc, name, round(value, 6) AS value, round(contribution, 6) AS contribution FROM (
   SELECT station_id, timestamp_utc, 'HealthConf' AS name, health AS value, c1 AS contribution FROM tfinal UNION ALL SELECT station_id, timestamp_utc, 'ImputationCertainty', certainty, c2 FROM tfinal
   UNION ALL SELECT station_id, timestamp_utc, 'CrossSensorConsistency', consistency, c3 FROM tfinal UNION ALL SELECT station_id, timestamp_utc, 'PhysicalPlausibility', plausibility, c4 FROM tfinal)""",
 )
@@ -387,7 +387,7 @@ def t11(spark, sf):
         scores(spark, sf)
         .select("station_id", "timestamp_utc", F.inline("components"))
         .select(
-            "station_id", "timestamp_utc", "name", F.round("value", 6).alias("value"), F.round("contribution", 5).alias("contribution")
+            "station_id", "timestamp_utc", "name", F.round("value", 6).alias("value"), F.round("contribution", 6).alias("contribution")
         )
     )
 
