@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("q_audit", "q_trust", "q_graph", "q_models", "q_ops")
+FAMILIES = ("q_audit", "q_trust", "q_graph", "q_models", "q_ops", "q_learn")
 
 
 def load():
