@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stationproof import config as C
 from stationproof.functions import geo
+from stationproof.functions.state import cut
 
 
 def stop_points(stops: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def nearest(
 ) -> DataFrame:
     """The k nearest points (point_id, p_lat, p_lon) of every station, ties by id.
 
-    The search radius doubles for stations that have fewer than k points inside it; a station
+    The search radius grows for stations that have fewer than k points inside it; a station
     is settled once k points lie within the radius, because nothing outside can be nearer.
     """
     todo = stations.select("station_id", "lat", "lon")
@@ -91,13 +92,14 @@ def nearest(
         best = pairs.select("station_id", "point_id", "distance_km").withColumn(
             "rank", F.row_number().over(w)
         )
-        best = best.where(F.col("rank") <= k)
+        # every round is written, so a later round never repeats an earlier one
+        best = cut(best.where(F.col("rank") <= k))
         full = best.groupBy("station_id").count().where(F.col("count") >= min(k, n_points))
         found.append(best.join(full.select("station_id"), "station_id", "left_semi"))
-        todo = todo.join(full.select("station_id"), "station_id", "left_anti")
-        if last or n_points == 0 or todo.count() == 0:
+        todo = cut(todo.join(full.select("station_id"), "station_id", "left_anti"))
+        if last or n_points == 0 or todo.isEmpty():
             break
-        radius *= 2
+        radius *= 4
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
