@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers as tokenizers_dir
 from pyspark.sql import DataFrame, SparkSession
 
-from stationproof.llm import pieces
+from stationproof.functions.state import checkpoint_dir
+from stationproof.llm import pieces, token_file
 from stationproof.llm.common import documents
 
 
@@ -13,7 +16,14 @@ def op7_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.digests(pieces.encode(documents(spark, sf), tokenizers_dir.path("piece_bpe_32k.model"), keep=["doc_id"]))
 
 
+def op10_token_file(spark: SparkSession, sf: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/token-files/{uuid.uuid4().hex}"
+    token_file.write(documents(spark, sf), folder, tokenizers_dir.path("word_bpe_49k.json"), end_id=2)
+    return token_file.read(spark, folder)
+
+
 QUERIES = {
     "op7_sentencepiece": op7_sentencepiece,
+    "op10_token_file": op10_token_file,
 }
 ORACLE: dict[str, str] = {}
