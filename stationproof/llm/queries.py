@@ -8,10 +8,14 @@ import public_tokenizers as tokenizers_dir
 from pyspark.sql import DataFrame, SparkSession
 
 from stationproof.functions.state import checkpoint_dir
-from stationproof.llm import pieces, token_file
+from stationproof.llm import decontaminate, pieces, token_file, twins
 from stationproof.llm.common import documents
 
 
+def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.report(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.digests(pieces.encode(documents(spark, sf), tokenizers_dir.path("piece_bpe_32k.model"), keep=["doc_id"]))
 
@@ -23,7 +27,10 @@ def op10_token_file(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op7_sentencepiece": op7_sentencepiece,
     "op10_token_file": op10_token_file,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_decontaminate": twins.DECONTAMINATE,
+}
