@@ -3,7 +3,7 @@
 Words are lower-cased (A-Z) runs of ASCII digits, letters and non-ASCII characters. An item gives every window of `n`
 consecutive words; an item of fewer words, but not none, is one window. A document word is hit when it lies inside an
 occurrence of a window. Only built-in functions run: each document's words are split once, every window length that occurs
-becomes an array of 64-bit window hashes, and one generator row a window meets the broadcast hash set in the same stage; a
+becomes an array of 64-bit window hashes (exploded as outer, so that the planner repeats none of this in a filter), and one generator row a window meets the broadcast hash set in the same stage; a
 hash hit counts only when the words agree. What reaches the one shuffle is a row a document and partial sets of its hits.
 
 The set of windows is broadcast only while its counted rows stay under `BROADCAST_WINDOWS`; beyond it, the planner joins by
@@ -49,7 +49,7 @@ def windows(items: DataFrame, n: int = 10, id_col: str = "item_id", text_col: st
     """One row for each distinct window: k, h (hash), w (its words), set_id and the items that hold it."""
     split = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("ws")).where(F.size("ws") > 0)
     sized = split.withColumn("k", F.least(F.size("ws"), F.lit(n)))
-    at = F.explode(F.sequence(F.lit(1), F.size("ws") - F.col("k") + 1)).alias("i")
+    at = F.explode_outer(F.sequence(F.lit(1), F.size("ws") - F.col("k") + 1)).alias("i")
     each = sized.select("item", "ws", "k", at).select("item", "k", F.slice("ws", F.col("i"), F.col("k")).alias("w"))
     held = each.groupBy("k", "w").agg(F.sort_array(F.collect_set("item")).alias("items"))
     return held.select("k", F.xxhash64("w").alias("h"), "w", F.sha2(F.to_json("items"), 256).alias("set_id"), "items")
@@ -70,7 +70,7 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
         total = total + F.greatest(count - (k - 1), F.lit(0))
         ends.append((k, total))
     hashed = base.withColumn("hs", F.concat(F.array(F.lit(0).cast("long")), *[_hashes("ws", count, k) for k in lengths]))
-    spread = hashed.select("doc_id", "text_hash", "n_words", "ws", F.posexplode("hs").alias("p", "h"))
+    spread = hashed.select("doc_id", "text_hash", "n_words", "ws", F.posexplode_outer("hs").alias("p", "h"))
     length, start = F.lit(None).cast("int"), F.lit(None).cast("int")
     for (k, end), before in reversed(list(zip(ends, [F.lit(0), *[e for _, e in ends]]))):
         length = F.when(F.col("p") <= end, F.lit(k)).otherwise(length)
