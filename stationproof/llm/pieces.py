@@ -16,6 +16,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationproof.llm.common import map_text, sha
+from stationproof.llm.words import Recent
 
 MARK = "▁"
 LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
@@ -32,8 +34,8 @@ SEGMENT = re.compile(rf"\n|{MARK}+(?:(?!{LETTER})[^{MARK}\n])*{LETTER}*|(?:(?!{L
 CROSSES = re.compile(rf"[^{MARK}]{MARK}|{LETTER}(?!{LETTER})(?!$)|\n")
 #: Up to this many characters the agenda is a list.
 SHORT = 40
-#: Segments kept by one Python worker: two generations of this size.
-CACHE = 500_000
+#: Segments that one Python worker keeps in each of two generations, some 230 bytes each.
+KEPT = 1_000_000
 
 _CODECS: dict[int, "Codec"] = {}
 
@@ -67,8 +69,8 @@ class Codec:
         text |= {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
         text |= {i: (" ⁇ ".encode() if lib.is_unknown(i) else b"") for i in range(size) if i not in text}
         self.bytes_of = text
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.head = len(lib.encode("\n"))
+        self.known = Recent(KEPT)
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment, by the agenda."""
@@ -129,41 +131,24 @@ class Codec:
                     heapq.heappush(agenda, (-score[found], h, i, symbols[h] + piece))
         return [s for s in symbols if s is not None]
 
-    def learn(self, segments: set[str]) -> None:
-        """Merge new segments and check them against the library."""
-        if len(self.young) + len(segments) > CACHE:
-            self.old, self.young = self.young, {}
-        fresh = []
-        for s in segments - self.young.keys():
-            known = self.old.get(s)
-            if known is None:
-                fresh.append(s)
-            else:
-                self.young[s] = known
+    def learn(self, segments: list[str]) -> list[bytes]:
+        """Ids of segments not met before, checked against the library."""
         # The library puts one mark before each text, so a segment that begins with one gives that up here; others get
-        # a line feed in front, which never merges, and lose those two ids again.
-        asked = [s[1:].replace(MARK, " ") if s[0] == MARK and len(s) > 1 else "\n" + s.replace(MARK, " ") for s in fresh]
-        head = len(self.library.encode("\n"))
-        for s, a, theirs in zip(fresh, asked, self.library.encode(asked, num_threads=1)):
+        # a line feed in front, which never merges, and lose its ids again.
+        asked = [s[1:].replace(MARK, " ") if s[0] == MARK and len(s) > 1 else "\n" + s.replace(MARK, " ") for s in segments]
+        made = []
+        for s, a, theirs in zip(segments, asked, self.library.encode(asked, num_threads=1)):
             own = self.merge(s)
-            if own != (theirs if a[0] != "\n" or s[:1] == MARK and len(s) > 1 else theirs[head:]):
+            if own != (theirs if a[0] != "\n" or s[0] == MARK and len(s) > 1 else theirs[self.head :]):
                 raise AssertionError(f"segment {s!r}: {own} differs from the library's {theirs}")
-            self.young[s] = np.array(own, dtype="<i4").tobytes()
+            made.append(array("i", own).tobytes())
+        return made
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         split = [SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set(chain.from_iterable(split)) - self.young.keys()
-        if new:
-            self.learn(new)
-        of = self.young
-        if len(of) < len(new):
-            raise AssertionError("segments went missing")
-        try:
-            return [b"".join(map(of.__getitem__, s)) for s in split]
-        except KeyError:  # the generations changed under this batch: learn the batch's segments anew
-            self.learn(set(chain.from_iterable(split)))
-            return [b"".join(map(self.young.__getitem__, s)) for s in split]
+        of = self.known.ensure(set(chain.from_iterable(split)), self.learn)
+        return [b"".join(map(of.__getitem__, s)) for s in split]
 
     def decode(self, ids: list[int]) -> str:
         if not self.control.isdisjoint(ids):

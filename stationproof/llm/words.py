@@ -16,7 +16,7 @@ class Recent:
 
     def ensure(self, keys: set, make: Callable[[list], list]) -> dict:
         """A mapping that holds every one of `keys`; `make` gives the values of those not remembered."""
-        wanted = keys - self.young.keys()
+        wanted = keys.difference(self.young)
         if len(self.young) + len(wanted) > self.limit:
             self.young, self.old = {}, self.young
             wanted = keys
