@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers_dir
 from pyspark.sql import DataFrame, SparkSession
 
 from stationproof.functions.state import checkpoint_dir
-from stationproof.llm import decontaminate, pieces, token_file, twins
+from stationproof.llm import decontaminate, pieces, secrets, token_file, twins
 from stationproof.llm.common import documents
 
 
@@ -20,6 +20,11 @@ def op7_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.digests(pieces.encode(documents(spark, sf), tokenizers_dir.path("piece_bpe_32k.model"), keep=["doc_id"]))
 
 
+def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    return secrets.report(docs, secrets.train(secrets.samples(docs)))
+
+
 def op10_token_file(spark: SparkSession, sf: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/token-files/{uuid.uuid4().hex}"
     token_file.write(documents(spark, sf), folder, tokenizers_dir.path("word_bpe_49k.json"), end_id=2)
@@ -29,6 +34,7 @@ def op10_token_file(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op7_sentencepiece": op7_sentencepiece,
+    "op9_secrets": op9_secrets,
     "op10_token_file": op10_token_file,
 }
 ORACLE: dict[str, str] = {
