@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers_dir
 from pyspark.sql import DataFrame, SparkSession
 
 from stationproof.functions.state import checkpoint_dir
-from stationproof.llm import decontaminate, pieces, secrets, token_file, twins
+from stationproof.llm import decontaminate, licenses, pieces, secrets, token_file, twins
 from stationproof.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
+def op3_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.report(licenses.scan(documents(spark, sf), keep=["doc_id"]))
+
+
 def op7_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.digests(pieces.encode(documents(spark, sf), tokenizers_dir.path("piece_bpe_32k.model"), keep=["doc_id"]))
 
@@ -33,6 +37,7 @@ def op10_token_file(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_licenses": op3_licenses,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_secrets": op9_secrets,
     "op10_token_file": op10_token_file,
