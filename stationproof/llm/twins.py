@@ -19,3 +19,30 @@ SELECT d.doc_id, cast(len(d.ws) AS bigint) AS n_words, cast(coalesce(n_hit, 0) A
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (r) LEFT JOIN named USING (r)
 """
+
+NEAR_DEDUP = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT r, w FROM (
+    SELECT r, ws[p] || ' ' || ws[p + 1] AS w FROM (SELECT r, ws, unnest(range(1, len(ws))) AS p FROM d WHERE len(ws) > 1)
+    UNION ALL SELECT r, ws[1] FROM d WHERE len(ws) = 1)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+-- Any pair that reaches 80 of 100 shares one of the rarest fifth (and one more) of either set.
+f AS (SELECT w, count(*) AS c FROM s GROUP BY w),
+prefix AS (
+  SELECT r, w FROM (SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY c, w) AS k, n FROM s JOIN f USING (w) JOIN n USING (r))
+  WHERE k <= n - ((80 * n + 99) // 100) + 1),
+maybe AS (SELECT DISTINCT a.r AS a, b.r AS b FROM prefix a JOIN prefix b ON a.w = b.w AND a.r < b.r),
+links AS (
+  SELECT a, b FROM (
+    SELECT a, b, count(*) AS shared FROM maybe JOIN s x ON x.r = a JOIN s y ON y.r = b AND y.w = x.w GROUP BY a, b)
+  JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
+either AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, either.b FROM reach JOIN either ON reach.b = either.a),
+least AS (SELECT reach.a AS r, min(t.doc_id) AS component_id FROM reach JOIN d t ON t.r = reach.b GROUP BY reach.a)
+SELECT d.doc_id, cast(coalesce(n.n, 0) AS bigint) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN least USING (r) LEFT JOIN n USING (r)
+"""
