@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers_dir
 from pyspark.sql import DataFrame, SparkSession
 
 from stationproof.functions.state import checkpoint_dir
-from stationproof.llm import decontaminate, licenses, near_dedup, pieces, secrets, token_file, twins
+from stationproof.llm import decontaminate, licenses, near_dedup, neighbours, pieces, quality, secrets, token_file, twins
 from stationproof.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op3_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.report(licenses.scan(documents(spark, sf), keep=["doc_id"]))
 
 
+def op5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.report(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 def op6_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf), width=2, percent=80).drop("text_hash")
 
@@ -28,6 +32,11 @@ def op7_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.digests(pieces.encode(documents(spark, sf), tokenizers_dir.path("piece_bpe_32k.model"), keep=["doc_id"]))
 
 
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    return quality.score(docs, *quality.train(docs), keep=["doc_id"])
+
+
 def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
     return secrets.report(docs, secrets.train(secrets.samples(docs)))
@@ -42,8 +51,10 @@ def op10_token_file(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_licenses": op3_licenses,
+    "op5_neighbours": op5_neighbours,
     "op6_near_dedup": op6_near_dedup,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_token_file": op10_token_file,
 }
