@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import corpus_pipeline
 import public_tokenizers as tokenizers_dir
 from pyspark.sql import DataFrame, SparkSession
 
 from stationproof.functions.state import checkpoint_dir
-from stationproof.llm import decontaminate, licenses, near_dedup, neighbours, pieces, quality, secrets, token_file, twins
+from stationproof.llm import class_lm, decontaminate, licenses, near_dedup, neighbours, pieces, quality, secrets, token_counts, token_file, twins
 from stationproof.llm.common import documents
 
 
@@ -16,10 +17,18 @@ def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
+def op2_class_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return class_lm.score(documents(spark, sf))
+
+
 def op3_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.report(licenses.scan(documents(spark, sf), keep=["doc_id"]))
 
 
+def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf), tokenizers_dir.path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def op5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.report(spark.read.parquet(f"{sf}/embeddings.parquet"))
 
@@ -50,13 +59,16 @@ def op10_token_file(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_class_lm": op2_class_lm,
     "op3_licenses": op3_licenses,
+    "op4_token_counts": op4_token_counts,
     "op5_neighbours": op5_neighbours,
     "op6_near_dedup": op6_near_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_token_file": op10_token_file,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {
     "op1_decontaminate": twins.DECONTAMINATE,
