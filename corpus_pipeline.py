@@ -16,8 +16,7 @@ WIDTH, PERCENT = 5, 80
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly trained scorer does not reject."""
-    scored = quality.score(docs, *quality.train(docs))
-    return scored.where("keep").select(*docs.columns)
+    return quality.accepted(docs, *quality.train(docs))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stationproof.functions.columns import sized_broadcast
+from stationproof.llm.common import stored
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A window's row is its hash, its words and a set id: about 200 bytes, so at most some 100 MB are broadcast.
@@ -113,24 +116,26 @@ def report(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     return h.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def _with_spans(docs: DataFrame, items: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    found = hits(docs, items, n).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("spans").alias("_spans"))
-    return docs, found.dropDuplicates(["_d", "_h"])
+def _found(docs: DataFrame, items: DataFrame, n: int) -> tuple[DataFrame, Column]:
+    """Documents with hits, broadcast while their counted rows are few, and the condition that joins them to `docs`."""
+    spans = hits(docs, items, n).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.first("spans").alias("_s"))
+    found = stored(spans, "hits")
+    return sized_broadcast(found), docs["doc_id"].eqNullSafe(found["_d"]) & (F.xxhash64(docs["text"]) == found["_h"])
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """The documents without any hit, with all their columns."""
-    docs, found = _with_spans(docs, items, n)
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_d"]) & (F.xxhash64(docs["text"]) == found["_h"]), "left_anti")
+    found, same = _found(docs, items, n)
+    return docs.join(found, same, "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """All documents; hit words are cut from `text` together with the gap before each."""
-    docs, found = _with_spans(docs, items, n)
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_d"]) & (F.xxhash64(docs["text"]) == found["_h"]), "left")
-    one_case = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    pieces = F.regexp_extract_all(docs["text"], F.lit(f"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*{one_case}+"), F.lit(0))
-    left = F.filter(pieces, lambda _, i: ~F.exists(F.col("_spans"), lambda s: (i >= s["start"]) & (i < s["start"] + s["k"])))
-    tail = F.regexp_extract(docs["text"], r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)$", 1)
-    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(F.concat(F.array_join(left, ""), tail))
+    found, same = _found(docs, items, n)
+    joined = docs.join(found, same, "left")
+    gap, letter = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    parts = F.regexp_extract_all(docs["text"], F.lit(f"{gap}*{letter}+"), F.lit(0))
+    left = F.filter(parts, lambda _, i: ~F.exists(found["_s"], lambda s: (i >= s["start"]) & (i < s["start"] + s["k"])))
+    tail = F.regexp_extract(docs["text"], f"({gap}*)$", 1)
+    text = F.when(found["_s"].isNull(), docs["text"]).otherwise(F.concat(F.array_join(left, ""), tail))
     return joined.select(*[text.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns])

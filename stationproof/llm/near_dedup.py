@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stationproof.functions.columns import sized_broadcast
 from stationproof.llm.common import blank_words, map_text, stored
 from stationproof.llm.words import Recent
 
@@ -286,7 +287,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, that of the smallest doc_id, with all its columns; repeated rows are one document."""
-    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_d"]) & (F.xxhash64(docs["text"]) == kept["_h"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    """One document of each group, that of the smallest doc_id, with all its columns; repeated rows are one document.
+
+    What goes is named by (doc_id, text hash), broadcast while its counted rows are few; texts move only beyond that.
+    """
+    marked = stored(near_duplicates(docs, width, percent).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "kept"), "marked")
+    gone = stored(marked.where(~F.col("kept")).select("_d", "_h").distinct(), "gone")
+    again = stored(marked.where("kept").groupBy("_d", "_h").count().where("count > 1").select("_d", "_h"), "again")
+
+    def same(other: DataFrame):
+        return docs["doc_id"].eqNullSafe(other["_d"]) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == other["_h"])
+
+    rows = docs.join(sized_broadcast(gone), same(gone), "left_anti")
+    if again.isEmpty():
+        return rows
+    known = sized_broadcast(again)
+    return rows.join(known, same(again), "left_anti").union(rows.join(known, same(again), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationproof.llm.common import map_text, stored
+from stationproof.llm.common import map_text, stored, without
 from stationproof.llm.words import Recent
 
 #: Documents that train the scorer, about.
@@ -186,3 +186,16 @@ def score(docs: DataFrame, model: dict, weights: np.ndarray, text_col: str = "te
         return run
 
     return map_text(docs, make, "votes string, weak_label double, quality double, keep boolean", text_col, keep)
+
+
+def accepted(docs: DataFrame, model: dict, weights: np.ndarray, text_col: str = "text") -> DataFrame:
+    """Documents that are not rejected, with their own columns only."""
+
+    def make():
+        def run(texts: list) -> dict[str, pa.Array]:
+            z = [weights[-1] + sum(weights[i] * value for i, value in features(measures(t)).items()) for t in texts]
+            return {"__accepted": pa.array([bool(x >= 0) for x in z], pa.bool_())}
+
+        return run
+
+    return without(map_text(docs, make, "__accepted boolean", text_col).where("__accepted"), "__accepted")

@@ -75,19 +75,19 @@ def _found(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
 
 
 def _scan(docs: DataFrame, text_col: str) -> DataFrame:
-    """Base spans `_base` in order, and `_runs`, long runs of key characters that overlap none of them."""
+    """Base spans `__base` in order, and `__runs`, long runs of key characters that overlap none of them."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = F.concat(*[_found(text, k, *rule) for k, rule in enumerate(KINDS.values())])
-    scanned = docs.select("*", F.array_sort(base).alias("_base"), _found(text, len(KINDS), RUN, 0, MIN_RUN).alias("_all"))
-    clear = F.filter("_all", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return scanned.withColumn("_runs", F.when(F.size("_base") == 0, F.col("_all")).otherwise(clear)).drop("_all")
+    scanned = docs.select("*", F.array_sort(base).alias("__base"), _found(text, len(KINDS), RUN, 0, MIN_RUN).alias("__all"))
+    clear = F.filter("__all", lambda r: ~F.exists("__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    return scanned.withColumn("__runs", F.when(F.size("__base") == 0, F.col("__all")).otherwise(clear)).drop("__all")
 
 
 def samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Labelled strings of a corpus: value, random."""
     scanned = _scan(docs.select(text_col), text_col)
     pick = lambda c, flag: F.transform(c, lambda s: F.struct(s["value"].alias("value"), F.lit(flag).alias("random")))
-    return scanned.select(F.explode_outer(F.concat(pick("_base", True), pick("_runs", False))).alias("s")).where("s IS NOT NULL").select("s.value", "s.random")
+    return scanned.select(F.explode_outer(F.concat(pick("__base", True), pick("__runs", False))).alias("s")).where("s IS NOT NULL").select("s.value", "s.random")
 
 
 def train(labelled: DataFrame) -> list[float]:
@@ -123,16 +123,16 @@ def ratio(value: Column, table: list[float]) -> Column:
     return F.element_at(F.transform(F.array(F.filter(codes, lambda c: c > 0)), total), 1)
 
 
-def scan(docs: DataFrame, table: list[float], text_col: str = "text") -> DataFrame:
-    """All columns, and `found`: spans (start, kind, end, value) by start, then kind; kinds count from 0 in `ORDER`."""
-    scanned = _scan(without(docs, "found"), text_col)
+def scan(docs: DataFrame, table: list[float], text_col: str = "text", out: str = "found") -> DataFrame:
+    """All columns, and `out`: spans (start, kind, end, value) by start, then kind; kinds count from 0 in `ORDER`."""
+    scanned = _scan(without(docs, out), text_col)
 
     def random(r):
         score = ratio(r["value"], table)
         return (score >= MIN_LLR) & (score >= MEAN_LLR * (F.length(r["value"]) - 1))
 
-    extra = F.when(F.size("_runs") > 0, F.filter("_runs", random)).otherwise(F.array().cast(SPAN))
-    return scanned.withColumn("found", F.array_sort(F.concat("_base", extra))).drop("_base", "_runs")
+    extra = F.when(F.size("__runs") > 0, F.filter("__runs", random)).otherwise(F.array().cast(SPAN))
+    return scanned.withColumn(out, F.array_sort(F.concat("__base", extra))).drop("__base", "__runs")
 
 
 def _named(spans: Column) -> Column:
@@ -150,7 +150,7 @@ def report(docs: DataFrame, table: list[float]) -> DataFrame:
 
 def redact(docs: DataFrame, table: list[float], put: str = "[secret]", text_col: str = "text") -> DataFrame:
     """Documents with every span of `text` replaced by `put`; overlapping spans count as one."""
-    found = scan(docs, table, text_col)
+    found = scan(docs, table, text_col, "__found")
     text = F.col(f"`{text_col}`")
     zero = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("end"))
 
@@ -158,6 +158,6 @@ def redact(docs: DataFrame, table: list[float], put: str = "[secret]", text_col:
         gap = F.when(s["start"] >= acc["end"], F.array(text.substr(acc["end"] + 1, s["start"] - acc["end"]), F.lit(put))).otherwise(F.array().cast("array<string>"))
         return F.struct(F.concat(acc["parts"], gap).alias("parts"), F.greatest(acc["end"], s["end"]).alias("end"))
 
-    whole = F.aggregate("found", zero, cut, lambda acc: F.concat(F.array_join(acc["parts"], ""), text.substr(acc["end"] + 1, F.length(text))))
-    new = F.when(F.size("found") > 0, whole).otherwise(text)
+    whole = F.aggregate("__found", zero, cut, lambda acc: F.concat(F.array_join(acc["parts"], ""), text.substr(acc["end"] + 1, F.length(text))))
+    new = F.when(F.size("__found") > 0, whole).otherwise(text)
     return found.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
