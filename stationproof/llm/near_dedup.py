@@ -7,8 +7,9 @@ the whole sequence is the one shingle. Documents of equal sets form one class; o
 Pairs are found in two steps, so that a bucket of near copies is never expanded into all its pairs. First every member of a
 bucket meets the bucket's hub, the member that shares most bucket places with others. Then buckets whose members still fall
 into several components are open: each member outside an open bucket's largest component meets the members of other
-components, as blocks of signatures in one task, which emits only pairs that pass the Bayesian test. Pairs inside one component
-need no test: no link can change the result.
+components, as blocks in one task, each pair in the first bucket that it shares. The task runs the Bayesian test, counts common
+shingles of what passes on sets of 32-bit hashes (with a little room, for collisions), and emits only what may link two parts that
+no certain link has joined yet. Pairs inside one component need no test: no link can change the result.
 
 The test compares signatures in batches of `BATCH`; after each batch a pair goes when the posterior probability (uniform
 prior) that its similarity reaches the threshold is under `MISS`. Survivors are confirmed on their full shingle sets. A pair at
@@ -40,6 +41,8 @@ BANDS, ROWS = 40, 5
 BATCH, MISS = 40, 1e-7
 #: Members of a bucket compared as one block.
 BLOCK = 512
+#: Common shingles that 32-bit hashes may hide in a pair, before the full sets decide.
+ROOM = 3
 #: Shingles hashed at once in a task.
 FLAT = 1 << 18
 
@@ -172,22 +175,27 @@ def _test_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return pairs.join(sig("a"), "a").join(sig("b"), "b").mapInPandas(run, "a binary, b binary")
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs whose full sets have the similarity; sets are made again from one document of each class."""
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    chosen = classes.join(wanted, "key", "left_semi").select(F.col("rep.doc_id").alias("_d"), F.col("rep.text_hash").alias("_h"))
+def _sets(keys: DataFrame, classes: DataFrame, docs: DataFrame, width: int, narrow: bool = False) -> DataFrame:
+    """key, members: the sets of some classes, made again from one document of each; as 32-bit hashes if narrow."""
+    chosen = classes.join(keys, "key", "left_semi").select(F.col("rep.doc_id").alias("_d"), F.col("rep.text_hash").alias("_h"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    texts = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["_d"]) & (rows["text_hash"] == chosen["_h"]), "left_semi")
+    texts = rows.join(sized_broadcast(stored(chosen, "chosen")), rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["text_hash"] == F.col("_h")), "left_semi")
 
     def make():
         def run(batch: list) -> dict[str, pa.Array]:
             sets = [shingle_set(t, width) for t in batch]
-            return {"key": pa.array([set_key(s) for s in sets], pa.binary()), "members": pa.array([s.tobytes() for s in sets], pa.binary())}
+            held = [np.unique((s >> np.uint64(32)).astype(np.uint32)) if narrow else s for s in sets]
+            return {"key": pa.array([set_key(s) for s in sets], pa.binary()), "members": pa.array([s.tobytes() for s in held], pa.binary())}
 
         return run
 
-    sets = stored(map_text(texts, make, "key binary, members binary", keep=[]).dropDuplicates(["key"]), "sets")
+    return stored(map_text(texts, make, "key binary, members binary", keep=[]).dropDuplicates(["key"]), "sets")
+
+
+def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those pairs whose full sets have the similarity."""
+    pairs = stored(pairs, "pairs")
+    sets = _sets(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), classes, docs, width)
     side = lambda s: sets.select(F.col("key").alias(s), F.col("members").alias(f"set_{s}"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,41 +229,71 @@ def _sizes_allow(n, m, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components of open buckets that pass the Bayesian test."""
+class _Parts:
+    """Which labels have been joined, within one task's block."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (above := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(above, above)
+            x = above
+        return x
+
+
+def _open_links(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Likely links (a, b) across components of open buckets, enough to join what they join."""
     named = members.join(labels, "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("label"))
     parts = named.groupBy("bucket", "label").agg(F.count("*").alias("c"))
     whole = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top")).where("parts > 1")
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
     opened = whole.select("bucket", F.col("top.label").alias("main"), blocks(F.col("all") - F.col("top.c")).alias("na"), blocks(F.col("all")).alias("nb"))
-    rows = stored(named.join(opened, "bucket").join(classes.select("key", "sig"), "key"), "open")
+    places = stored(named.join(opened, "bucket"), "open")
+    keys = places.select("key").distinct()
+    content = classes.join(keys, "key", "left_semi").select("key", "sig", "bands").join(_sets(keys, classes, docs, width, narrow=True), "key")
+    rows = places.join(stored(content, "content"), "key").withColumn("minor", F.col("label") != F.col("main"))
     place = lambda n: F.pmod(F.xxhash64("key"), n.cast("long")).cast("int")
-    columns = ["key", "n", "label", "sig", "minor"]
-    rows = rows.withColumn("minor", F.col("label") != F.col("main"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ["key", "n", "label", "sig", "bands", "members", "minor"]
     left = rows.where("minor").select("bucket", place(F.col("na")).alias("x"), upto(F.col("nb")).alias("y"), F.lit(True).alias("asks"), *columns)
     right = rows.select("bucket", upto(F.col("na")).alias("x"), place(F.col("nb")).alias("y"), F.lit(False).alias("asks"), *columns)
     fewest = fewest_matches(percent)
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         a, b = g[g["asks"]], g[~g["asks"]]
-        out = []
+        out: list[tuple[bytes, bytes]] = []
         if len(a) and len(b):
+            bucket = g["bucket"].iloc[0]
             sa, sb = _matrix(a["sig"]), _matrix(b["sig"])
+            ba, bb = np.stack(a["bands"].to_numpy()), np.stack(b["bands"].to_numpy())
+            ma, mb = ([np.frombuffer(m, np.uint32) for m in x["members"]] for x in (a, b))
             codes = pd.factorize(pd.concat([a["label"], b["label"]]))[0]
             la, lb = codes[: len(a)], codes[len(a) :]
             ka, kb = a["key"].to_numpy(), b["key"].to_numpy()
             order = {k: r for r, k in enumerate(sorted({*ka, *kb}))}
             ra, rb = np.array([order[k] for k in ka]), np.array([order[k] for k in kb])
             na, nb, minor = a["n"].to_numpy(), b["n"].to_numpy(), b["minor"].to_numpy()
+            joined = _Parts()
             for at in range(0, len(a), 64):
                 s = slice(at, at + 64)
                 small, large = np.minimum(na[s, None], nb), np.maximum(na[s, None], nb)
                 fit = (la[s, None] != lb) & (small * 100 >= large * percent) & (~minor | (ra[s, None] < rb))
                 i, j = np.nonzero(fit)
                 i, j = _passing(sa[s], sb, i, j, fewest)
-                out.append(pd.DataFrame({"a": ka[s][i], "b": kb[j]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype=object)
+                for k in range(0, len(i), 100_000):  # the first bucket that a pair shares is the one that decides it
+                    ik, jk = i[k : k + 100_000], j[k : k + 100_000]
+                    equal = ba[s][ik] == bb[jk]
+                    own = ba[s][ik, equal.argmax(axis=1)] == bucket
+                    for p, q in zip((ik[own] + at).tolist(), jk[own].tolist()):
+                        rp, rq = joined.root(la[p]), joined.root(lb[q])
+                        if rp != rq:
+                            shared, sizes = len(np.intersect1d(ma[p], mb[q], assume_unique=True)), na[p] + nb[q]
+                            if (100 + percent) * (shared + ROOM) >= percent * sizes:
+                                out.append((ka[p], kb[q]))
+                            if (100 + percent) * (shared - ROOM) >= percent * sizes:  # a link for certain
+                                joined.up[rp] = rq
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return left.unionByName(right).groupBy("bucket", "x", "y").applyInPandas(compare, "a binary, b binary").distinct()
 
@@ -275,7 +313,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     meet = members.join(hubs, "bucket").where((F.col("hub.key") != F.col("key")) & _sizes_allow(F.col("n"), F.col("hub.n"), percent))
     pairs = meet.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
     first = _confirm(_test_pairs(pairs, classes, percent), classes, docs, width, percent)
-    second = _confirm(_open_pairs(members, components(first), classes, percent), classes, docs, width, percent)
+    second = _confirm(_open_links(members, components(first), classes, docs, width, percent), classes, docs, width, percent)
     labels = components(first.union(second))
     own = signed.select("doc_id", "text_hash", "n_shingles", "key").join(labels, "key", "left")
     # Empty sets link with nothing: such a document is a component of its own, by doc_id.
