@@ -137,7 +137,8 @@ def gains(m: np.ndarray, own: int, after: np.ndarray, before: np.ndarray, twice:
     columns[diag, diag] = base[diag, diag]
     old = _xlogx(base)
     gain = (_xlogx(rows) - old).sum(axis=1) + (_xlogx(columns) - old).sum(axis=0)
-    r, c = base.sum(axis=1), base.sum(axis=0)
+    # Pairs with the symbol stay in the sums of its neighbours' classes wherever it goes.
+    r, c = base.sum(axis=1) + before, base.sum(axis=0) + after
     return gain - (_xlogx(r + after.sum() + twice) - _xlogx(r)) - (_xlogx(c + before.sum() + twice) - _xlogx(c))
 
 
