@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stationproof.functions.columns import micros, secs, sized_broadcast
+from stationproof.functions.columns import micros, sized_broadcast
+from stationproof.functions.state import cut
 
 BLOCK_ROWS = 1_000_000
-DAY_S = 86_400
 BLK = "_blk"
 
 
@@ -23,53 +23,71 @@ def longest(sizes: DataFrame, col: str) -> int:
     return sizes.agg(F.max(col)).first()[0] or 0
 
 
+def _long_series(df: DataFrame, keys: list[str], target: int, at_most: int | None) -> DataFrame | None:
+    """Keys and number of blocks of the series over `target` rows, or None without any."""
+    if at_most is not None and at_most <= target:
+        return None
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target)
+    many = sizes.select(*keys, F.ceil(F.col("_n") / target).cast("int").alias("_nb"))
+    return None if many.isEmpty() else many
+
+
+def _cuts(df: DataFrame, keys: list[str], many: DataFrame, value: Column) -> DataFrame:
+    """Per series of `many`, ascending values that part it into about `_nb` blocks of equal rows.
+
+    Quantiles come from a mergeable sketch; its error only makes blocks a little uneven. Every
+    series draws on the longest one's fractions and keeps as many as it has blocks.
+    """
+    most = longest(many, "_nb")
+    fractions = [i / most for i in range(1, most)] or [0.5]
+    sketch = df.join(sized_broadcast(many), keys).groupBy(*keys).agg(F.max("_nb").alias("_nb"), F.percentile_approx(value, fractions, max(10_000, 20 * most)).alias("_all"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("_nb")).cast("int"))
+    return sketch.select(*keys, F.filter("_all", lambda _, i: (i + 1) % step == 0).alias("_cuts"))
+
+
+def _place(value: Column, cuts: str) -> Column:
+    """Number of cut points under a value; zero where there are none."""
+    return F.coalesce(F.size(F.filter(cuts, lambda c: c < value)), F.lit(0)).cast("bigint")
+
+
 def assign_blocks(
     df: DataFrame,
     keys: list[str],
     ts: str = "timestamp_utc",
     seq: str = "ingest_seq",
     target: int | None = None,
-    bucket_s: int = DAY_S,
     at_most: int | None = None,
 ) -> DataFrame:
     """Add `_blk`, a struct that is monotone in (ts, seq) within `keys`, when a series is long.
 
-    Time buckets are packed into blocks of about `target` rows. A bucket that alone is far
-    larger (many copies of one instant) is split by exact instant and then by sequence range,
-    so no block exceeds a few times `target` even if one instant holds a third of all rows.
+    Blocks follow row positions: a long series is cut at quantiles of its instants, and an
+    instant that alone fills blocks (equal neighbouring cuts) again at quantiles of its
+    sequence numbers, however sparse. A series of n rows gets at most about 2 n / target blocks.
     Without long series the frame is returned unchanged; `at_most`, a known bound on the rows
     of any series, answers that without a job.
     """
+    if not keys:
+        return assign_blocks(df.withColumn("_one", F.lit(1)), ["_one"], ts, seq, target, at_most).drop("_one")
     target = target or BLOCK_ROWS
-    if at_most is not None and at_most <= target:
+    many = _long_series(df, keys, target, at_most)
+    if many is None:
         return df
-    bucket = F.floor(secs(ts) / bucket_s).cast("bigint")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    if longest(sizes, "_total") <= target:
-        return df
-    hot = df.groupBy(*keys, bucket.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
-    if keys:
-        hot = hot.join(sizes.where(F.col("_total") > target).select(*keys), keys, "left_semi")
-    before = W.partitionBy(*keys).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    hot = hot.select(
-        *keys,
-        "_day",
-        F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / target).cast("bigint").alias("_b"),
-        (F.col("_n") > 4 * target).alias("_big"),
-    )
-    hot = sized_broadcast(hot)
-    out = df.withColumn("_day", bucket).join(hot, [*keys, "_day"], "left")
     zero = F.lit(0).cast("bigint")
-    split = F.coalesce(F.col("_big"), F.lit(False))
-    chunk = F.floor(F.col(seq) / target).cast("bigint") if seq else zero
-    return out.withColumn(
-        BLK,
-        F.struct(
-            F.coalesce("_b", zero).alias("b"),
-            F.when(split, micros(ts)).otherwise(zero).alias("t"),
-            F.when(split, chunk).otherwise(zero).alias("c"),
-        ),
-    ).drop("_day", "_b", "_big")
+    cuts = cut(_cuts(df, keys, many, micros(ts)))
+    out = df.join(sized_broadcast(cuts), keys, "left").withColumn("_b", _place(micros(ts), "_cuts"))
+    chunk = zero
+    if seq:
+        at = [*keys, "_us"]
+        repeated = cuts.select(*keys, F.explode("_cuts").alias("_us")).groupBy(*at).count().where("count > 1").select(*at)
+        own = df.withColumn("_us", micros(ts))
+        full = own.join(sized_broadcast(repeated), at, "left_semi")
+        heavy = _long_series(full, at, target, None)
+        if heavy is not None:
+            parts = _cuts(full, at, heavy, F.col(seq).cast("bigint")).withColumnRenamed("_cuts", "_seqs")
+            out = out.withColumn("_us", micros(ts)).join(sized_broadcast(cut(parts)), at, "left")
+            chunk = F.when(F.col("_seqs").isNotNull(), 1 + _place(F.col(seq), "_seqs")).otherwise(zero)
+    blk = F.struct(F.col("_b").alias("b"), chunk.cast("bigint").alias("c"))
+    return out.withColumn(BLK, blk).drop("_b", "_us", "_cuts", "_seqs")
 
 
 def assign_seq_blocks(
@@ -79,30 +97,15 @@ def assign_seq_blocks(
     target: int | None = None,
     at_most: int | None = None,
 ) -> DataFrame:
-    """Like `assign_blocks` for scans in delivered order: sequence ranges, so always balanced."""
+    """Like `assign_blocks` for scans in delivered order: cut at quantiles of the sequence numbers."""
+    if not keys:
+        return assign_seq_blocks(df.withColumn("_one", F.lit(1)), ["_one"], seq, target, at_most).drop("_one")
     target = target or BLOCK_ROWS
-    if at_most is not None and at_most <= target:
+    many = _long_series(df, keys, target, at_most)
+    if many is None:
         return df
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if longest(sizes, "_n") <= target:
-        return df
-    big = sizes.where(F.col("_n") > target)
-    zero = F.lit(0).cast("bigint")
-    big = sized_broadcast(big.select(*keys, F.lit(True).alias("_big")))
-    return (
-        df.join(big, keys, "left")
-        .withColumn(
-            BLK,
-            F.struct(
-                F.when(F.col("_big"), F.floor(F.col(seq) / target).cast("bigint"))
-                .otherwise(zero)
-                .alias("b"),
-                zero.alias("t"),
-                zero.alias("c"),
-            ),
-        )
-        .drop("_big")
-    )
+    out = df.join(sized_broadcast(cut(_cuts(df, keys, many, F.col(seq).cast("bigint")))), keys, "left")
+    return out.withColumn(BLK, F.struct(_place(F.col(seq), "_cuts").alias("b"), F.lit(0).cast("bigint").alias("c"))).drop("_cuts")
 
 
 def ordered_scan(
@@ -140,6 +143,7 @@ def ordered_scan(
         F.count(F.lit(1)).alias("_rows"),
         *[F.max_by(e, last).alias(f"_l_{n}") for n, e in lags.items()],
         *[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()],
+        *[F.count(e).alias(f"_c_{n}") for n, e in sums.items()],
         *[F.max(e).alias(f"_x_{n}") for n, e in maxs.items()],
         *[F.min(e).alias(f"_m_{n}") for n, e in mins.items()],
     )
@@ -149,6 +153,7 @@ def ordered_scan(
         *parts,
         *[F.lag(f"_l_{n}").over(ws).alias(f"_l_{n}") for n in lags],
         *[F.coalesce(F.sum(f"_s_{n}").over(wprior), F.lit(0)).alias(f"_s_{n}") for n in sums],
+        *[F.coalesce(F.sum(f"_c_{n}").over(wprior), F.lit(0)).alias(f"_c_{n}") for n in sums],
         *[F.max(f"_x_{n}").over(wprior).alias(f"_x_{n}") for n in maxs],
         *[F.min(f"_m_{n}").over(wprior).alias(f"_m_{n}") for n in mins],
     )
@@ -168,7 +173,7 @@ def ordered_scan(
             for n in lags
         ],
         *[
-            F.when(F.col(f"_ls_{n}").isNull() & (F.col(f"_s_{n}") == 0), None)
+            F.when(F.col(f"_ls_{n}").isNull() & (F.col(f"_c_{n}") == 0), None)
             .otherwise(F.coalesce(f"_ls_{n}", F.lit(0)) + F.col(f"_s_{n}"))
             .alias(n)
             for n in sums

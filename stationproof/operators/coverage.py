@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stationproof import config as C
 from stationproof.functions import scan
-from stationproof.functions.columns import CELL, SERIES, at_secs, secs
+from stationproof.functions.columns import CELL, SERIES, at_secs, micros, secs
 from stationproof.functions.state import cut
 
 TICK_CHUNK = 10_000
@@ -35,22 +35,26 @@ def cells(readings: DataFrame) -> DataFrame:
 
 
 def gaps(points: DataFrame, keys: list[str], at_most: int | None = None) -> DataFrame:
-    """Distances between neighbouring distinct instants: keys, prev_s, ts_s."""
+    """Distances between neighbouring distinct instants in seconds: keys, prev_s, ts_s.
+
+    Instants may lie within one second; such a pair has prev_s = ts_s.
+    """
     distinct = points.select(*keys, "timestamp_utc").distinct()
     blocked = scan.assign_blocks(distinct, keys, seq=None, at_most=at_most)
     out = scan.ordered_scan(
-        blocked, keys, ["timestamp_utc"], lags={"prev_s": secs("timestamp_utc")}
+        blocked, keys, ["timestamp_utc"], lags={"prev_us": micros("timestamp_utc")}
     )
-    return out.select(*keys, "prev_s", secs("timestamp_utc").alias("ts_s")).where("prev_s < ts_s")
+    out = out.where(F.col("prev_us") < micros("timestamp_utc"))
+    return out.select(*keys, F.expr("prev_us div 1000000").alias("prev_s"), secs("timestamp_utc").alias("ts_s"))
 
 
 def infer_cadence(gap: DataFrame, keys: list[str]) -> DataFrame:
-    """Most frequent positive gap, the smallest on ties."""
+    """Most frequent gap of whole seconds, the smallest on ties; every distinct instant counts as observed."""
     freq = gap.groupBy(*keys, (F.col("ts_s") - F.col("prev_s")).alias("gap_s")).agg(
         F.count(F.lit(1)).alias("n")
     )
     return freq.groupBy(*keys).agg(
-        F.min_by("gap_s", F.struct(-F.col("n"), F.col("gap_s"))).alias("cadence_s"),
+        F.min_by(F.when(F.col("gap_s") > 0, F.col("gap_s")), F.struct(F.col("gap_s") <= 0, -F.col("n"), F.col("gap_s"))).alias("cadence_s"),
         (F.sum("n") + 1).alias("n_observed"),
     )
 

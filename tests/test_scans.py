@@ -6,6 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from stationproof import config as C
 from stationproof.functions import scan
 from stationproof.operators import counters, coverage, detectors, fault
 from stationproof.plans import views
@@ -37,8 +38,43 @@ def test_blocked_scan_equals_plain_scan(rows, target):
     assert scan.BLK in blocked.columns
     got = scan.drop_blocks(scan.ordered_scan(blocked, ["k"], order, **cols))
     assert sorted(map(str, got.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
-    biggest = blocked.groupBy("k", scan.BLK).count().agg(F.max("count")).first()[0]
-    assert biggest <= 5 * target
+    blocks = blocked.groupBy("k", scan.BLK).count()
+    assert blocks.agg(F.max("count")).first()[0] <= 5 * target
+    assert blocks.where("k = 'hot'").count() <= 3 * -(-900 // target)
+
+
+def blocks_of(df, target):
+    b = scan.assign_blocks(df, ["k"], target=target).groupBy("k", scan.BLK).count().agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
+    return b.n, b.most
+
+
+@pytest.mark.parametrize("shape", ["one_day", "sparse_sequence", "one_instant"])
+def test_blocks_stay_few_and_even(spark, shape):
+    n, target = 20_000, 1000
+    us, seq = {
+        "one_day": ("id * 1000000 div 3", "id"),
+        "sparse_sequence": ("id * 3600000000", "id * 8589934592"),
+        "one_instant": ("if(id % 3 = 0, 5000, id) * 1000000", "id * 8589934592"),
+    }[shape]
+    df = spark.range(n).selectExpr("'hot' AS k", f"cast(timestamp_micros({us}) AS timestamp_ntz) AS timestamp_utc", f"{seq} AS ingest_seq")
+    number, most = blocks_of(df, target)
+    assert number <= 3 * n // target and most <= 3 * target
+    got = scan.assign_seq_blocks(df, ["k"], target=target).groupBy(scan.BLK).count().agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
+    assert got.n <= 3 * n // target and got.most <= 3 * target
+
+
+def test_running_sum_of_nulls_and_zero_sums(spark):
+    rows = [("h", i, v) for i, v in enumerate([None, None, 1.0, -1.0] + [None] * 20 + [2.0, -2.0] + [None] * 10)]
+    df = spark.createDataFrame(rows, "k string, ingest_seq long, x double").withColumn("timestamp_utc", F.timestamp_seconds("ingest_seq").cast("timestamp_ntz"))
+    plain = scan.ordered_scan(df, ["k"], ["ingest_seq"], sums={"t": F.col("x")})
+    blocked = scan.drop_blocks(scan.ordered_scan(scan.assign_blocks(df, ["k"], target=4), ["k"], ["ingest_seq"], sums={"t": F.col("x")}))
+    assert sorted(map(str, blocked.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_instants_within_one_second_all_count(spark):
+    df = spark.range(3).selectExpr("'a' AS station_id", "'p' AS parameter", "cast(timestamp_micros(id * 1000) AS timestamp_ntz) AS timestamp_utc", "1D AS value", "'u' AS unit", "id AS ingest_seq")
+    row = coverage.series_grid(df).first()
+    assert row.n_observed == 3 and row.cadence_s == C.DEFAULT_CADENCE_S
 
 
 def test_blocks_in_delivered_order(rows):
