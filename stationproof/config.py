@@ -121,7 +121,6 @@ DISAGREE_RHO = 0.3
 SAFETY_MARGIN = 0.10
 EXPOSURE_STUB = 1.0
 INSTANT_CADENCE_H = 24
-INSTANT_MAX = 120
 
 # Wind graph and adjudication. Fixed values.
 WIND_SIGMA_DEG = 25.0

@@ -148,7 +148,7 @@ def notable_events(defects: DataFrame) -> DataFrame:
     top = (
         defects.where(F.col("reason_code").isin(list(NOTABLE)))
         .withColumn("_rn", F.row_number().over(best))
-        .where("_rn <= 5")
+        .where(F.col("_rn") <= max(v[1] for v in NOTABLE.values()))
         .where(F.col("_rn") <= col(1))
     )
     key = W.partitionBy("reason_code", *CELL).orderBy("_rn")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stationproof import config as C
-from stationproof.functions.columns import iso
+from stationproof.functions.columns import iso, micros
 
 SCHEMA = T.StructType(
     [
@@ -31,13 +31,22 @@ class SchemaDriftError(ValueError):
 
 def to_number(text: Column) -> Column:
     """Bad text and NaN both become missing."""
-    x = F.expr("0D") if text is None else text.try_cast("double")
+    x = text.try_cast("double")
     return F.when(~F.isnan(x), x)
 
 
 def value_text(v: Column) -> Column:
-    """Fixed-point text, so that the hash does not depend on how an engine prints doubles."""
-    return F.coalesce(v.cast("decimal(28,6)").cast("string"), F.lit("NaN"))
+    """Fixed-point text, so that the hash does not depend on how an engine prints doubles.
+
+    Values that do not fit are written as the double's own text.
+    """
+    return F.coalesce(v.try_cast("decimal(28,6)").cast("string"), v.cast("string"), F.lit("NaN"))
+
+
+def instant_text(ts: str) -> Column:
+    """ISO seconds, with microseconds only where there are any."""
+    part = F.pmod(micros(ts), F.lit(1_000_000))
+    return F.concat(iso(ts), F.when(part == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0"))))
 
 
 def row_hash() -> Column:
@@ -46,7 +55,7 @@ def row_hash() -> Column:
             "\u001f",
             "station_id",
             "parameter",
-            iso("timestamp_utc"),
+            instant_text("timestamp_utc"),
             value_text(F.col("value")),
             "unit",
             "source_file",

@@ -21,12 +21,14 @@ def between(df: DataFrame, ts: str = "timestamp_utc", start=None, end=None) -> D
 
 def page(df: DataFrame, keys: list[str], after: tuple | None = None, limit: int = 100) -> DataFrame:
     """The next rows after a cursor in key order: a bounded top-k, not a sort of the table."""
+    if not 0 < limit <= MAX_PAGE:
+        raise ValueError(f"a page holds 1 to {MAX_PAGE} rows, not {limit}; go on from the last key with `after`")
     if after is not None:
         types = dict(df.dtypes)
         here = F.struct(*[F.col(k) for k in keys])
         cursor = F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, after)])
         df = df.where(here > cursor)
-    return df.orderBy(*keys).limit(min(limit, MAX_PAGE))
+    return df.orderBy(*keys).limit(limit)
 
 
 def readings_page(stored: DataFrame, station=None, parameter=None, start=None, end=None, after=None, limit=100) -> DataFrame:
@@ -64,9 +66,12 @@ def latest_trust(scores: DataFrame) -> DataFrame:
     )
 
 
-def trust_series(scores: DataFrame, station: str, start=None, end=None, limit: int = MAX_PAGE) -> DataFrame:
+def trust_series(scores: DataFrame, station: str, start=None, end=None, after=None, limit: int | None = None) -> DataFrame:
+    """Scores of a station in time order: whole, or a page after the instant `after`."""
     out = between(scores.where(F.col("station_id") == station), start=start, end=end)
-    return out.orderBy("timestamp_utc").limit(limit)
+    if limit is None and after is None:
+        return out.orderBy("timestamp_utc")
+    return page(out, ["timestamp_utc"], None if after is None else (after,), MAX_PAGE if limit is None else limit)
 
 
 def quality_summary(

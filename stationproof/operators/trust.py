@@ -33,14 +33,16 @@ class Clock(NamedTuple):
     n: Column
 
 
-def clock(series: DataFrame, max_points: int = C.INSTANT_MAX) -> Clock:
+def clock(series: DataFrame, max_points: int | None = None) -> Clock:
+    """All scoring instants of the network's span, or the last `max_points` of them."""
     ends = series.agg(F.min(secs("start")).alias("lo"), F.max(secs("end")).alias("hi"))
-    n = F.least(F.lit(max_points), F.floor((F.col("hi") - F.col("lo")) / STEP_S) + 1)
+    n = F.floor((F.col("hi") - F.col("lo")) / STEP_S) + 1
+    n = n if max_points is None else F.least(F.lit(max_points), n)
     return Clock(ends.select("hi").scalar(), ends.select(n.cast("bigint")).scalar())
 
 
-def instants(series: DataFrame) -> DataFrame:
-    c = clock(series)
+def instants(series: DataFrame, max_points: int | None = None) -> DataFrame:
+    c = clock(series, max_points)
     one = series.agg(F.count(F.lit(1)).alias("_n")).withColumns({"_end": c.end_s, "_k": c.n})
     steps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1))
     return one.select("_end", steps.alias("k")).select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stationproof import registry
 from stationproof.functions.columns import iso
+from stationproof.functions.state import cut
 from stationproof.operators import canonical
 
 
@@ -15,10 +16,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+#: A reading on record: the hash is rounded to six decimals, so the exact value belongs to it.
+LOAD_KEY = ["row_hash", "timestamp_utc", "value"]
+
+
 def new_rows(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Rows of a batch not on record, each hash once."""
-    once = batch.dropDuplicates(["row_hash"])
-    return once if stored is None else once.join(stored.select("row_hash"), "row_hash", "left_anti")
+    """Rows of a batch not on record, each once."""
+    once = batch.dropDuplicates(LOAD_KEY)
+    if stored is None:
+        return once
+    known = stored.select(*[F.col(c).alias(f"_{c}") for c in LOAD_KEY])
+    same = [once[c].eqNullSafe(known[f"_{c}"]) for c in LOAD_KEY]
+    return once.join(known, same[0] & same[1] & same[2], "left_anti")
 
 
 def load_batch(batch: DataFrame, root: str) -> tuple[str, int]:
@@ -29,13 +38,18 @@ def load_batch(batch: DataFrame, root: str) -> tuple[str, int]:
     if exists(spark, done) and not spark.read.parquet(done).where(F.col("batch_id") == batch_id).isEmpty():
         return batch_id, 0
     path = f"{root}/readings"
-    stored = spark.read.parquet(path) if exists(spark, path) else None
-    fresh = new_rows(batch, stored).withColumns(
-        {"day": F.to_date("timestamp_utc"), "ingest_batch_id": F.lit(batch_id)}
+    stored = None
+    if exists(spark, path):
+        span = batch.agg(F.min(F.to_date("timestamp_utc")).alias("lo"), F.max(F.to_date("timestamp_utc")).alias("hi")).first()
+        # only the days of the batch are read: `day` is the partition column
+        stored = spark.read.parquet(path).where(F.col("day").between(F.lit(span.lo), F.lit(span.hi)))
+    fresh = cut(
+        new_rows(batch, stored).withColumns(
+            {"day": F.to_date("timestamp_utc"), "ingest_batch_id": F.lit(batch_id)}
+        )
     )
-    before = 0 if stored is None else stored.count()
+    n = fresh.count()
     fresh.write.mode("append").partitionBy("day").parquet(path)
-    n = spark.read.parquet(path).count() - before
     spark.sql(f"SELECT '{batch_id}' AS batch_id, {n}L AS n_rows").write.mode("append").parquet(done)
     return batch_id, n
 
