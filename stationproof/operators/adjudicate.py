@@ -103,22 +103,43 @@ def arrival(cands: DataFrame, neighbours: DataFrame) -> DataFrame:
             "attenuation": reach,
             "expected_excess": F.col("excess") * reach,
             "within_horizon": delay <= C.HORIZON_MAX_MIN,
-            "expectation_provenance": F.lit("analytic"),
+            "expectation_origin": F.lit("analytic"),
         }
     )
 
 
-def with_learned(expected: DataFrame, learned: DataFrame) -> DataFrame:
+def learned_expectation(
+    asked: DataFrame, forecast: DataFrame, values: DataFrame, step_s: int = C.EVALUATION_S, hours: int = C.BASELINE_HOURS
+) -> DataFrame:
+    """What the model expects above each neighbour's own baseline at the evaluation hour.
+
+    `asked`: event_id, parameter and timestamp_utc of the events on the model's target; `forecast`:
+    station_id, timestamp_utc, y_hat, sigma. A neighbour without forecast or baseline has no row.
+    """
+    later = forecast.select(F.col("station_id").alias("dst"), F.col("timestamp_utc").alias("_at"), "y_hat", "sigma")
+    at = asked.select("event_id", "parameter", "timestamp_utc").withColumn("_at", at_secs(secs("timestamp_utc") + step_s)).join(later, "_at")
+    base = baselines(at.withColumn("station_id", F.col("dst")), ["event_id", "dst"], values, hours)
+    return (
+        at.where(F.col("y_hat").isNotNull())
+        .join(base, ["event_id", "dst"])
+        .select("event_id", "dst", (F.col("y_hat") - F.col("baseline")).alias("learned_excess"), "sigma")
+    )
+
+
+def with_learned(expected: DataFrame, learned: DataFrame, q: float | None = None) -> DataFrame:
     """Replace the analytic expectation by a learned one where one exists.
 
-    `learned`: event_id, dst, learned_excess, sigma.
+    `learned`: event_id, dst, learned_excess, sigma. With a calibrated `q` a learned expectation
+    carries the interval of q sigma on either side; otherwise the interval is null.
     """
     j = expected.join(learned, ["event_id", "dst"], "left")
     has = F.col("learned_excess").isNotNull()
     return j.withColumns(
         {
             "expected_excess": F.coalesce("learned_excess", "expected_excess"),
-            "expectation_provenance": F.when(has, "learned").otherwise("analytic"),
+            "expectation_origin": F.when(has, "learned").otherwise("analytic"),
+            "expected_low": F.col("learned_excess") - F.lit(q).cast("double") * F.col("sigma"),
+            "expected_high": F.col("learned_excess") + F.lit(q).cast("double") * F.col("sigma"),
         }
     ).drop("learned_excess")
 
@@ -280,5 +301,5 @@ def wind_note(windy: DataFrame) -> DataFrame:
         F.round("from_deg", 2).alias("from_deg"),
         F.round(geo.travel_bearing("from_deg"), 2).alias("to_deg"),
         F.round("speed", 4).alias("speed"),
-        "wind_provenance",
+        "wind_origin",
     )

@@ -11,7 +11,7 @@ from stationproof.functions.columns import dense, literal_table
 
 KEY = ["station_id", "timestamp_utc"]
 
-# Feature -> (provenance, available without optional feeds).
+# Feature -> (origin, available without optional feeds).
 FEATURES = {
     "temperature": ("weather_feed", False),
     "precipitation": ("weather_feed", False),
@@ -140,10 +140,10 @@ def matrix(readings: DataFrame, feed: DataFrame | None = None, traffic: DataFram
 
 
 def feature_spec(spark: SparkSession, has_weather: bool = False, has_traffic: bool = False) -> DataFrame:
-    """Provenance of every feature; models train on the available ones."""
+    """Origin of every feature; models train on the available ones."""
     ok = {"weather_feed": has_weather, "traffic": has_traffic}
     rows = [(i, n, p, ok.get(p, a)) for i, (n, (p, a)) in enumerate(FEATURES.items())]
-    return literal_table(spark, rows, "position bigint, feature string, provenance string, available boolean")
+    return literal_table(spark, rows, "position bigint, feature string, origin string, available boolean")
 
 
 def available(has_weather: bool = False, has_traffic: bool = False) -> list[str]:

@@ -41,7 +41,7 @@ def wind_lookup(requests: DataFrame, local: DataFrame, city: DataFrame) -> DataF
     far = F.col("city_deg").isNotNull()
     return j.withColumns(
         {
-            "wind_provenance": F.when(own, "station-local").when(far, "city-fallback").otherwise("unavailable"),
+            "wind_origin": F.when(own, "station-local").when(far, "city-fallback").otherwise("unavailable"),
             "from_deg": F.coalesce("from_deg", "city_deg"),
             "speed": F.coalesce("speed", "city_speed"),
         }
@@ -96,7 +96,7 @@ def wind_edges(p: DataFrame, stations: DataFrame, local: DataFrame, city: DataFr
         wind_weight("from_deg", "speed", "distance_km", "bearing_deg").alias("weight"),
         "distance_km",
         "bearing_deg",
-        "wind_provenance",
+        "wind_origin",
     )
 
 

@@ -32,10 +32,10 @@ O.cte(
     city="""SELECT timestamp_utc, (degrees(atan2(avg(sin(radians(from_deg))), avg(cos(radians(from_deg))))) + 360) % 360 AS city_deg, avg(speed) AS city_speed, count(*) AS station_count
   FROM wind GROUP BY ALL""",
     windall="""SELECT st.station_id, c.timestamp_utc, coalesce(from_deg, city_deg) AS from_deg, coalesce(speed, city_speed) AS speed,
-  CASE WHEN from_deg IS NOT NULL THEN 'station-local' ELSE 'city-fallback' END AS wind_provenance FROM st CROSS JOIN city c LEFT JOIN wind w ON w.station_id = st.station_id AND w.timestamp_utc = c.timestamp_utc""",
+  CASE WHEN from_deg IS NOT NULL THEN 'station-local' ELSE 'city-fallback' END AS wind_origin FROM st CROSS JOIN city c LEFT JOIN wind w ON w.station_id = st.station_id AND w.timestamp_utc = c.timestamp_utc""",
     pair=f"""SELECT * FROM (SELECT a.station_id AS src, b.station_id AS dst, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS distance_km, {bearing('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS bearing_deg
   FROM st a, st b WHERE a.station_id <> b.station_id) WHERE distance_km <= 15""",
-    wedge=f"""SELECT timestamp_utc, src, dst, {WEIGHT} AS weight, distance_km, bearing_deg, wind_provenance FROM pair JOIN windall w ON w.station_id = src""",
+    wedge=f"""SELECT timestamp_utc, src, dst, {WEIGHT} AS weight, distance_km, bearing_deg, wind_origin FROM pair JOIN windall w ON w.station_id = src""",
     coredge=f"""SELECT corridor_id AS src, station_id AS dst, round(n_stops / (d + 0.05), 6) AS weight, round(d, 6) AS distance_km FROM
   (SELECT corridor_id, station_id, n_stops, {hav('st.lat', 'st.lon', 'corridor.lat', 'corridor.lon')} AS d FROM st, corridor) WHERE d <= 15""",
     spedge="SELECT src, dst, round(1 / (distance_km + 0.05), 6) AS weight, round(distance_km, 6) AS distance_km FROM pair",
@@ -66,7 +66,7 @@ def g2(spark, sf):
 @query(
     "g3_wind_lookup",
     """SELECT c.station_id, c.timestamp_utc, round(coalesce(from_deg, city_deg), 6) AS from_deg, round(coalesce(speed, city_speed), 6) AS speed,
-  CASE WHEN from_deg IS NOT NULL THEN 'station-local' WHEN city_deg IS NOT NULL THEN 'city-fallback' ELSE 'unavailable' END AS wind_provenance
+  CASE WHEN from_deg IS NOT NULL THEN 'station-local' WHEN city_deg IS NOT NULL THEN 'city-fallback' ELSE 'unavailable' END AS wind_origin
   FROM (SELECT DISTINCT station_id, timestamp_utc FROM rd) c LEFT JOIN wind USING (station_id, timestamp_utc) LEFT JOIN city USING (timestamp_utc)""",
 )
 def g3(spark, sf):
@@ -82,7 +82,7 @@ def g5(spark, sf):
 
 @query(
     "g4_g6_wind_edges",
-    "SELECT timestamp_utc, src, dst, round(weight, 6) AS weight, round(distance_km, 6) AS distance_km, round(bearing_deg, 6) AS bearing_deg, wind_provenance FROM wedge",
+    "SELECT timestamp_utc, src, dst, round(weight, 6) AS weight, round(distance_km, 6) AS distance_km, round(bearing_deg, 6) AS bearing_deg, wind_origin FROM wedge",
 )
 def g6(spark, sf):
     s, st, p, local, city = pieces(spark, sf)
@@ -284,23 +284,22 @@ def scored(spark, sf):
     return neighbours.with_sigma(pred, cv.time_blocks(s.readings, BLOCKS), BLOCKS)
 
 
-@query("g20_expectation_seam", """SELECT a.event_id, a.dst, CASE WHEN r.y_hat IS NULL OR a.parameter <> 'PM10' THEN 'analytic' ELSE 'learned' END AS expectation_provenance,
-  round(CASE WHEN r.y_hat IS NULL OR a.parameter <> 'PM10' THEN expected_excess ELSE r.y_hat END, 6) AS expected_excess
-  FROM arr a LEFT JOIN rec r ON r.station_id = a.dst AND r.timestamp_utc = a.timestamp_utc""")
+Q20 = 1.5
+
+
+@query("g20_expectation_seam", f"""SELECT a.event_id, a.dst, CASE WHEN x IS NULL THEN 'analytic' ELSE 'learned' END AS expectation_origin, round(coalesce(x, expected_excess), 6) AS expected_excess,
+  round(x - {Q20} * sigma, 6) AS expected_low, round(x + {Q20} * sigma, 6) AS expected_high FROM arr a LEFT JOIN (
+    SELECT a.event_id, a.dst, r.y_hat - coalesce(n.b1, n.b2) AS x, r.sigma FROM arr a JOIN nbase n USING (event_id, dst)
+    JOIN recs r ON r.station_id = a.dst AND r.timestamp_utc = a.timestamp_utc + INTERVAL {STEP} SECOND WHERE a.parameter = 'PM10') l USING (event_id, dst)""")
 def g20(spark, sf):
     s, st, p, local, city = pieces(spark, sf)
-    c = adj.candidates(events(spark, sf), adj.last_values(s.readings))
+    values = cut(adj.last_values(s.readings))
+    c = adj.candidates(events(spark, sf), values)
     windy = graph.wind_lookup(c, local, city).where("speed >= 0.1")
-    _, values, edges = rebuilt(spark, sf)
-    pred = neighbours.reconstruct(edges, values)
-    learned = (
-        c.where("parameter = 'PM10'")
-        .select("event_id", "timestamp_utc")
-        .join(pred, "timestamp_utc")
-        .select("event_id", F.col("station_id").alias("dst"), F.col("y_hat").alias("learned_excess"), F.lit(None).cast("double").alias("sigma"))
-    )
-    out = adj.with_learned(adj.arrival(windy, p), learned)
-    return out.select("event_id", "dst", "expectation_provenance", F.round("expected_excess", 6).alias("expected_excess"))
+    expected = adj.arrival(windy, p)
+    learned = adj.learned_expectation(c.where("parameter = 'PM10'"), scored(spark, sf), values, STEP)
+    out = adj.with_learned(expected, learned, Q20)
+    return out.select("event_id", "dst", "expectation_origin", *[F.round(x, 6).alias(x) for x in ("expected_excess", "expected_low", "expected_high")])
 
 
 @query("g21_neighbour_reconstruction", "SELECT station_id, timestamp_utc, round(y, 6) AS y, round(y_hat, 6) AS y_hat, round(sigma, 6) AS sigma, block FROM recs")

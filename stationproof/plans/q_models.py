@@ -97,7 +97,7 @@ def m7(spark, sf):
     "m7_feature_spec",
     "SELECT * FROM (VALUES "
     + ", ".join(f"({i}::BIGINT, '{n}', '{p}', {str(True if p != 'traffic' else a).lower()})" for i, (n, (p, a)) in enumerate(features.FEATURES.items()))
-    + ") t(position, feature, provenance, available), (SELECT count(*) AS n_rows FROM gridf)",
+    + ") t(position, feature, origin, available), (SELECT count(*) AS n_rows FROM gridf)",
 )
 def m7s(spark, sf):
     spec = features.feature_spec(spark, has_weather=True)
