@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stationproof.functions.columns import micros, sized_broadcast
+from stationproof.functions.columns import lookup, micros, sized_broadcast
 from stationproof.functions.state import cut
 
 BLOCK_ROWS = 1_000_000
@@ -265,3 +265,19 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
         df, keys, value, 0.5, {"_a": F.floor((n + 1) / 2), "_b": F.floor(n / 2) + 1}
     )
     return out.select(*keys, ((F.col("_a") + F.col("_b")) / 2.0).alias(name))
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Number all rows from 1 in `order` without a window over all of them.
+
+    Rows are dealt to ranges of the order and numbered within their range; a range starts where the
+    counts of those before it end. The driver holds one count a range, whatever the rows.
+    """
+    placed = cut(df.orderBy(*order).withColumn("_range", F.spark_partition_id()))
+    starts, before = {}, 0
+    for r in placed.groupBy("_range").count().orderBy("_range").collect():
+        starts[r["_range"]] = before
+        before += r["count"]
+    first = lookup(starts, F.col("_range")) if starts else F.lit(0)
+    within = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return placed.withColumn(name, (first + within).cast("bigint")).drop("_range")

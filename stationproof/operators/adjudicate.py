@@ -79,9 +79,8 @@ def candidates(events: DataFrame, values: DataFrame, hours: int = C.BASELINE_HOU
 
 def rank(cands: DataFrame, limit: int | None = None) -> DataFrame:
     """Largest excess first, then the audit's rank, then station."""
-    w = W.orderBy(F.round("excess", 9).desc(), "audit_rank", "station_id")
-    out = cands.withColumn("rank", F.row_number().over(w).cast("bigint"))
-    return out if limit is None else out.where(F.col("rank") <= limit)
+    order = [F.round("excess", 9).desc(), F.col("audit_rank"), F.col("station_id")]
+    return scan.global_rank(cands if limit is None else cands.orderBy(*order).limit(limit), order, "rank")
 
 
 def arrival(cands: DataFrame, neighbours: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stationproof.functions import scan
 from stationproof.functions.columns import CELL
 from stationproof.functions.state import cut
 from stationproof.operators import adjudicate as adj
@@ -127,8 +128,6 @@ def g9(spark, sf):
 
 # --- adjudication: every impossible reading, inversion and outage is a candidate ----------------
 def events(spark, sf):
-    from pyspark.sql import Window as W
-
     s = store(spark, sf)
     fall = F.max(F.when(F.col("reason_code") == "R07", F.col("rank_value")))
     picked = (
@@ -136,10 +135,7 @@ def events(spark, sf):
         .groupBy(*CELL, "reason_code", "severity")
         .agg(fall.alias("fallback_value"))
     )
-    order = W.orderBy("reason_code", *CELL)
-    return picked.withColumn("event_id", F.row_number().over(order).cast("bigint")).withColumn(
-        "audit_rank", F.col("event_id")
-    )
+    return scan.global_rank(picked, [F.col(c) for c in ("reason_code", *CELL)], "event_id").withColumn("audit_rank", F.col("event_id"))
 
 
 def judged(spark, sf, learned=None):

@@ -135,3 +135,13 @@ def test_counters_and_features_do_not_depend_on_blocks(spark, monkeypatch):
     whole = run()
     monkeypatch.setattr(scan, "BLOCK_ROWS", 40)
     assert run() == whole
+
+
+def test_global_rank_equals_row_numbers(spark):
+    df = spark.range(2000).selectExpr("id", "id * 7919 % 500 AS x")
+    ranked = scan.global_rank(df.repartition(7), [F.col("x").desc(), F.col("id")], "rank")
+    got = [(r.id, r["rank"]) for r in ranked.collect()]
+    wanted = sorted(((i * 7919 % 500, i) for i in range(2000)), key=lambda v: (-v[0], v[1]))
+    assert sorted(got) == sorted((i, n + 1) for n, (_, i) in enumerate(wanted))
+    assert scan.global_rank(df.where("id < 0"), [F.col("id")], "rank").count() == 0
+    assert "Window [" not in ranked._jdf.queryExecution().executedPlan().toString() or "SinglePartition" not in ranked._jdf.queryExecution().executedPlan().toString()
