@@ -73,4 +73,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op1_decontaminate": twins.DECONTAMINATE,
     "op6_near_dedup": twins.NEAR_DEDUP,
+    "op9_secrets": twins.SECRETS,
 }

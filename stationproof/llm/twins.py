@@ -1,5 +1,7 @@
 """DuckDB twins of the text queries."""
 
+from stationproof.llm import secrets as S
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 DECONTAMINATE = f"""
@@ -46,3 +48,48 @@ least AS (SELECT reach.a AS r, min(t.doc_id) AS component_id FROM reach JOIN d t
 SELECT d.doc_id, cast(coalesce(n.n, 0) AS bigint) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d JOIN least USING (r) LEFT JOIN n USING (r)
 """
+
+
+def _matches(kind: int, pattern: str, group: int, least: int) -> str:
+    return f"""SELECT r, {kind} AS kind, start, start + length(m) AS stop, v FROM (
+    SELECT r, ms[i] AS m, vs[i] AS v, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start
+    FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+      SELECT r, regexp_extract_all(t, '{pattern}', 0) AS ms, regexp_extract_all(t, '{pattern}', {group}) AS vs, string_split_regex(t, '{pattern}') AS ps FROM d)))
+  WHERE length(v) >= {least}"""
+
+
+_PATTERNS = [(p.split(")", 1)[1] if p.startswith("(?<!") else p, g, n) for p, g, n in [*S.KINDS.values(), (S.RUN, 0, S.MIN_RUN)]]
+_ALL = " UNION ALL ".join(_matches(k, p.replace("'", "''"), g, n) for k, (p, g, n) in enumerate(_PATTERNS))
+_NAME = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(S.ORDER)) + " END || ':' || start || ':' || stop"
+
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_ALL}),
+base AS (SELECT * FROM found WHERE kind < {len(S.KINDS)}),
+runs AS (
+  SELECT row_number() OVER () AS id, * FROM found f WHERE kind = {len(S.KINDS)}
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = f.r AND b.start < f.stop AND f.start < b.stop)),
+labelled AS (SELECT v, true AS random FROM base UNION ALL SELECT v, false FROM runs),
+pairs AS (SELECT random, v[i : i + 1] AS pair FROM (SELECT random, v, unnest(range(1, length(v))) AS i FROM labelled)),
+counted AS (SELECT random, pair, count(*) AS n FROM pairs WHERE regexp_full_match(pair, '[A-Za-z0-9+/_=-]{{2}}') GROUP BY ALL),
+letters AS (SELECT unnest(string_split('{S.ALPHABET}', '')) AS c),
+model AS (
+  SELECT k.random, a.c AS a, b.c AS b, {S.PRIOR} + coalesce(n, 0) AS w
+  FROM (SELECT unnest([true, false]) AS random) k CROSS JOIN letters a CROSS JOIN letters b LEFT JOIN counted c ON c.random = k.random AND c.pair = a.c || b.c),
+logs AS (SELECT random, a, b, ln(w) - ln(sum(w) OVER (PARTITION BY random, a)) AS l FROM model),
+ratios AS (
+  SELECT x.a || x.b AS pair, CASE WHEN (SELECT count(DISTINCT random) FROM counted) = 2 THEN x.l - y.l ELSE 0 END AS l
+  FROM logs x JOIN logs y ON x.a = y.a AND x.b = y.b WHERE x.random AND NOT y.random),
+scored AS (
+  SELECT id, sum(l) AS score FROM (SELECT id, v[i : i + 1] AS pair FROM (SELECT id, v, unnest(range(1, length(v))) AS i FROM runs)) JOIN ratios USING (pair) GROUP BY id),
+spans AS (
+  SELECT r, kind, start, stop FROM base UNION ALL
+  SELECT r, kind, start, stop FROM runs JOIN scored USING (id) WHERE score >= {S.MIN_LLR} AND score >= {S.MEAN_LLR} * (length(v) - 1)),
+per AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg({_NAME}, ',' ORDER BY start, kind) FILTER (kind < {len(S.KINDS)}) AS base, string_agg({_NAME}, ',' ORDER BY start, kind) AS spans
+  FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (r)
+"""
