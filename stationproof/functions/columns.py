@@ -89,14 +89,15 @@ def sized_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return df
 
 
-def dense(left: DataFrame, right: DataFrame, key: str, shards: int = 64) -> DataFrame:
+def dense(left: DataFrame, right: DataFrame, key: str, shards: int | None = None) -> DataFrame:
     """Every left row with every right row, for results that are defined as that.
 
-    The right side is repeated over a fixed number of shards of the left side, so this is a
-    hash join whose tasks each hold one shard, not a Cartesian product.
+    The right side is repeated over shards of the left side, by default as many as the session has
+    shuffle partitions, so this is a hash join whose tasks each hold one shard.
     """
+    shards = shards or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     a = left.withColumn("_shard", F.pmod(F.xxhash64(key), F.lit(shards)))
-    b = right.withColumn("_shard", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(shards)])))
+    b = right.withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
     return a.join(b, "_shard").drop("_shard")
 
 

@@ -17,6 +17,8 @@ from stationproof.functions.state import cut
 
 BLOCK_ROWS = 1_000_000
 BLK = "_blk"
+#: Blocks of one series; beyond so many times the block size its blocks grow.
+MOST_BLOCKS = 10_000
 
 
 def longest(sizes: DataFrame, col: str) -> int:
@@ -28,7 +30,7 @@ def _long_series(df: DataFrame, keys: list[str], target: int, at_most: int | Non
     if at_most is not None and at_most <= target:
         return None
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target)
-    many = sizes.select(*keys, F.ceil(F.col("_n") / target).cast("int").alias("_nb"))
+    many = sizes.select(*keys, F.least(F.ceil(F.col("_n") / target), F.lit(MOST_BLOCKS)).cast("int").alias("_nb"))
     return None if many.isEmpty() else many
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stationproof import config as C
 from stationproof.functions import scan
+from stationproof.functions.columns import one_row
 
 
 def quantile(scores: DataFrame, keys: list[str], alpha: float = C.CONFORMAL_ALPHA) -> DataFrame:
@@ -56,4 +57,4 @@ def calibrate_then_score(
     test = intervals(df.where(F.col("block") == last_block), q, keys, normalised)
     cov = coverage(test, keys)
     out = q.withColumnRenamed("n", "n_calibration")
-    return out.join(cov, keys) if keys else out.join(cov.withColumn("_k", F.lit(1)), F.lit(True)).drop("_k")
+    return out.join(cov, keys) if keys else one_row(out, cov)

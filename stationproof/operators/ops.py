@@ -99,8 +99,9 @@ def alerts(events: DataFrame, station_importance: DataFrame | None = None) -> Da
 
 
 def ranked_alerts(scored: DataFrame, limit: int | None = None) -> DataFrame:
-    out = scored.orderBy(F.col("risk").desc(), F.col("exposure").desc(), "event_id")
-    return out if limit is None else out.limit(limit)
+    """Alerts with their `position`: highest risk first, then exposure, then the smaller event id."""
+    order = [F.col("risk").desc(), F.col("exposure").desc(), F.col("event_id")]
+    return scan.global_rank(scored if limit is None else scored.orderBy(*order).limit(limit), order, "position")
 
 
 def drift(points: DataFrame, keys: list[str], eps: float = 1e-9) -> DataFrame:
@@ -122,6 +123,12 @@ def defect_rate_drift(counts: DataFrame) -> DataFrame:
     return drift(counts.withColumn("value", rate), ["station_id"])
 
 
+def coverage_drift(points: DataFrame, nominal: float) -> DataFrame:
+    """Interval coverage over time, read against the promised share: `points` has at and value."""
+    out = drift(points, [])
+    return out.withColumns({"nominal": F.lit(nominal), "off_nominal": F.col("latest") - F.lit(nominal)})
+
+
 def check_dispatches(requests: DataFrame, signoffs: DataFrame) -> DataFrame:
     """Every dispatch request with the sign-off it names and why it is refused, if it is."""
     s = signoffs.select(

@@ -38,8 +38,10 @@ def case(expr: str, mapping: dict, default: str = "NULL") -> str:
 
 
 cte(
-    v_base="""SELECT event_id, user_id % 10 AS i, floor(user_id / 10) % 2 AS g, event_type AS e, value AS v,
-  time_bucket(INTERVAL '6 hours', CASE WHEN event_id % 97 = 0 THEN ts - INTERVAL '12 hours' ELSE ts END) AS t FROM events""",
+    v_base="""SELECT event_id, i, e, v, t, CASE WHEN i = 2 AND e = 'purchase' THEN 1 WHEN i = 3 AND e IN ('signup', 'error') THEN 1
+  WHEN i = 4 AND e = 'error' AND t >= TIMESTAMP '2024-01-20 00:00:00' THEN 0 ELSE g0 END AS g
+  FROM (SELECT event_id, user_id % 10 AS i, floor(user_id / 10) % 2 AS g0, event_type AS e, value AS v,
+  time_bucket(INTERVAL '6 hours', CASE WHEN event_id % 97 = 0 THEN ts - INTERVAL '12 hours' ELSE ts END) AS t FROM events)""",
     v_named="""SELECT *, CASE WHEN e = 'view' AND g = 0 THEN 'PM10' WHEN e = 'view' THEN 'CO2'
   WHEN e = 'click' AND g = 0 THEN 'PM2.5' WHEN e = 'click' THEN 'O3'
   WHEN e = 'purchase' AND g = 0 THEN 'NO' WHEN e = 'purchase' THEN 'NO2'
@@ -63,9 +65,7 @@ cte(
   'STA-' || lpad(CAST(i + 1 AS VARCHAR), 2, '0') ||
     CASE WHEN parameter IN ('Wind_Direction','Wind_Speed') THEN '_soil.csv' ELSE '_air.csv' END AS source_file,
   event_id AS ingest_seq, epoch_us(t) // 1000000 AS s
-FROM v_named
-WHERE NOT (i = 2 AND parameter = 'NO') AND NOT (i = 3 AND parameter IN ('Wind_Direction','Wind_Speed'))
-  AND NOT (i = 4 AND parameter = 'Pressure' AND t >= TIMESTAMP '2024-01-20 00:00:00')""",
+FROM v_named""",
     cell="""SELECT station_id, parameter, timestamp_utc, s, count(*) AS n_readings, count(value) AS n_values
   FROM rd GROUP BY ALL""",
     gp="""SELECT * FROM (SELECT station_id, parameter, s, lag(s) OVER (PARTITION BY station_id, parameter ORDER BY s) AS p FROM cell) WHERE p IS NOT NULL""",

@@ -59,21 +59,21 @@ def g1(spark, sf):
     return graph.station_wind(views.readings(spark, sf)).withColumns(r6("from_deg", "speed"))
 
 
-@query("g2_city_wind", "SELECT timestamp_utc, round(city_deg, 6) AS city_deg, round(city_speed, 6) AS city_speed, station_count FROM city")
+@query("g2_city_wind", "SELECT timestamp_utc, round(city_deg, 9) AS city_deg, round(city_speed, 9) AS city_speed, station_count FROM city")
 def g2(spark, sf):
-    return graph.city_wind(graph.station_wind(views.readings(spark, sf))).withColumns(r6("city_deg", "city_speed"))
+    return graph.city_wind(graph.station_wind(views.readings(spark, sf))).withColumns({c: F.round(c, 9) for c in ("city_deg", "city_speed")})
 
 
 @query(
     "g3_wind_lookup",
-    """SELECT c.station_id, c.timestamp_utc, round(coalesce(from_deg, city_deg), 6) AS from_deg, round(coalesce(speed, city_speed), 6) AS speed,
+    """SELECT c.station_id, c.timestamp_utc, round(coalesce(from_deg, city_deg), 9) AS from_deg, round(coalesce(speed, city_speed), 9) AS speed,
   CASE WHEN from_deg IS NOT NULL THEN 'station-local' WHEN city_deg IS NOT NULL THEN 'city-fallback' ELSE 'unavailable' END AS wind_origin
   FROM (SELECT DISTINCT station_id, timestamp_utc FROM rd) c LEFT JOIN wind USING (station_id, timestamp_utc) LEFT JOIN city USING (timestamp_utc)""",
 )
 def g3(spark, sf):
     s, st, p, local, city = pieces(spark, sf)
     asked = s.readings.select("station_id", "timestamp_utc").distinct()
-    return graph.wind_lookup(asked, local, city).withColumns(r6("from_deg", "speed"))
+    return graph.wind_lookup(asked, local, city).withColumns({c: F.round(c, 9) for c in ("from_deg", "speed")})
 
 
 @query("g5_spatial_edges", "SELECT * FROM spedge")

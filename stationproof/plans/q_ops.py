@@ -299,6 +299,17 @@ def o6(spark, sf):
     return a.select("event_id", "station_id", "severity", "verdict", "genuineness", "hazard", "exposure", F.round(unrounded, 5).alias("risk"))
 
 
+@query(
+    "o6_ranked_alerts",
+    """SELECT event_id, station_id, row_number() OVER (ORDER BY round(genuineness * exposure * hazard * cw, 6) DESC, exposure DESC, event_id) AS position,
+  round(genuineness * exposure * hazard * cw, 5) AS risk FROM alert""",
+)
+def o6_ranked(spark, sf):
+    a = ops.ranked_alerts(ops.alerts(verdict_events(spark, sf), station_importance(spark, sf)))
+    unrounded = F.col("genuineness") * F.col("exposure") * F.col("hazard") * F.col("confidence_weight")
+    return a.select("event_id", "station_id", "position", F.round(unrounded, 5).alias("risk"))
+
+
 O.cte(
     dpt="SELECT station_id, timestamp_utc AS at_, trust AS value FROM tfinal",
     runc="SELECT station_id, block, count(*) AS n FROM counting JOIN blk USING (timestamp_utc) GROUP BY ALL",
@@ -339,6 +350,22 @@ def o9(spark, sf):
     return out.drop("delta").withColumns({"baseline": F.round("baseline", 5), "latest": F.round("latest", 5)})
 
 
+@query(
+    "o9_coverage_drift",
+    f"""SELECT n_points, round(b, 6) AS baseline, round(l, 6) AS latest, {DRIFT} AS direction, 0.9 AS nominal, round(l - 0.9, 6) AS off_nominal FROM (
+    SELECT count(*) AS n_points, arg_min(value, block) AS b, arg_max(value, block) AS l FROM (
+      SELECT block, avg(CASE WHEN y >= y_hat - q AND y <= y_hat + q THEN 1.0 ELSE 0.0 END)::DOUBLE AS value FROM res JOIN cal3 USING (parameter) GROUP BY block))""",
+)
+def o9_coverage(spark, sf):
+    from stationproof.operators import conformal
+
+    r = network_residuals(store(spark, sf).readings)
+    q = conformal.calibrate(r.where("block = 3"), ["parameter"])
+    seen = conformal.coverage(conformal.intervals(r, q, ["parameter"]), ["block"])
+    out = ops.coverage_drift(seen.select(F.col("block").alias("at"), F.col("coverage").alias("value")), 0.9)
+    return out.drop("delta").withColumns({c: F.round(c, 6) for c in ("baseline", "latest", "off_nominal")})
+
+
 def orders(spark, sf):
     return views.table(spark, sf, "orders").withColumn("d", F.col("o_orderdate").cast("timestamp_ntz"))
 

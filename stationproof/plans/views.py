@@ -55,6 +55,14 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
         F.col("value").alias("v"),
         tick.alias("timestamp_utc"),
     )
+    # Some stations lack a channel, or lose it: their events count for the channel's neighbour instead.
+    moved = (
+        F.when((F.col("i") == 2) & (F.col("e") == "purchase"), 1)
+        .when((F.col("i") == 3) & F.col("e").isin("signup", "error"), 1)
+        .when((F.col("i") == 4) & (F.col("e") == "error") & (F.col("timestamp_utc") >= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")), 0)
+        .otherwise(F.col("g"))
+    )
+    b = b.withColumn("g", moved)
     b = b.join(literal_table(spark, CHANNELS, "e string, g int, parameter string, unit string, base double, mul double, div double"), ["e", "g"])
     p, i, v, ts = F.col("parameter"), F.col("i"), F.col("v"), F.col("timestamp_utc")
     day = lambda d: F.lit(d).cast("timestamp_ntz")
@@ -71,11 +79,7 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
     unit = F.when((p == "CO2") & (i == 1), "ug/m3").otherwise(F.col("unit"))
     station = F.concat(F.lit("STA-"), F.lpad((i + 1).cast("string"), 2, "0"))
     wind = p.isin("Wind_Direction", "Wind_Speed")
-    return b.where(
-        ~((i == 2) & (p == "NO"))
-        & ~((i == 3) & wind)
-        & ~((i == 4) & (p == "Pressure") & (ts >= day("2024-01-20 00:00:00")))
-    ).select(
+    return b.select(
         station.alias("station_id"),
         p,
         ts,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from stationproof.functions import geo
 from stationproof.functions.columns import dense
 from stationproof.operators import adjudicate as adj
-from stationproof.operators import canonical, conformal, counters, cv, explain, exposure, graph, ops, trust
+from stationproof.operators import canonical, conformal, counters, cv, explain, exposure, graph, ops, reads, trust
 from stationproof.plans import views
 from stationproof.sources import readings as src
 from stationproof.sources import sinks
@@ -215,3 +215,37 @@ def test_additive_attributions(spark):
 
     q = load().QUERIES["x1_additive_attributions"]
     assert q(spark, SF).agg(F.max("gap")).first()[0] < 1e-4
+
+
+def _readings(spark, rows):
+    df = spark.createDataFrame(rows, "us long, value double").selectExpr(
+        "'S' AS station_id", "'PM10' AS parameter", "cast(timestamp_micros(us) AS timestamp_ntz) AS timestamp_utc", "value", "'u' AS unit",
+        "cast(null AS string) AS instrument_id", "'f.csv' AS source_file",
+    )
+    return canonical.add_row_hash(df)
+
+
+def test_close_readings_are_all_loaded(spark, tmp_path):
+    rows = [(0, 1.0), (0, 1.0 + 1e-7), (1000, 1.0), (2000, None), (0, 1e25), (0, 1.0)]
+    _, n = sinks.load_batch(_readings(spark, rows), str(tmp_path))
+    assert n == 5
+    _, n = sinks.load_batch(_readings(spark, [*rows, (86_400_000_000, 1.0), (2000, 2e-7)]), str(tmp_path))
+    assert n == 2
+    assert spark.read.parquet(f"{tmp_path}/readings").count() == 7
+
+
+def test_pages_reach_every_row_and_refuse_too_many(spark):
+    scores = spark.range(600).selectExpr("'A' AS station_id", "cast(timestamp_seconds(id * 3600) AS timestamp_ntz) AS timestamp_utc", "0.5D AS trust")
+    assert reads.trust_series(scores, "A").count() == 600
+    seen, after = [], None
+    while part := reads.trust_series(scores, "A", after=after, limit=250).collect():
+        seen += [r.timestamp_utc for r in part]
+        after = seen[-1]
+    assert len(seen) == len(set(seen)) == 600
+    with pytest.raises(ValueError):
+        reads.page(scores, ["timestamp_utc"], limit=501)
+
+
+def test_every_scoring_instant_is_kept(spark):
+    series = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:00:00' AS start, TIMESTAMP_NTZ '2024-05-09 00:00:00' AS `end`")
+    assert trust.instants(series).count() == 130 and trust.instants(series, 7).count() == 7
