@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationproof.llm.common import BATCH_ROWS, blank_words, stored
+from stationproof.llm.words import Recent
 
 SHARE, GROUPS, CLASSES, ROUNDS, SMOOTH = 1 / 2000, 128, 64, 8, 0.1
 BLOCK = 8_000_000
@@ -78,10 +80,15 @@ class Symbols:
         self.counts = {END: 0} | frequent
         self.words = {w: i for i, w in enumerate(sorted(self.counts))}  # the end is symbol 0
         self.size = len(self.words) + GROUPS
+        self.met = Recent()
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def _new(self, words: list[bytes]) -> list[int]:
         get, first = self.words.get, len(self.words)
-        return np.fromiter((s if (s := get(w)) is not None else first + group(w) for w in words), np.int64, len(words))
+        return [s if (s := get(w)) is not None else first + group(w) for w in words]
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        known = self.met.ensure(set(words), self._new)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 def bigrams(texts: DataFrame, symbols: Symbols) -> DataFrame:
@@ -238,14 +245,17 @@ def score(docs: DataFrame) -> DataFrame:
 
     def judge(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         of = dict(zip(known["word"], known["c"])) | number
+        split = [tokens(t) for t in texts["text"]]
+        distinct = list(set(chain.from_iterable(split)))  # count, logarithm and class are worked out once a word
+        place = dict(zip(distinct, range(len(distinct))))
+        c = np.array([of.get(w, 0) for w in distinct], np.int64)
+        logs, kinds = np.log10(c + 1), classes[symbols.of(distinct)]
         out = []
-        for doc_id, text, out_of in zip(texts["doc_id"], texts["text"], texts["held_out"]):
-            words = tokens(text)
-            c = np.fromiter((of.get(w, 0) for w in words), np.int64, len(words))
-            seen = float(np.log10(c + 1).sum())
-            k = classes[symbols.of(words)]
+        for doc_id, words, out_of in zip(texts["doc_id"], split, texts["held_out"]):
+            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+            seen, k = float(logs[at].sum()), kinds[at]
             steps = transition[np.concatenate(([0], k[:-1])), k].sum()
-            out.append((doc_id, out_of, len(words), int((c > 0).sum()), total, seen - len(words) * floor, seen + float(steps - emission[k].sum())))
+            out.append((doc_id, out_of, len(words), int((c[at] > 0).sum()), total, seen - len(words) * floor, seen + float(steps - emission[k].sum())))
         made = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         return made.assign(doc_id=made["doc_id"].astype("Int64"))
 
