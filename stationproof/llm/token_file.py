@@ -6,8 +6,8 @@ Elias-Fano sequence: the low bits of each offset packed, the high bits in unary,
 that any document's offsets are found without a table of 64-bit offsets. Blocks are rows of Parquet files in a folder that
 all executors share, so a lost task is written again and a reader sees only whole files.
 
-A text is split at ASCII white space; the vocabulary drops white space and never joins across it, so each distinct chunk is
-encoded by the tokenizers library once in a worker's memory and looked up after that.
+A text is split at ASCII white space; the vocabulary drops white space and never joins across it, so each distinct chunk (of
+ASCII chunks, each distinct part) is encoded by the tokenizers library once in a worker's memory and looked up after that.
 
 Nulls and empty texts hold the end id only. Null doc_ids come first. Rows of equal doc_id are ordered by a hash of their text,
 equal rows stay side by side. A document is never cut, however long. An empty table gives no blocks.
@@ -16,6 +16,7 @@ equal rows stay side by side. A document is never cut, however long. An empty ta
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from itertools import chain
 
@@ -33,6 +34,8 @@ BLOCK = 1 << 20
 SAMPLE = 256
 #: A chunk of its own that separates the words put to the library together.
 MARK = "\x01"
+#: How the vocabulary's pre-tokenizer cuts lower-cased ASCII without white space (a fixed value of its file).
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 BLOCKS = (
     "shard int, block int, start long, n_docs int, n_ids long, width int, low_bits int, low binary, high binary, samples binary, ids binary, "
     "doc_ids array<bigint>"
@@ -90,10 +93,19 @@ class ChunkEncoder:
 
         self.library = Tokenizer.from_str(model)
         self.mark = self.library.encode(MARK, add_special_tokens=False).ids
-        self.known = Recent()
+        self.known, self.parts = Recent(), Recent(200_000)
 
     def _learn(self, chunks: list[bytes]) -> list[bytes]:
+        """ASCII chunks are cut into parts, which repeat more often; others go to the library whole."""
         words = [c.decode("utf-8", "surrogatepass") for c in chunks]
+        cut = [PARTS.findall(w.lower()) if w.isascii() and MARK not in w and "<|" not in w else None for w in words]
+        whole = [w for w, c in zip(words, cut) if c is None]
+        alone = dict(zip(whole, self._ask(whole)))
+        of = self.parts.ensure(set(chain.from_iterable(c for c in cut if c)), self._ask)
+        return [alone[w] if c is None else b"".join(map(of.__getitem__, c)) for w, c in zip(words, cut)]
+
+    def _ask(self, words: list[str]) -> list[bytes]:
+        """The library's ids of words, many at once."""
         plain = [w for w in words if MARK not in w]
         made: dict[str, bytes] = {}
         for at in range(0, len(plain), 1000):
