@@ -80,7 +80,7 @@ class Symbols:
         self.counts = {END: 0} | frequent
         self.words = {w: i for i, w in enumerate(sorted(self.counts))}  # the end is symbol 0
         self.size = len(self.words) + GROUPS
-        self.met = Recent()
+        self.met = Recent("class_lm")
 
     def _new(self, words: list[bytes]) -> list[int]:
         get, first = self.words.get, len(self.words)

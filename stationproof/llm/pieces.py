@@ -35,7 +35,7 @@ CROSSES = re.compile(rf"[^{MARK}]{MARK}|{LETTER}(?!{LETTER})(?!$)|\n")
 #: Up to this many characters the agenda is a list.
 SHORT = 40
 #: Segments that one Python worker keeps in each of two generations, some 230 bytes each.
-KEPT = 1_000_000
+KEPT = 600_000
 
 _CODECS: dict[int, "Codec"] = {}
 
@@ -70,7 +70,7 @@ class Codec:
         text |= {i: (" ⁇ ".encode() if lib.is_unknown(i) else b"") for i in range(size) if i not in text}
         self.bytes_of = text
         self.head = len(lib.encode("\n"))
-        self.known = Recent(KEPT)
+        self.known = Recent("pieces", KEPT)
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment, by the agenda."""

@@ -32,7 +32,7 @@ LABELLERS = ["repeated_word", "variety", "repeated_neighbour", "symbols", "prose
 _PLAIN = re.compile(rb"[Aa]+[.,;:?'\"]?")
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+", re.S)
-_shapes = Recent(100_000)
+_shapes = Recent("quality", 100_000)
 
 
 def measures(text: str | None) -> dict[str, float]:

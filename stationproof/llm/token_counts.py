@@ -49,7 +49,7 @@ class Counter:
         self.whole = any(len(p) > 1 and CROSSES.search(p) for p, _ in pieces if not p.startswith("<0x"))
         if self.whole:
             raise ValueError("a piece crosses the start of a segment")
-        self.known = Recent(1_000_000)
+        self.known = Recent("token_counts", 700_000)
 
     def count(self, word: str) -> int:
         ends: list[list] = [[] for _ in word]

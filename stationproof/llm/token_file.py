@@ -93,7 +93,7 @@ class ChunkEncoder:
 
         self.library = Tokenizer.from_str(model)
         self.mark = self.library.encode(MARK, add_special_tokens=False).ids
-        self.known, self.parts = Recent(), Recent(200_000)
+        self.known, self.parts = Recent("token_file"), Recent("token_file", 200_000)
 
     def _learn(self, chunks: list[bytes]) -> list[bytes]:
         """ASCII chunks are cut into parts, which repeat more often; others go to the library whole."""
