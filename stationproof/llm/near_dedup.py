@@ -46,7 +46,7 @@ ROOM = 3
 #: Shingles hashed at once in a task.
 FLAT = 1 << 18
 
-_WORDS = Recent("near_dedup")
+_WORDS = Recent("near_dedup", 200_000)
 _RNG = np.random.default_rng(6)
 _MUL = (_RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
