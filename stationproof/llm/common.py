@@ -15,7 +15,6 @@ from stationproof.functions.state import checkpoint_dir
 #: Documents in one Arrow batch; very long documents are bounded by Spark's own byte limit of a batch.
 BATCH_ROWS = 500
 
-_UPPER = bytes(range(65, 91))
 #: A-Z to a-z; every ASCII byte that is neither digit nor letter becomes a blank. Bytes of non-ASCII characters stay.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -38,14 +37,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(spark: SparkSession, table: DataFrame) -> None:
-    """Delete the files of a table made by `stored` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fields(ddl: str) -> list[StructField]:
     return list(_parse_datatype_string(ddl).fields)
 
