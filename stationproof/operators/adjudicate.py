@@ -295,6 +295,7 @@ def bundle_rows(evidence: DataFrame) -> DataFrame:
 
 
 def wind_note(windy: DataFrame) -> DataFrame:
+    """Wind at the source of each event, from `graph.wind_lookup`: whence, whither, speed and origin."""
     return windy.select(
         "event_id",
         F.round("from_deg", 2).alias("from_deg"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stationproof import registry
 from stationproof.functions.columns import iso
 from stationproof.functions.state import cut
-from stationproof.operators import canonical
+from stationproof.operators import adjudicate, canonical
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -147,10 +147,12 @@ def top_codes(defects: DataFrame, limit: int = 8) -> DataFrame:
     )
 
 
-def write_bundles(verdicts: DataFrame, neighbours: DataFrame, folder: str) -> None:
-    """Evidence bundles: one header per event and its neighbour rows, partitioned alike."""
+def write_bundles(verdicts: DataFrame, neighbours: DataFrame, folder: str, windy: DataFrame | None = None) -> None:
+    """Evidence bundles: one header per event, its neighbour rows, and the wind that was assumed."""
     verdicts.write.mode("overwrite").json(f"{folder}/events")
     neighbours.write.mode("overwrite").json(f"{folder}/neighbours")
+    if windy is not None:
+        adjudicate.wind_note(windy).write.mode("overwrite").json(f"{folder}/wind")
 
 
 def write_manifest(readings: DataFrame, folder: str) -> None:

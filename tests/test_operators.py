@@ -169,7 +169,10 @@ def test_reports_bundles_and_manifest(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "m/parameters")).count() == 6
     sinks.write_report({"a": spark.range(3).toDF("n")}, str(tmp_path / "rep"))
     assert spark.read.json(str(tmp_path / "rep/a")).count() == 3
-    sinks.write_bundles(spark.range(2).toDF("event_id"), spark.range(4).toDF("event_id"), str(tmp_path / "b"))
+    windy = spark.sql("SELECT 1L AS event_id, 350.004D AS from_deg, 2.5D AS speed, 'station-local' AS wind_origin")
+    sinks.write_bundles(spark.range(2).toDF("event_id"), spark.range(4).toDF("event_id"), str(tmp_path / "b"), windy)
+    note = spark.read.json(str(tmp_path / "b" / "wind")).first()
+    assert (note.event_id, note.from_deg, note.to_deg, note.speed, note.wind_origin) == (1, 350.0, 170.0, 2.5, "station-local")
     assert spark.read.json(str(tmp_path / "b/neighbours")).count() == 4
 
 
