@@ -48,7 +48,7 @@ def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
-    return secrets.report(docs, secrets.train(secrets.samples(docs)))
+    return secrets.report(docs, secrets.learn(docs))
 
 
 def op10_token_file(spark: SparkSession, sf: str) -> DataFrame:

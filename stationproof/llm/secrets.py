@@ -3,9 +3,11 @@
 Base kinds are leftmost, non-overlapping matches of a pattern. The method looks at runs of key characters of `MIN_RUN` and
 more that overlap no base span, and reports those that a bigram model of random strings explains better than one of ordinary
 identifiers by a log-likelihood ratio of at least `MIN_LLR` nats in all and `MEAN_LLR` a transition. Both models are trained
-from labelled samples: strings with a flag. `samples` labels a corpus with its own base kinds: their values are random,
-other long runs are ordinary. The models are two tables over pairs of 67 characters, whatever the corpus, so the driver may
-hold them; one aggregate with partial sums fills them from every document.
+from labelled samples: strings with a flag. `samples` labels a corpus with its own base kinds alone: their values are random,
+other long runs are ordinary. `learn` trains for a corpus: the random side holds, in equal parts, the corpus' base values and
+keys drawn over each of `DRAWN` by a digest; the ordinary side all identifiers of the corpus of any length that touch no base
+span, but for long runs that a first model, trained without long runs, already calls random. The models are two tables over
+pairs of 67 characters, whatever the corpus, so the driver may hold them; partial sums fill them from every document.
 
 Only built-in functions run. Offsets are code points. A null text counts as empty and has no spans; repeated rows get equal
 results; texts of any length are scanned whole (offsets are summed in runs, so the work stays linear). Without samples of
@@ -15,11 +17,12 @@ either sort the ratio is zero and the method adds nothing. Other columns pass th
 from __future__ import annotations
 
 import math
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationproof.llm.common import without
+from stationproof.llm.common import stored, without
 
 # Kinds in their order, patterns, the group that must have the length, the length.
 KINDS = {
@@ -32,6 +35,22 @@ ORDER = [*KINDS, METHOD]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MIN_RUN, MIN_LLR, MEAN_LLR = 20, 12.0, 0.5
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN
+#: Identifiers of any length that touch no `GAP`, which stands for a base span.
+GAP = "\uffff"
+WORD = rf"(?<![A-Za-z0-9+/_=-]|{GAP})[A-Za-z0-9+/_=-]{{2,}}+(?!{GAP})"
+#: Alphabets of drawn keys, and how many keys of `KEY` characters each gives.
+LOWER, UPPER, DIGITS = ALPHABET[26:52], ALPHABET[:26], ALPHABET[52:62]
+DRAWN = {
+    "hex": DIGITS + "abcdef",
+    "HEX": DIGITS + "ABCDEF",
+    "base32": UPPER + "234567",
+    "base36": LOWER + DIGITS,
+    "BASE36": UPPER + DIGITS,
+    "base62": UPPER + LOWER + DIGITS,
+    "base64": UPPER + LOWER + DIGITS + "+/",
+    "base64url": UPPER + LOWER + DIGITS + "-_",
+}
+KEYS, KEY = 8_000, 32
 #: Weight of each unseen pair in the models.
 PRIOR = 0.5
 CHUNK = 512
@@ -90,17 +109,55 @@ def samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return scanned.select(F.explode_outer(F.concat(pick("__base", True), pick("__runs", False))).alias("s")).where("s IS NOT NULL").select("s.value", "s.random")
 
 
+def drawn(spark: SparkSession) -> DataFrame:
+    """Keys over each alphabet of `DRAWN`, the same each time: value, source."""
+    digest = F.sha2(F.concat_ws(":", "source", "id").cast("binary"), 512)  # four hex digits a character
+    number = lambda i: F.conv(F.substring(digest, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    sources = F.explode(F.array(*[F.struct(F.lit(k).alias("source"), F.lit(v).alias("letters")) for k, v in DRAWN.items()])).alias("a")
+    rows = spark.range(KEYS).select("id", sources).select("id", "a.source", "a.letters")
+    letter = lambda i: F.substring("letters", number(i) % F.length("letters") + 1, F.lit(1))
+    return rows.select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(KEY - 1)), letter), "").alias("value"), "source")
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Distinct base values (random) and identifiers that touch none (not random), with their number: value, random, n."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    found = docs.select(text.alias("text"), F.array_sort(F.concat(*[_found(text, k, *rule) for k, rule in enumerate(KINDS.values())])).alias("base"))
+    left = F.when(F.size("base") > 0, _replaced(F.col("text"), F.col("base"), GAP)).otherwise(F.col("text"))
+    words = F.transform(F.regexp_extract_all(left, F.lit(WORD), F.lit(0)), lambda w: F.struct(w.alias("value"), F.lit(False).alias("random")))
+    values = F.transform("base", lambda s: F.struct(s["value"].alias("value"), F.lit(True).alias("random")))
+    return found.select(F.explode(F.concat(values, words)).alias("s")).groupBy("s.value", "s.random").agg(F.count("*").alias("n"))
+
+
+def learn(docs: DataFrame, text_col: str = "text") -> list[float]:
+    """The table of `train` for a corpus."""
+    known = stored(vocabulary(docs, text_col), "identifiers").withColumn("source", F.lit("corpus"))
+    labelled = known.unionByName(drawn(docs.sparkSession).withColumns({"random": F.lit(True), "n": F.lit(1).cast("long")}))
+    first = train(labelled.where(F.col("random") | (F.length("value") < MIN_RUN)))
+    return train(labelled.where(F.col("random") | (F.length("value") < MIN_RUN) | ~_random(F.col("value"), first)))
+
+
 def train(labelled: DataFrame) -> list[float]:
-    """Log ratio of the two models for each pair of characters, row by row of the alphabet."""
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("value") - 1, F.lit(1))), lambda i: F.substring("value", i, 2))
-    counted = labelled.where(F.length("value") > 1).select("random", F.explode_outer(pairs).alias("pair")).groupBy("random", "pair").agg(F.count("*").alias("n"))
+    """Log ratio of the two models for each pair of characters, row by row of the alphabet.
+
+    A column `n` counts a string so many times; with a column `source`, those of one label weigh the same in all.
+    """
+    n = F.col("n") if "n" in labelled.columns else F.lit(1)
+    source = F.col("source") if "source" in labelled.columns else F.lit("")
+    chars = F.split("value", "")
+    pairs = F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda x, y: F.concat(x, y))
+    rows = labelled.where(F.length("value") > 1).select("random", source.alias("source"), n.alias("n"), F.explode(pairs).alias("pair"))
+    counted = rows.groupBy("random", "source", "pair").agg(F.sum("n").alias("n"))
     a = len(ALPHABET)
     counts = {True: [PRIOR] * (a * a), False: [PRIOR] * (a * a)}
-    seen = set()
-    for r in counted.where(F.col("pair").rlike(f"^[{ALPHABET}]{{2}}$".replace("=-", "=\\-"))).collect():  # at most 2 x 67 x 67 rows
-        counts[r.random][ALPHABET.index(r.pair[0]) * a + ALPHABET.index(r.pair[1])] += r.n
-        seen.add(r.random)
-    if len(seen) < 2:
+    seen = sorted(counted.where(F.col("pair").rlike(f"^[{ALPHABET}]{{2}}$".replace("=-", "=\\-"))).collect())  # at most 67 x 67 rows a label and source
+    whole = Counter()
+    for r in seen:
+        whole[r.random, r.source] += r.n
+    most = {k: max(v for (random, _), v in whole.items() if random == k) for k, _ in whole}
+    for r in seen:
+        counts[r.random][ALPHABET.index(r.pair[0]) * a + ALPHABET.index(r.pair[1])] += r.n * most[r.random] / whole[r.random, r.source]
+    if len(most) < 2:
         return [0.0] * (a * a)
     out = []
     for c in range(a):
@@ -123,15 +180,15 @@ def ratio(value: Column, table: list[float]) -> Column:
     return F.element_at(F.transform(F.array(F.filter(codes, lambda c: c > 0)), total), 1)
 
 
+def _random(value: Column, table: list[float]) -> Column:
+    score = ratio(value, table)
+    return (score >= MIN_LLR) & (score >= MEAN_LLR * (F.length(value) - 1))
+
+
 def scan(docs: DataFrame, table: list[float], text_col: str = "text", out: str = "found") -> DataFrame:
     """All columns, and `out`: spans (start, kind, end, value) by start, then kind; kinds count from 0 in `ORDER`."""
     scanned = _scan(without(docs, out), text_col)
-
-    def random(r):
-        score = ratio(r["value"], table)
-        return (score >= MIN_LLR) & (score >= MEAN_LLR * (F.length(r["value"]) - 1))
-
-    extra = F.when(F.size("__runs") > 0, F.filter("__runs", random)).otherwise(F.array().cast(SPAN))
+    extra = F.when(F.size("__runs") > 0, F.filter("__runs", lambda r: _random(r["value"], table))).otherwise(F.array().cast(SPAN))
     return scanned.withColumn(out, F.array_sort(F.concat("__base", extra))).drop("__base", "__runs")
 
 
@@ -148,16 +205,20 @@ def report(docs: DataFrame, table: list[float]) -> DataFrame:
     return found.select("doc_id", *[of(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(base.cast("binary"), 256).alias("base_sha256"), _named(F.col("found")).alias("spans"))
 
 
-def redact(docs: DataFrame, table: list[float], put: str = "[secret]", text_col: str = "text") -> DataFrame:
-    """Documents with every span of `text` replaced by `put`; overlapping spans count as one."""
-    found = scan(docs, table, text_col, "__found")
-    text = F.col(f"`{text_col}`")
+def _replaced(text: Column, spans: Column, put: str) -> Column:
+    """The text with every span replaced; overlapping spans count as one."""
     zero = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("end"))
 
     def cut(acc, s):
         gap = F.when(s["start"] >= acc["end"], F.array(text.substr(acc["end"] + 1, s["start"] - acc["end"]), F.lit(put))).otherwise(F.array().cast("array<string>"))
         return F.struct(F.concat(acc["parts"], gap).alias("parts"), F.greatest(acc["end"], s["end"]).alias("end"))
 
-    whole = F.aggregate("__found", zero, cut, lambda acc: F.concat(F.array_join(acc["parts"], ""), text.substr(acc["end"] + 1, F.length(text))))
-    new = F.when(F.size("__found") > 0, whole).otherwise(text)
+    return F.aggregate(spans, zero, cut, lambda acc: F.concat(F.array_join(acc["parts"], ""), text.substr(acc["end"] + 1, F.length(text))))
+
+
+def redact(docs: DataFrame, table: list[float], put: str = "[secret]", text_col: str = "text") -> DataFrame:
+    """Documents with every span of `text` replaced by `put`; overlapping spans count as one."""
+    found = scan(docs, table, text_col, "__found")
+    text = F.col(f"`{text_col}`")
+    new = F.when(F.size("__found") > 0, _replaced(text, F.col("__found"), put)).otherwise(text)
     return found.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -7,8 +7,8 @@ from collections import defaultdict
 
 import pytest
 
-from stationproof.llm import decontaminate, licenses, secrets
-from tests.llm.data import documents, odd, prose
+from stationproof.llm import decontaminate, licenses, queries, secrets
+from tests.llm.data import SF, documents, odd, prose
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -165,3 +165,22 @@ def test_secret_samples_train_models(spark):
     docs = documents(spark, [(1, "token = abcdef0123456789abcdef01 and internationalizationframework"), (2, None)])
     assert sorted((r.value, r.random) for r in secrets.samples(docs).collect()) == [("abcdef0123456789abcdef01", True), ("abcdef0123456789abcdef01", True), ("internationalizationframework", False)]
     assert any(secrets.train(secrets.samples(docs))) and not any(secrets.train(secrets.samples(docs.where("doc_id = 2"))))
+
+
+def test_secrets_query_finds_keys_of_every_alphabet(spark, tmp_path):
+    rng = random.Random(8)
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for letters in secrets.DRAWN.values() for n in (24, 40, 64) for _ in range(10)]
+    names = ["internationalization", "einlichkeitverkeitach"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(10**9 + i, f"use {k} now") for i, k in enumerate(keys + names)], docs.schema)
+    docs.union(more).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id - 10**9: r.spans for r in queries.op9_secrets(spark, str(tmp_path)).where("doc_id >= 1000000000").collect()}
+    assert sum(f":4:{4 + len(k)}" in found[i] for i, k in enumerate(keys)) >= 0.98 * len(keys)
+    assert [found[len(keys) + i] for i in range(len(names))] == ["", ""]
+
+
+def test_long_identifiers_and_spans_in_the_vocabulary(spark):
+    docs = documents(spark, [(1, "a token=abcdef0123456789 of-x é_y zz" + " " + "g" * 300_000), (2, None), (3, "zz")])
+    got = {(r.value, r.random): r.n for r in secrets.vocabulary(docs).collect()}
+    assert got == {("abcdef0123456789", True): 2, ("of-x", False): 1, ("_y", False): 1, ("zz", False): 2, ("g" * 300_000, False): 1}
+    assert any(secrets.learn(docs)) and not any(secrets.learn(docs.where("doc_id = 2")))
