@@ -1,15 +1,19 @@
 """Brown class-based n-grams: exchange clustering, class transitions, word emissions, smoothed scores.
 
-Tokens are words (lower-cased A-Z, cut at ASCII white space) and one end a text. Every word belongs to a symbol: words that
-make up at least `SHARE` of the training tokens are symbols of their own (so there are at most 1 / SHARE), all others share one
-of `GROUPS` symbols by ending and length. Exchange clustering moves symbols between `CLASSES` classes: each round counts, from
-the symbol bigrams of the whole training corpus, every symbol's neighbours by class, and moves half of the symbols to the class
-that gains most likelihood; a round that loses likelihood is taken back. The end is a class of its own.
+Tokens are words (lower-cased A-Z, cut at ASCII white space) and one end a text. Exchange clustering moves every word of at least
+`LEAST` training occurrences between `CLASSES` classes, and as one the rarer words of a part that share ending and length
+(`group`): each round counts each word's neighbours by class and moves half of the words to the class that gains most
+likelihood; a round that loses likelihood is taken back. The end is a class of its own. A word that training has not seen
+takes the class that most training words of its group have.
+
+Words and their classes are a table of parts of about `PART` words; the corpus is kept as pieces of bigrams over the piece's
+own words. In a round each part sends every piece the classes of the piece's words, pieces return sums by word and neighbour
+class, and the part's task moves its words. Rows are packed arrays, and a task reads them in order: one piece or part at a time.
 
 score = sum of log10 P(class | class before) + log10 P(word | class), with P(word | class) = (c + 1) / (N_class + V_class + 1)
-and transitions smoothed by `SMOOTH`. Only counts per symbol and class pass through the driver; their number is bounded by
-the constants above, whatever the corpus. Counts of rarer words reach the texts by a shuffle: texts are dealt to blocks of
-about `BLOCK` characters, each block asks for its distinct words once, and block and answers meet in one task.
+and transitions smoothed by `SMOOTH`. Only counts per class (and group) pass through the driver, whatever the corpus. Counts
+and classes of words reach the texts by a shuffle: texts are dealt to blocks of about `BLOCK` characters, each block asks for
+its distinct words once, and block and answers meet in one task.
 
 Null and empty texts hold the end alone. A null doc_id counts as empty text in the split. Repeated rows count each. A block's
 texts are scored whole; identical rows share a block. An empty table gives an empty result; without training texts every
@@ -18,23 +22,28 @@ count is zero and scores come from smoothing alone. Other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationproof.llm.common import BATCH_ROWS, blank_words, stored
-from stationproof.llm.words import Recent
 
-SHARE, GROUPS, CLASSES, ROUNDS, SMOOTH = 1 / 2000, 128, 64, 8, 0.1
-BLOCK = 8_000_000
+GROUPS, CLASSES, ROUNDS, SMOOTH = 128, 64, 8, 0.1
+BLOCK, PART = 8_000_000, 50_000
+#: Occurrences from which a word is clustered alone; rarer ones alone would learn their few neighbours by heart.
+LEAST = 3
 END = b""
+#: Columns of a word's counts: classes after it, classes before it, and how often it follows itself.
+WIDTH = 2 * (CLASSES + 1) + 1
 #: Distinct words, or bigrams, a task holds before it hands them on.
 HELD_WORDS, HELD_PAIRS = 200_000, 2_000_000
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -49,7 +58,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def group(word: bytes) -> int:
-    """Of a word that is no symbol of its own: by its last two bytes and its length."""
+    """Of a word: by its last two bytes and its length."""
     return zlib.crc32(word[-2:]) % 16 * 8 + min(len(word) // 2, 7)
 
 
@@ -73,47 +82,204 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-class Symbols:
-    """Frequent words, groups of the others, and (once clustered) the class of each symbol."""
+def _row(names: str, *columns: tuple) -> pa.RecordBatch:
+    kinds = {"block": pa.int64(), "part": pa.int32(), "kind": pa.int32(), "body": pa.binary(), "c": pa.binary(), "own": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(list(v), kinds[k]) for k, v in zip(names.split(), columns)], names=names.split())
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(batch.num_rows):  # one row's body at a time
+            yield tuple(c[i].as_py() for c in batch.columns)
 
-    def __init__(self, frequent: dict[bytes, int]):
-        self.counts = {END: 0} | frequent
-        self.words = {w: i for i, w in enumerate(sorted(self.counts))}  # the end is symbol 0
-        self.size = len(self.words) + GROUPS
-        self.met = Recent("class_lm")
 
-    def _new(self, words: list[bytes]) -> list[int]:
-        get, first = self.words.get, len(self.words)
-        return [s if (s := get(w)) is not None else first + group(w) for w in words]
+def _packed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bytes:
+    """Bigrams in order of a: steps of a, and byte by byte, so that shuffles compress them well."""
+    return np.stack((np.diff(a, prepend=0), b, n)).astype("<i4").view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1).tobytes()
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.met.ensure(set(words), self._new)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
+def _unpacked(body: bytes) -> np.ndarray:
+    rows = np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(3, 4, -1).transpose(0, 2, 1)).view("<i4")[:, :, 0].astype(np.int64)
+    rows[0] = np.cumsum(rows[0])
+    return rows
 
-def bigrams(texts: DataFrame, symbols: Symbols) -> DataFrame:
-    """a, b, n: symbol b after symbol a; a text starts after an end. At most symbols squared rows."""
-    size = symbols.size
+
+def pieces(texts: DataFrame, parts: int) -> DataFrame:
+    """The corpus as bigrams of pieces: for each part the piece's words, in the order of their numbers from 1 on; part -1 has
+    the numbers a, b (0 is the end, also before a text) and their count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, held = [], 0
+        numbers: dict[bytes, int] = {END: 0}
+        runs, held, block = [], 0, TaskContext.get().partitionId() << 32
 
         def out():
+            owner = lambda w: zlib.crc32(w) % parts
+            old = list(numbers)
+            order = [0, *sorted(range(1, len(old)), key=lambda i: (owner(old[i]), old[i]))]
+            new = np.empty(len(old), np.int64)
+            new[order] = np.arange(len(old))
+            codes = [np.concatenate(([0], r[:-1])) * len(old) + r for r in map(new.__getitem__, runs)]
             code, n = np.unique(np.concatenate(codes), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code // size, pa.int32()), pa.array(code % size, pa.int32()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+            own: dict[int, list] = {}
+            for i in order[1:]:
+                own.setdefault(owner(old[i]), []).append(old[i])
+            yield _row("block part body", [block] * (len(own) + 1), [-1, *own], [_packed(code // len(old), code % len(old), n), *map(b"\n".join, own.values())])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                s = symbols.of(tokens(text))
-                codes.append(np.concatenate(([0], s[:-1])) * size + s)
-                held += len(s)
-                if held > HELD_PAIRS:
+                words = tokens(text)
+                runs.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
+                held += len(words)
+                if held > HELD_PAIRS or len(numbers) > HELD_WORDS:
                     yield from out()
-                    codes, held = [], 0
-        if codes:
+                    numbers, runs, held, block = {END: 0}, [], 0, block + 1
+        if runs:
             yield from out()
 
-    return texts.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "block long, part int, body binary")
+
+
+def owners(counts: DataFrame, parts: int) -> DataFrame:
+    """The words of each part in order, with their counts, and those clustered alone: part, body, c, own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in groupby(_rows(batches), lambda r: r[0]):
+            words, c = zip(*[r[1:] for r in rows])
+            alone = [w for w, n in zip(words, c) if n >= LEAST]
+            yield _row("part body c own", [part], [b"\n".join(words)], [np.array(c, np.int64).tobytes()], [b"\n".join(alone)])
+
+    dealt = counts.where(F.length("word") > 0).select(F.pmod(F.crc32("word"), F.lit(parts)).cast("int").alias("part"), "word", "c")
+    return dealt.repartition("part").sortWithinPartitions("part", "word").mapInArrow(run, "part int, body binary, c binary, own binary")
+
+
+def _split(body: bytes) -> list[bytes]:
+    return body.split(b"\n") if body else []
+
+
+def _places(words: list[bytes], place: dict[bytes, int]) -> np.ndarray:
+    """Numbers in a part: of the words clustered alone, then of the groups of its other words."""
+    return np.array([i if (i := place.get(w)) is not None else len(place) + group(w) for w in words], np.int32)
+
+
+def _by_part(own: DataFrame, of_blocks: DataFrame) -> DataFrame:
+    """Each part's own row and then its blocks' rows, in one task: part, kind, block, body."""
+    both = own.select("part", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("block"), "body").union(of_blocks.select("part", F.lit(1), "block", "body"))
+    return both.repartition("part").sortWithinPartitions("part", "kind", "block")
+
+
+def asks(own: DataFrame, cut: DataFrame) -> DataFrame:
+    """Places in its part of the words of a piece: part, block, body."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[bytes, int] = {}
+        for part, kind, block, body in _rows(batches):
+            words = _split(body)
+            if kind == 0:
+                place = dict(zip(words, range(len(words))))
+            else:
+                yield _row("part block body", [part], [block], [_places(words, place).tobytes()])
+
+    return _by_part(own.select("part", F.col("own").alias("body")), cut.where("part >= 0")).mapInArrow(run, "part int, block long, body binary")
+
+
+def _at_pieces(state: DataFrame, asked: DataFrame, cut: DataFrame) -> DataFrame:
+    """Each piece's places and classes by part and then its bigrams, in one task: block, kind, part, body."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = np.zeros(0, np.uint8)
+        for part, kind, block, body in _rows(batches):
+            if kind == 0:
+                classes = np.frombuffer(body, np.uint8)
+            else:
+                yield _row("block kind part body", [block], [0], [part], [body + classes[np.frombuffer(body, np.int32)].tobytes()])
+
+    sent = _by_part(state, asked).mapInArrow(send, "block long, kind int, part int, body binary")
+    both = sent.union(cut.where("part = -1").select("block", F.lit(1), "part", "body"))
+    return both.repartition("block").sortWithinPartitions("block", "kind", "part")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of each piece: block, parts, words in each part, places, classes (both from word 1 on), bigrams."""
+    for block, rows in groupby(_rows(batches), lambda r: r[0]):
+        parts, sizes, places, classes = [], [], [np.zeros(0, np.int32)], [np.zeros(0, np.uint8)]
+        for _, kind, part, body in rows:
+            if kind == 0:
+                n = len(body) // 5
+                parts.append(part)
+                sizes.append(n)
+                places.append(np.frombuffer(body, np.int32, n))
+                classes.append(np.frombuffer(body, np.uint8, n, 4 * n))
+            else:
+                yield block, parts, sizes, np.concatenate(places), np.concatenate(classes), _unpacked(body)
+
+
+def matrix(state: DataFrame, asked: DataFrame, cut: DataFrame) -> np.ndarray:
+    """Class bigrams of the training corpus."""
+    k = CLASSES + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for *_, classes, (a, b, n) in _read(batches):
+            of = np.concatenate(([0], classes)).astype(np.int64)
+            total += np.bincount(of[a] * k + of[b], n, k * k).astype(np.int64)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(total[cell], pa.int64())], names=["cell", "n"])
+
+    m = np.zeros(k * k)
+    for r in _at_pieces(state, asked, cut).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most classes squared rows
+        m[r.cell] = r.n
+    return m.reshape(k, k)
+
+
+def _turn(places: np.ndarray, part, turn: int) -> np.ndarray:
+    """Which words may move this time: half of them."""
+    x = (places.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B1) + np.asarray(part, np.uint64) * np.uint64(0x85EBCA77) + np.uint64(turn * 0xC2B2AE3D)
+    x = (x ^ (x >> np.uint64(15))) * np.uint64(0x2C1B3C6D)
+    return ((x ^ (x >> np.uint64(13))) & np.uint64(1)).astype(bool)
+
+
+def moved(state: DataFrame, asked: DataFrame, cut: DataFrame, m: np.ndarray, turn: int) -> DataFrame:
+    """Classes after half of the words have moved: part, body."""
+    k = CLASSES + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, parts, sizes, places, classes, (a, b, n) in _read(batches):
+            of = np.concatenate(([0], classes)).astype(np.int64)
+            moves = np.concatenate(([False], _turn(places, np.repeat(parts, sizes), turn)))
+            x, y = moves[a], moves[b]
+            symbol = np.concatenate(([-1], np.repeat(np.array(parts, np.int64) << 32, sizes) + places))
+            same = x & (symbol[a] == symbol[b])
+            key = np.concatenate((a[x] * WIDTH + of[b[x]], b[y] * WIDTH + k + of[a[y]], a[same] * WIDTH + WIDTH - 1))
+            code, at = np.unique(key, return_inverse=True)
+            total = np.bincount(at, np.concatenate((n[x], n[y], n[same])), len(code)).astype(np.int64)
+            ends = np.searchsorted(code, (np.cumsum([0, *sizes]) + 1) * WIDTH)
+            for part, lo, hi in zip(parts, ends, ends[1:]):
+                if lo < hi:
+                    word, column = places[code[lo:hi] // WIDTH - 1], code[lo:hi] % WIDTH
+                    yield _row("part block body", [part], [block], [total[lo:hi].tobytes() + word.astype(np.int32).tobytes() + column.astype(np.uint8).tobytes()])
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in groupby(_rows(batches), lambda r: r[0]):
+            classes = np.frombuffer(next(rows)[3], np.uint8).copy()  # a part's own row comes first
+            near = np.zeros(len(classes) * WIDTH, np.int64)
+            for _, _, _, body in rows:
+                size = len(body) // 13
+                n, word = np.frombuffer(body, np.int64, size), np.frombuffer(body, np.int32, size, 8 * size).astype(np.int64)
+                np.add.at(near, word * WIDTH + np.frombuffer(body, np.uint8, size, 12 * size), n)  # words of a group share a number
+            near = near.reshape(-1, WIDTH)
+            chosen = np.flatnonzero(near.any(axis=1))
+            for i in range(0, len(chosen), 500):
+                at = chosen[i : i + 500]
+                v, own = near[at].astype(float), classes[at].astype(np.int64)
+                g = all_gains(m, own, v[:, :k], v[:, k : 2 * k], v[:, -1])
+                g[:, 0] = -np.inf  # the end's class takes no words
+                to, line = g.argmax(axis=1), np.arange(len(at))
+                better = g[line, to] > g[line, own] + 1e-6
+                classes[at[better]] = to[better]
+            yield _row("part body", [part], [classes.tobytes()])
+
+    counted = _at_pieces(state, asked, cut).mapInArrow(count, "part int, block long, body binary")
+    return _by_part(state, counted).mapInArrow(move, "part int, body binary")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -125,76 +291,82 @@ def likelihood(m: np.ndarray) -> float:
     return float(_xlogx(m).sum() - _xlogx(m.sum(axis=0)).sum() - _xlogx(m.sum(axis=1)).sum())
 
 
-def gains(m: np.ndarray, own: int, after: np.ndarray, before: np.ndarray, twice: float) -> np.ndarray:
-    """Likelihood, by class, of putting a symbol there, with what it has in its own class taken out first.
+def all_gains(m: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Likelihood, by word and class, of putting a word there, with what it has in its own class taken out first.
 
-    after, before: its neighbours by class, `twice` of them itself.
+    after, before: its neighbours by class, `twice` of them itself. Only cells that a word's neighbours touch are worked out.
     """
-    base = m.copy()
-    base[own, :] -= after
-    base[:, own] -= before
-    base[own, own] += twice
-    after, before = after.copy(), before.copy()
-    after[own] -= twice
-    before[own] -= twice
-    diag = np.arange(len(m))
-    rows = base + after[None, :]
-    rows[diag, diag] += before + twice
-    columns = base + before[:, None]
-    columns[diag, diag] = base[diag, diag]
-    old = _xlogx(base)
-    gain = (_xlogx(rows) - old).sum(axis=1) + (_xlogx(columns) - old).sum(axis=0)
-    # Pairs with the symbol stay in the sums of its neighbours' classes wherever it goes.
-    r, c = base.sum(axis=1) + before, base.sum(axis=0) + after
-    return gain - (_xlogx(r + after.sum() + twice) - _xlogx(r)) - (_xlogx(c + before.sum() + twice) - _xlogx(c))
-
-
-def _matrix(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
-    of = F.array(*[F.lit(int(c)) for c in classes])
-    counted = pairs.groupBy(F.element_at(of, F.col("a") + 1).alias("x"), F.element_at(of, F.col("b") + 1).alias("y")).agg(F.sum("n").alias("n"))
-    m = np.zeros((CLASSES + 1, CLASSES + 1))
-    for r in counted.collect():  # at most classes squared rows
-        m[r.x, r.y] = r.n
-    return m
-
-
-def exchange(pairs: DataFrame, symbols: Symbols, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each symbol (the end has class 0) and the class bigrams."""
-    classes = np.zeros(symbols.size, int)
-    order = [s for s in np.argsort(-frequency, kind="stable") if s != 0]
-    classes[order] = np.arange(len(order)) % CLASSES + 1
-    m = _matrix(pairs, classes)
+    line = np.arange(len(own))
+    a, b = after.copy(), before.copy()
+    a[line, own] -= twice
+    b[line, own] -= twice
+    out = np.zeros(after.shape)
+    for cells, near, full, other in ((m.T, a, after, before), (m, b, before, after)):
+        i, c = np.nonzero(near)
+        if not len(i):
+            continue
+        e, o, n = np.arange(len(i)), own[i], near[i, c][:, None]
+        x = cells[c]
+        same = np.flatnonzero(c == o)
+        x[same] -= other[i[same]]
+        x[e, o] -= full[i, c]
+        x[same, o[same]] += twice[i[same]]
+        d = _xlogx(x + n) - _xlogx(x)
+        d[e, c] = 0
+        first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+        out[i[first]] += np.add.reduceat(d, first, axis=0)
+    base = np.tile(np.diag(m), (len(own), 1))
+    base[line, own] -= after[line, own] + before[line, own] - twice
+    out += _xlogx(base + a + b + twice[:, None]) - _xlogx(base)
+    # Pairs with the word stay in the sums of its neighbours' classes wherever it goes.
+    for sums, near in ((m.sum(axis=1), a), (m.sum(axis=0), b)):
+        n = near.sum(axis=1) + twice
+        rest = np.tile(sums, (len(own), 1))
+        rest[line, own] -= n
+        out -= _xlogx(rest + n[:, None]) - _xlogx(rest)
+    return out
+
+
+def gains(m: np.ndarray, own: int, after: np.ndarray, before: np.ndarray, twice: float) -> np.ndarray:
+    """`all_gains` of one word."""
+    return all_gains(m, np.array([own]), after[None, :].astype(float), before[None, :].astype(float), np.array([float(twice)]))[0]
+
+
+def exchange(own: DataFrame, cut: DataFrame, parts: int) -> tuple[DataFrame, np.ndarray]:
+    """Classes of each part's words (part, body) and the class bigrams."""
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, c in _rows(batches):
+            c = np.frombuffer(c, np.int64)
+            rank = np.argsort(np.argsort(-np.concatenate((c[c >= LEAST], np.zeros(GROUPS, np.int64))), kind="stable"), kind="stable")
+            yield _row("part body", [part], [((rank * parts + part) % CLASSES + 1).astype(np.uint8).tobytes()])
+
+    state = stored(own.select("part", "c").mapInArrow(begin, "part int, body binary"), "classes")
+    asked = stored(asks(own, cut), "asks")
+    m = matrix(state, asked, cut)
     best = likelihood(m)
     for turn in range(ROUNDS):
-        of = F.array(*[F.lit(int(c)) for c in classes])
-        side = lambda own, other, k: pairs.groupBy(F.col(own).alias("s"), F.lit(k).alias("side"), F.element_at(of, F.col(other) + 1).alias("c")).agg(
-            F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same")
-        )
-        near = side("a", "b", 0).union(side("b", "a", 1)).where((F.col("s") > 0) & (F.pmod(F.xxhash64("s", F.lit(turn)), F.lit(2)) == 0))
-        grouped = near.groupBy("s").agg(F.collect_list(F.struct("side", "c", "n", "same")).alias("near"))  # at most 2 x classes entries
-
-        def move(batches: Iterator[pd.DataFrame], m=m, classes=classes) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = []
-                for s, rows in zip(b["s"], b["near"]):
-                    v = np.zeros((2, CLASSES + 1))
-                    for x in rows:
-                        v[x["side"], x["c"]] += x["n"]
-                    twice = sum(x["same"] for x in rows if x["side"] == 0)
-                    g = gains(m, classes[s], v[0], v[1], twice)
-                    g[0] = -np.inf  # the end's class takes no words
-                    to = int(g.argmax())
-                    if g[to] > g[classes[s]] + 1e-6:
-                        out.append((s, to))
-                yield pd.DataFrame(out, columns=["s", "to"])
-
-        moved = classes.copy()
-        for r in grouped.mapInPandas(move, "s int, to int").collect():  # at most one row a symbol
-            moved[r.s] = r.to
-        after = _matrix(pairs, moved)
+        new = stored(moved(state, asked, cut, m, turn), "classes")
+        after = matrix(new, asked, cut)
         if (value := likelihood(after)) > best:
-            classes, m, best = moved, after, value
-    return classes, m
+            state, m, best = new, after, value
+        gc.collect()  # shuffles of ended rounds leave the disk only with the driver's garbage
+        own.sparkSession._jvm.System.gc()
+    return state, m
+
+
+def classed(own: DataFrame, state: DataFrame) -> DataFrame:
+    """Every training word but the end: word, c, k (its class), family (its group)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for body, c, alone, classes in _rows(batches):
+            words, alone = _split(body), _split(alone)
+            k = np.frombuffer(classes, np.uint8)[_places(words, dict(zip(alone, range(len(alone)))))].astype(np.int32)
+            columns = [pa.array(words, pa.binary()), pa.array(np.frombuffer(c, np.int64)), pa.array(k), pa.array(list(map(group, words)), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "c", "k", "family"])
+
+    rows = own.join(state.withColumnRenamed("body", "classes"), "part").select("body", "c", "own", "classes")
+    return rows.mapInArrow(run, "word binary, c long, k int, family int")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -207,19 +379,21 @@ def score(docs: DataFrame) -> DataFrame:
     counts = stored(word_counts(train), "words")
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
     total, types = int(whole.n), int(whole.v)
-    common = (F.col("c") >= max(1, total * SHARE)) | (F.col("word") == F.lit(bytearray(END)))
-    symbols = Symbols({bytes(r.word): r.c for r in counts.where(common).collect()})  # at most 1 / SHARE + 1 rows
-
-    def by_symbol(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"s": symbols.of(list(b["word"])), "c": b["c"], "v": 1})
-
-    frequency, kinds = np.zeros(symbols.size), np.zeros(symbols.size)
-    for r in counts.mapInPandas(by_symbol, "s int, c long, v long").groupBy("s").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():
-        frequency[r.s], kinds[r.s] = r.c, r.v
-    pairs = stored(bigrams(train, symbols), "bigrams")
-    classes, m = exchange(pairs, symbols, frequency)
-    emission = np.log10(np.bincount(classes, frequency, CLASSES + 1) + np.bincount(classes, kinds, CLASSES + 1) + 1)
+    parts = max(1, -(-types // PART))
+    own = stored(owners(counts, parts), "parts")
+    state, m = exchange(own, stored(pieces(train, parts), "pieces"), parts)
+    known = stored(classed(own, state), "classed")
+    ends = sum(r.c for r in counts.where(F.length("word") == 0).collect())  # at most one row
+    frequency, kinds = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
+    frequency[0], kinds[0] = ends, ends > 0
+    in_group = np.zeros((GROUPS, CLASSES + 1))
+    for r in known.groupBy("family", "k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():  # at most groups x classes rows
+        frequency[r.k] += r.c
+        kinds[r.k] += r.v
+        in_group[r.family, r.k] = r.v
+    in_group[:, 1:] += in_group.sum(axis=0)[1:] / (2 * in_group.sum() + 1)  # decides where a group has no words
+    unseen = in_group[:, 1:].argmax(axis=1) + 1
+    emission = np.log10(frequency + kinds + 1)
     smooth = m + SMOOTH
     transition = np.log10(smooth / smooth.sum(axis=1, keepdims=True))
     floor = np.log10(total + types + 1)
@@ -227,7 +401,6 @@ def score(docs: DataFrame) -> DataFrame:
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).head().n
     blocks = max(1, -(-int(size) // BLOCK))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    frequent = symbols.words
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, set] = {}
@@ -235,21 +408,22 @@ def score(docs: DataFrame) -> DataFrame:
             for text, block in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                 seen.setdefault(block, set()).update(blank_words(text))
             for block in [b for b, w in seen.items() if len(w) > HELD_WORDS]:
-                yield _block_words(block, seen.pop(block), frequent)
+                yield _block_words(block, seen.pop(block))
         for block, words in seen.items():
-            yield _block_words(block, words, frequent)
+            yield _block_words(block, words)
 
     wanted = dealt.mapInArrow(asked, "block int, word binary")
-    answers = wanted.join(counts, "word").groupBy("block", "word").agg(F.first("c").alias("c")).repartition(blocks, "block")
-    number = symbols.counts
+    answers = wanted.join(known, "word").groupBy("block", "word").agg(F.first("c").alias("c"), F.first("k").alias("k")).repartition(blocks, "block")
 
-    def judge(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        of = dict(zip(known["word"], known["c"])) | number
+    def judge(texts: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+        of = dict(zip(answer["word"], zip(answer["c"], answer["k"])))
+        of[END] = ends, 0
         split = [tokens(t) for t in texts["text"]]
         distinct = list(set(chain.from_iterable(split)))  # count, logarithm and class are worked out once a word
         place = dict(zip(distinct, range(len(distinct))))
-        c = np.array([of.get(w, 0) for w in distinct], np.int64)
-        logs, kinds = np.log10(c + 1), classes[symbols.of(distinct)]
+        found = [of[w] if w in of else (0, unseen[group(w)]) for w in distinct]
+        c, kinds = np.array(found, np.int64).reshape(-1, 2).T
+        logs = np.log10(c + 1)
         out = []
         for doc_id, words, out_of in zip(texts["doc_id"], split, texts["held_out"]):
             at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
@@ -262,6 +436,5 @@ def score(docs: DataFrame) -> DataFrame:
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(judge, RESULT)
 
 
-def _block_words(block: int, words: set, frequent: dict) -> pa.RecordBatch:
-    rare = list(words.difference(frequent))
-    return pa.RecordBatch.from_arrays([pa.array([block] * len(rare), pa.int32()), pa.array(rare, pa.binary())], names=["block", "word"])
+def _block_words(block: int, words: set) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int32()), pa.array(list(words), pa.binary())], names=["block", "word"])

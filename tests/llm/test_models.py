@@ -34,6 +34,33 @@ def test_class_model(spark):
     assert class_lm.score(documents(spark, texts).where("false")).count() == 0
 
 
+def test_every_word_of_a_few_occurrences_has_its_own_class(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "PART", 300)
+    monkeypatch.setattr(class_lm, "HELD_PAIRS", 900)
+    monkeypatch.setattr(class_lm, "ROUNDS", 3)
+    rng = random.Random(2)
+    texts = [" ".join(f"{a}{rng.randint(10, 99)}{e}" for _ in range(30) for a, e in (("n", "xx"), ("v", "xx"))) for _ in range(60)] + ["rare", ""]
+    train = documents(spark, list(enumerate(texts)))
+    counts = class_lm.word_counts(train)
+    parts = 3
+    own, cut = class_lm.owners(counts, parts), class_lm.pieces(train, parts)
+    own, cut = class_lm.stored(own, "parts"), class_lm.stored(cut, "pieces")
+    state, m = class_lm.exchange(own, cut, parts)
+    classes = {bytes(r.word): r.k for r in class_lm.classed(own, state).collect()} | {b"": 0}
+    assert set(classes) == {w for t in texts for w in class_lm.tokens(t)}
+    wanted = np.zeros_like(m)
+    for t in texts:
+        k = [0, *(classes[w] for w in class_lm.tokens(t))]
+        for x, y in zip(k, k[1:]):
+            wanted[x, y] += 1
+    assert (m == wanted).all()
+    assert class_lm.group(b"n10xx") == class_lm.group(b"v10xx")  # one symbol and so one class before
+    of = {a: Counter(k for w, k in classes.items() if w.startswith(a)) for a in (b"n", b"v")}
+    assert all(len(of[a]) > 1 for a in of)
+    monkeypatch.setattr(class_lm, "ROUNDS", 0)
+    assert class_lm.likelihood(m) > class_lm.likelihood(class_lm.exchange(own, cut, parts)[1])
+
+
 def test_gains_are_differences_of_likelihood():
     rng, k, size = np.random.default_rng(1), class_lm.CLASSES + 1, 90
     pairs = rng.integers(0, 5, (size, size)).astype(float)
