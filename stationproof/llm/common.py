@@ -41,10 +41,30 @@ def fields(ddl: str) -> list[StructField]:
     return list(_parse_datatype_string(ddl).fields)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it back, whatever it holds."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Fewer rows an Arrow batch where the session has the default."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns by exact name, also where a name holds dots or appears twice."""
     taken = {n.lower() for n in names}
-    return df.select(*[df[f"`{c.replace('`', '``')}`"] for c in df.columns if c.lower() not in taken])
+    return df.select(*[df[quoted(c)] for c in df.columns if c.lower() not in taken])
 
 
 def map_text(df: DataFrame, make: Callable[[], Callable[[list], dict[str, pa.Array]]], ddl: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -53,25 +73,27 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[list], dict[str, pa.Arr
     `make` builds, once in each task, a function from a list of texts (None for null) to arrays by column name. Other
     columns pass through unread; a column that has the name of a new one is replaced. `keep` restricts what passes.
     """
-    spark = df.sparkSession
     new = fields(ddl)
     names = {f.name.lower() for f in new}
     kept = [f for f in df.schema.fields if f.name.lower() not in names and (keep is None or f.name in keep)]
-    schema = StructType(kept + new)
-    source = df if keep is None and len(kept) == len(df.columns) else df.select(*[c for c in dict.fromkeys([f.name for f in kept] + [text_col])])
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # Spark's own call looks columns up by bare name, which fails for names with dots: they are numbered on the way.
+    chosen = [f.name for f in kept] + ([] if any(f.name == text_col for f in kept) else [text_col])
+    at = chosen.index(text_col)
+    source = df.select(*map(quoted, chosen)).toDF(*[f"c{i}" for i in range(len(chosen))])
+    numbered = [f"c{i}" for i in range(len(kept) + len(new))]
+    schema = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(numbered, kept + new)])
+    bounded_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            made = fn(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
-            arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in kept] + [made[f.name] for f in new]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept + new])
+            made = fn(batch.column(at).to_pylist())
+            arrays = [batch.column(i) for i in range(len(kept))] + [made[f.name] for f in new]
+            yield pa.RecordBatch.from_arrays(arrays, names=numbered)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*[f.name for f in kept + new])
 
 
 def sha(column) -> F.Column:

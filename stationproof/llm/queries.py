@@ -9,7 +9,7 @@ import public_tokenizers as tokenizers_dir
 from pyspark.sql import DataFrame, SparkSession
 
 from stationproof.functions.state import checkpoint_dir
-from stationproof.llm import class_lm, decontaminate, licenses, near_dedup, neighbours, pieces, quality, secrets, token_counts, token_file, twins
+from stationproof.llm import bpe, class_lm, decontaminate, licenses, near_dedup, neighbours, periodic_runs, pieces, quality, resample, secrets, token_counts, token_file, twins
 from stationproof.llm.common import documents
 
 
@@ -57,6 +57,18 @@ def op10_token_file(spark: SparkSession, sf: str) -> DataFrame:
     return token_file.read(spark, folder)
 
 
+def op11_resample(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.report(resample.resample(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"), keep=["doc_id"]))
+
+
+def op12_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digests(bpe.encode(documents(spark, sf), tokenizers_dir.path("byte_bpe_50k.json"), keep=["doc_id"]))
+
+
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic_runs.report(periodic_runs.find(periodic_runs.plant(documents(spark, sf)), keep=["doc_id"]))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_class_lm": op2_class_lm,
@@ -68,10 +80,14 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_token_file": op10_token_file,
+    "op11_resample": op11_resample,
+    "op12_bpe": op12_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {
     "op1_decontaminate": twins.DECONTAMINATE,
     "op6_near_dedup": twins.NEAR_DEDUP,
     "op9_secrets": twins.SECRETS,
+    "op11_resample": twins.RESAMPLE,
 }

@@ -1,5 +1,6 @@
 """DuckDB twins of the text queries."""
 
+from stationproof.llm import resample as R
 from stationproof.llm import secrets as S
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -93,3 +94,36 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN per USING (r)
 """
+
+_DIGIT = "strpos('0123456789abcdef', substr({text}, {at}, 1)) - 1"
+_HIGH, _LOW = (_DIGIT.format(text="lower(hex(w))", at=f"2 * k + {i}") for i in (1, 2))
+
+#: crc32 goes byte by byte through a table made from its polynomial.
+RESAMPLE = f"""
+WITH t AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+  FROM (SELECT unnest(range(256)) AS i)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+sw AS (SELECT r, unnest(ws) AS w FROM d),
+tw AS (SELECT unnest({_WORDS}) AS w FROM benchmark),
+wb AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(w)), lambda k: ({_HIGH}) * 16 + {_LOW})),
+                            lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % {R.BUCKETS} AS bucket
+  FROM (SELECT DISTINCT w FROM (FROM sw UNION ALL BY NAME SELECT w FROM tw)), t),
+s AS (SELECT bucket, count(*) AS n FROM sw JOIN wb USING (w) GROUP BY bucket),
+g AS (SELECT bucket, count(*) AS n FROM tw JOIN wb USING (w) GROUP BY bucket),
+gain AS (
+  SELECT bucket, cast(floor(1000 * ln((coalesce(g.n, 0) + 1.0::double) * ((SELECT count(*) FROM sw) + {R.BUCKETS})
+         / ((s.n + 1.0::double) * ((SELECT count(*) FROM tw) + {R.BUCKETS})))) AS bigint) AS gain
+  FROM s LEFT JOIN g USING (bucket)),
+weights AS (SELECT r, sum(gain) AS weight FROM sw JOIN wb USING (w) JOIN gain USING (bucket) GROUP BY r),
+h AS (SELECT r, sha256('{R.SEED}:' || coalesce(cast(doc_id AS varchar), '')) AS x FROM d),
+u AS (SELECT r, list_sum(list_transform(range(8), lambda k: ({_DIGIT.format(text="x", at="k + 1")}) * cast(pow(16, 7 - k) AS bigint))) AS v FROM h),
+scored AS (
+  SELECT r, doc_id, len(ws) AS n, cast(coalesce(weight, 0) AS bigint) AS weight,
+         cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((v + 0.5::double) / 4294967296))) AS bigint) AS score
+  FROM d JOIN u USING (r) LEFT JOIN weights USING (r)),
+best AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE n >= {R.LEAST_WORDS}),
+drawn AS (FROM best WHERE rank <= (SELECT count(*) * {R.PERCENT} // 100 FROM best))
+SELECT doc_id, cast(n AS bigint) AS n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (r)
+"""
