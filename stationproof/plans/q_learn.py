@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stationproof import config as C
-from stationproof.functions.columns import CELL, literal_table, union_all
-from stationproof.functions.state import cut
-from stationproof.operators import canonical, coverage, deweather, explain, fault, features, learn
+from stationproof.functions.columns import CELL
+from stationproof.functions.state import checkpoint_dir, cut
+from stationproof.operators import canonical, coverage, deweather, explain, fault, features, learn, shapley
 from stationproof.plans import oracle as O
 from stationproof.plans.catalog import query
 from stationproof.plans.q_models import CAL, MET, feed, series_residuals
 from stationproof.plans.q_ops import once
 from stationproof.plans.shared import store
 
-POLLUTANTS = ("PM10", "O3")
-
-
 def matrix(spark, sf):
     return once(spark, sf, "matrix", lambda: features.matrix(store(spark, sf).readings, feed(spark, sf)))
 
 
-def table(spark, sf, parameter):
-    y = deweather.targets(store(spark, sf).readings, (parameter,)).drop("parameter")
-    return cut(y.join(matrix(spark, sf), ["station_id", "timestamp_utc"]))
-
-
 def columns():
     return features.available(has_weather=True)
 
@@ -34,50 +28,81 @@ def r(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
+_TRAINED: dict = {}
+
+
+def trained(spark, sf):
+    """All deweathering models of the data set, trained once in a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        cells = deweather.cells(store(spark, sf).readings, matrix(spark, sf), columns())
+        _TRAINED[key] = deweather.train(cells, columns())
+    return _TRAINED[key]
+
+
+O.cte(
+    dwcell=f"SELECT station_id, parameter, timestamp_utc, avg(value) AS y FROM rd WHERE value IS NOT NULL AND parameter IN {C.POLLUTANTS} GROUP BY ALL",
+    dwblock=f"SELECT parameter, timestamp_utc, ntile({C.CV_FOLDS + 1}) OVER (PARTITION BY parameter ORDER BY timestamp_utc) AS block FROM (SELECT DISTINCT parameter, timestamp_utc FROM dwcell)",
+    dwcount=f"""SELECT parameter, fold, count(*) FILTER (block <= fold) AS n_train, count(*) FILTER (block = fold + 1) AS n_test
+  FROM dwcell JOIN dwblock USING (parameter, timestamp_utc), range(1, {C.CV_FOLDS + 1}) t(fold) GROUP BY ALL""",
+)
+
+
 @query("m10_deweather_training")
 def m10(spark, sf):
-    """Forward-chaining fold metrics of boosted trees per pollutant."""
-    out = []
-    for p in POLLUTANTS:
-        _, metrics = deweather.train(table(spark, sf, p), columns(), max_iter=3)
-        out.append(metrics.withColumn("parameter", F.lit(p)))
-    return r(union_all(out), "r2", "mae")
+    """Fold metrics of the boosted trees of every carried pollutant; counts and coherence have a twin below."""
+    return r(deweather.metrics(trained(spark, sf)), "r2", "mae")
+
+
+@query(
+    "m10_fold_counts",
+    f"SELECT parameter, fold, n_train, n_test, {deweather.PARAMS.rounds}::BIGINT AS n_rounds, true AS learned FROM dwcount",
+)
+def m10_counts(spark, sf):
+    """Cells and rounds of every fold's model, and whether its trees reduce the squared error of the cells that they were grown on."""
+    t = trained(spark, sf)
+    seen = t.cells.join(t.splits.where("role = 'train'").drop("role"), ["parameter", "timestamp_utc"])
+    number = deweather.model_number(F.col("parameter"), F.col("fold"), t.pollutants, t.folds)
+    fit = deweather.fit_metrics(t.forest.predict(seen.withColumn("model", number), "y_hat"), ["parameter", "fold"])
+    out = deweather.metrics(t).select("parameter", "fold", "n_train", "n_test").join(fit.select("parameter", "fold", F.col("r2").alias("own")), ["parameter", "fold"])
+    return out.select("parameter", "fold", "n_train", "n_test", F.lit(len(t.forest.feature)).cast("bigint").alias("n_rounds"), (F.coalesce("own", F.lit(1.0)) > 0).alias("learned"))
 
 
 @query("m11_r2_band_gate")
 def m11(spark, sf):
-    _, metrics = deweather.train(table(spark, sf, "PM10"), columns(), linear=True)
-    return r(deweather.in_band(metrics), "r2", "mae")
+    return r(deweather.in_band(deweather.metrics(trained(spark, sf))), "r2", "mae")
 
 
 @query("m12_residuals")
 def m12(spark, sf):
-    out = []
-    for p in POLLUTANTS:
-        t = table(spark, sf, p)
-        model = deweather.estimator(columns(), 3).fit(t)
-        out.append(deweather.residuals(model, t, p))
-    return r(union_all(out), "actual", "predicted", "residual")
+    return r(deweather.residuals(trained(spark, sf)), "actual", "predicted", "residual")
 
 
-@query("m18_model_record")
+@query(
+    "m12_residual_cells",
+    "SELECT station_id, parameter, timestamp_utc, round(y + 1e-9, 6) AS actual, 0.0::DOUBLE AS gap FROM dwcell",
+)
+def m12_cells(spark, sf):
+    """Every present cell with its target and how far prediction and residual are from adding up to it."""
+    gap = F.round(F.abs(F.col("actual") - F.col("predicted") - F.col("residual")), 6)
+    return deweather.residuals(trained(spark, sf)).select("station_id", "parameter", "timestamp_utc", F.round(F.col("actual") + 1e-9, 6).alias("actual"), gap.alias("gap"))
+
+
+@query(
+    "m18_model_record",
+    f"""SELECT 'deweather' AS name, 'v1-' || checksum[1:8] AS version, checksum AS data_checksum, lo AS window_start, hi AS window_end, n_cells, n_models, {deweather.PARAMS.rounds}::BIGINT AS n_rounds,
+  '{",".join(columns())}' AS features, true AS same_predictions
+  FROM digest, (SELECT min(timestamp_utc) AS lo, max(timestamp_utc) AS hi, count(*) AS n_cells, count(DISTINCT parameter) * {C.CV_FOLDS + 1} AS n_models FROM dwcell)""",
+)
 def m18(spark, sf):
-    s = store(spark, sf)
-    t = table(spark, sf, "PM10")
-    model = deweather.estimator(columns(), linear=True).fit(t)
-    span = t.agg(
-        F.min("timestamp_utc").alias("window_start"), F.max("timestamp_utc").alias("window_end"), F.count(F.lit(1)).alias("n_rows")
-    )
-    sums = canonical.checksum(s.readings).select("checksum").scalar()
-    return span.withColumn("data_checksum", sums).select(
-        F.concat(F.lit("v1-"), F.substring("data_checksum", 1, 8)).alias("version"),
-        "data_checksum",
-        "window_start",
-        "window_end",
-        "n_rows",
-        F.lit(",".join(columns())).alias("features"),
-        F.lit(len(model.stages)).alias("n_stages"),
-    )
+    """The models stored with their record, found again as the latest of their name, and predicting the same."""
+    t, root = trained(spark, sf), f"{checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
+    learn.save(spark, t.forest, root, deweather.record(t, canonical.checksum(store(spark, sf).readings)))
+    forest, record = learn.load(spark, root, learn.latest(spark, root, "deweather"))
+    both = forest.predict(deweather.predicted(t), "again")
+    same = both.agg(F.bool_and(F.col("again") == F.col("y_hat")).alias("x")).scalar()
+    named = record.select("name", "version", "data_checksum", "window_start", "window_end", "n_cells", "n_models", "n_rounds", "features")
+    return named.withColumn("same_predictions", same)
 
 
 def corpus(spark, sf):
@@ -102,15 +127,15 @@ def corpus(spark, sf):
 def l6(spark, sf):
     marks, x, _ = corpus(spark, sf)
     t = learn.training_table(x, marks)
-    model, _ = learn.train(x, marks, trees=5)
-    out = model.transform(t).groupBy("label_class", F.col("fault_class").alias("predicted_class"))
+    model, _ = learn.train(x, marks)
+    out = learn.predictor(model)(t).groupBy("label_class", F.col("fault_class").alias("predicted_class"))
     return out.agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("l4_hybrid_classification")
 def l4(spark, sf):
     marks, x, flags = corpus(spark, sf)
-    model, _ = learn.train(x, marks, trees=5)
+    model, _ = learn.train(x, marks)
     return r(fault.classify(x, flags, learn.predictor(model)), "confidence")
 
 
@@ -119,7 +144,7 @@ def l9(spark, sf):
     from stationproof.operators import cv
 
     marks, x, flags = corpus(spark, sf)
-    _, held = learn.train(x, marks, trees=5)
+    _, held = learn.train(x, marks)
     b = cv.time_blocks(x, 5).where("block = 5")
     test = x.join(b.select("timestamp_utc"), "timestamp_utc", "left_semi")
     pred = cut(fault.classify(test, flags, learn.predictor(held)))
@@ -138,23 +163,27 @@ def l9(spark, sf):
     return fault.floors_met(recall, metrics)
 
 
-@query("x1_additive_attributions")
+def attributed(spark, sf):
+    """Every present cell with its prediction and what each feature adds to it."""
+    t = trained(spark, sf)
+    return shapley.attributions(deweather.predicted(t), t.forest)
+
+
+@query(
+    "x1_additive_attributions",
+    f"SELECT station_id, parameter, timestamp_utc, {len(columns())}::BIGINT AS n_features, 0.0::DOUBLE AS gap FROM dwcell",
+)
 def x1(spark, sf):
-    """Attributions of the linear model and how far their sum is from the prediction."""
-    t = table(spark, sf, "PM10")
-    cols = columns()
-    model = deweather.estimator(cols, linear=True).fit(t)
-    lin = model.stages[-1]
-    means = t.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    base = lin.intercept + sum(w * means[c] for w, c in zip(lin.coefficients, cols))
-    rows = explain.linear_attributions(model.transform(t), cols, list(lin.coefficients), [means[c] for c in cols])
-    total = F.aggregate("attributions", F.lit(0.0), lambda a, x: a + x["value"])
-    return rows.select(
-        "station_id",
-        "timestamp_utc",
-        F.round("y_hat", 4).alias("prediction"),
-        F.round(F.abs(F.col("y_hat") - total - base), 6).alias("gap"),
-    )
+    """How far base and attributions are from adding up to the prediction of every cell."""
+    total = F.aggregate("attributions", F.col("base"), lambda a, x: a + x["value"])
+    return attributed(spark, sf).select("station_id", "parameter", "timestamp_utc", F.size("attributions").cast("bigint").alias("n_features"), F.round(F.abs(F.col("y_hat") - total), 6).alias("gap"))
+
+
+@query("x1_prediction_sentences")
+def x1_sentences(spark, sf):
+    """Every cell's prediction in words, from the Shapley values of its pollutant's trees."""
+    said = explain.sentence(attributed(spark, sf)).withColumnRenamed("y_hat", "predicted")
+    return r(said.select("station_id", "parameter", "timestamp_utc", "predicted", "base", "explanation"), "predicted", "base")
 
 
 # --- sentences and routing: checked on deviations from the network mean -------------------------

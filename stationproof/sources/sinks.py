@@ -16,6 +16,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p))
+
+
 #: A reading on record: the hash is rounded to six decimals, so the exact value belongs to it.
 LOAD_KEY = ["row_hash", "timestamp_utc", "value"]
 

@@ -199,18 +199,26 @@ def test_sources(spark, tmp_path):
 
 
 def test_model_record_is_checked(spark, tmp_path):
-    from stationproof.operators import deweather, learn
+    from stationproof.operators import boosting, learn
 
-    t = spark.range(60).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
-    model = deweather.estimator(["x"], linear=True).fit(t)
-    path = str(tmp_path / "m")
+    t = spark.range(60).select(F.lit(0).alias("model"), F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
+    forest = boosting.fit(t, ["x"], 1, boosting.Params(rounds=3, min_rows=5))
+    root = str(tmp_path / "models")
+    assert learn.latest(spark, root, "deweather") is None
     with pytest.raises(ValueError):
-        learn.load(path, spark)
-    learn.save(model, {"version": learn.version("abcdef0123"), "data_checksum": "abcdef0123"}, path, spark)
-    _, rec = learn.load(path, spark, "abcdef0123")
-    assert rec["version"] == "v1-abcdef01"
+        learn.load(spark, root, "deweather-v1-abcdef01")
+    row = lambda sum_: spark.range(1).select(F.lit("deweather").alias("name"), F.lit(learn.version(sum_)).alias("version"), F.lit(sum_).alias("data_checksum"))
+    learn.save(spark, forest, root, row("abcdef0123"))
+    learn.save(spark, forest, root, row("0011223344"))
+    assert learn.latest(spark, root, "deweather") == "deweather-v1-00112233" and learn.latest(spark, root, "fault") is None
+    again, record = learn.load(spark, root, "deweather-v1-abcdef01", "abcdef0123")
+    assert record.first()["version"] == "v1-abcdef01"
+    assert again.predict(t, "p").exceptAll(forest.predict(t, "p")).isEmpty()
     with pytest.raises(ValueError):
-        learn.load(path, spark, "other")
+        learn.load(spark, root, "deweather-v1-abcdef01", "other")
+    row("other").write.mode("overwrite").parquet(f"{root}/deweather-v1-abcdef01/record")
+    with pytest.raises(ValueError):
+        learn.load(spark, root, "deweather-v1-abcdef01")
 
 
 def test_additive_attributions(spark):
