@@ -185,6 +185,15 @@ def ordered_scan(
     )
 
 
+def assign_value_blocks(df: DataFrame, keys: list[str], value: str, target: int | None = None) -> DataFrame:
+    """Like `assign_blocks` for scans in the order of a number: cut at quantiles of it."""
+    many = _long_series(df, keys, target or BLOCK_ROWS, None)
+    if many is None:
+        return df
+    out = df.join(sized_broadcast(cut(_cuts(df, keys, many, F.col(value)))), keys, "left")
+    return out.withColumn(BLK, F.struct(_place(F.col(value), "_cuts").alias("b"), F.lit(0).cast("bigint").alias("c"))).drop("_cuts")
+
+
 def drop_blocks(df: DataFrame) -> DataFrame:
     return df.drop(BLK) if BLK in df.columns else df
 
@@ -218,53 +227,89 @@ def rolling_frame(
     return out, [*keys, "_rblk"]
 
 
-def order_statistics(
-    df: DataFrame, keys: list[str], value: str, p: float, ranks: dict[str, Column]
-) -> DataFrame:
-    """Exact order statistics per group; `ranks` maps a name to a rank in terms of `_n`.
+#: Rows of one group that a single window may order; larger groups are narrowed by counting first.
+HELD_ROWS = 200_000
+#: Parts into which one round of counting cuts the values that may hold a rank.
+PARTS = 4096
+_MOST, _LEAST = 1.7976931348623157e308, 2.2250738585072014e-308
+
 
-    A mergeable quantile sketch brackets the rank, then only the distinct values inside the
-    bracket are counted and ordered. The sketch narrows the work, it never decides the answer:
-    its rank error (1/10000) is far inside the bracket of one percent either way, and groups
-    small enough to hold are not bracketed at all.
+def _part(v: Column, lo: Column, hi: Column) -> Column:
+    """Number of the part of [lo, hi] that holds v, never falling as v grows.
+
+    Parts are equal on a scale of orders of magnitude where the ends are more than four times apart or differ in sign, else
+    equal in value; so a few rounds tell any two numbers apart. Halves keep differences from overflowing.
     """
-    d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    lo_p, hi_p = max(p - 0.01, 0.0), min(p + 0.01, 1.0)
-    group = d.groupBy(*keys) if keys else d.groupBy()
-    sk = group.agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", [lo_p, hi_p], 10_000).alias("_q"),
-    ).select(
-        *keys,
-        "_n",
-        F.when(F.col("_n") > 20_000, F.col("_q")[0]).alias("_lo"),
-        F.when(F.col("_n") > 20_000, F.col("_q")[1]).alias("_hi"),
-    )
-    if keys:
-        j = d.join(sk, keys)
-    else:
-        one = sk.withColumn("_k", F.lit(1))
-        j = d.withColumn("_k", F.lit(1)).join(sized_broadcast(one), "_k").drop("_k")
-    below = F.col("_v") < F.col("_lo")
-    inside = (
-        j.where(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
-        .groupBy(*keys, "_n", F.when(below, None).otherwise(F.col("_v")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    w = W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    cum = inside.withColumn("_cum", F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    hit = lambda r: (r > F.col("_cum") - F.col("_c")) & (r <= F.col("_cum"))
-    return cum.groupBy(*keys).agg(
-        F.max("_n").alias("_n"),
-        *[F.max(F.when(hit(r), F.col("_v"))).alias(n) for n, r in ranks.items()],
-    )
+    finite = lambda c: F.least(F.greatest(c.cast("double"), F.lit(-_MOST)), F.lit(_MOST)) / 2.0
+    order = lambda c: F.when(F.abs(c) > _LEAST, F.signum(c) * (F.ln(F.abs(c)) + 709.0)).otherwise(0.0)
+    a, b, x = finite(lo), finite(hi), finite(v)
+    near = ((a > 0) & (b / 4 <= a)) | ((b < 0) & (a / 4 >= b))
+    at = F.when(near, F.try_divide(x - a, b - a)).otherwise(F.try_divide(order(x) - order(a), order(b) - order(a)))
+    return F.when(at.isNull(), (v > lo).cast("bigint")).otherwise(F.floor(at * PARTS))
+
+
+def _counted(cells: DataFrame, by: list[str], cell: str, *more: Column) -> DataFrame:
+    """Rows of every cell and of all cells of its group up to it, from counts that combine before they are shuffled."""
+    c = cells.groupBy(*by, cell).agg(F.count(F.lit(1)).alias("_c"), *more)
+    w = W.partitionBy(*by).orderBy(cell)
+    return c.withColumn("_cum", F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)))
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+def _holds(rank: Column) -> Column:
+    return (rank > F.col("_cum") - F.col("_c")) & (rank <= F.col("_cum"))
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], at_most: int | None = None) -> DataFrame:
+    """Exact order statistics per group, and its rows as `_n`; `ranks` maps a name to a rank in terms of `_n`.
+
+    Small groups count their distinct values and order them in one window. In a group of more than `HELD_ROWS` rows every rank
+    keeps an interval of values that holds it. A round counts the rows of the interval in `PARTS` equal parts of it and goes
+    on with the values of the part that holds the rank, all ranks of all groups at once. The rows are only counted, so a
+    group of any size is spread over all tasks, and no rank depends on an estimate. Missing values (null or NaN) don't count;
+    a rank outside 1 to `_n` is null. `at_most`, a known bound on the rows of a group, saves the count.
+    """
+    by = keys or ["_all"]
+    v = F.col(value)
+    source = df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
+    d = source.select(*keys, v.alias("_v")) if keys else source.select(F.lit(1).alias("_all"), v.alias("_v"))
+    names = list(ranks)
+    if at_most is None or at_most > HELD_ROWS:
+        sizes = cut(d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+        if longest(sizes, "_n") > HELD_ROWS:
+            return _selected(d, by, sizes, ranks).select(*keys, "_n", *names)
+    cum = _counted(d, by, "_v").withColumn("_n", F.sum("_c").over(W.partitionBy(*by)))
+    return cum.groupBy(*by).agg(F.max("_n").alias("_n"), *[F.max(F.when(_holds(r), F.col("_v"))).alias(n) for n, r in ranks.items()]).select(*keys, "_n", *names)
+
+
+def _selected(d: DataFrame, by: list[str], sizes: DataFrame, ranks: dict[str, Column]) -> DataFrame:
+    """Order statistics by rounds of counting, see `order_statistics`."""
+    wanted = F.array(*[F.struct(F.lit(n).alias("_name"), r.cast("bigint").alias("_rank")) for n, r in ranks.items()])
+    t = sizes.select(*by, "_n", "_lo", "_hi", F.col("_n").alias("_in"), F.lit(0).cast("bigint").alias("_below"), F.inline(wanted))
+    t = cut(t.where(F.col("_rank").between(1, F.col("_n"))))
+    span = [*by, "_lo", "_hi"]
+    open_ = (F.col("_in") > HELD_ROWS) & (F.col("_lo") < F.col("_hi"))
+
+    def inside(targets: DataFrame) -> DataFrame:
+        return d.join(sized_broadcast(targets.select(*span).distinct()), by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+
+    while not (todo := t.where(open_)).isEmpty():
+        cells = inside(todo).withColumn("_part", _part(F.col("_v"), F.col("_lo"), F.col("_hi")))
+        counted = _counted(cells, span, "_part", F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        hit = todo.join(counted, span).where(_holds(F.col("_rank") - F.col("_below")))
+        narrow = hit.select(*by, "_n", F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), F.col("_c").alias("_in"), (F.col("_below") + F.col("_cum") - F.col("_c")).alias("_below"), "_name", "_rank")
+        t = cut(t.where(~open_).unionByName(narrow))
+    small = t.where("_lo < _hi")
+    last = small.join(_counted(inside(small), span, "_v"), span).where(_holds(F.col("_rank") - F.col("_below")))
+    found = t.where("_lo = _hi").select(*by, "_name", F.col("_lo").alias("_v")).unionByName(last.select(*by, "_name", "_v"))
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in ranks])
+    return sizes.select(*by, "_n").join(wide, by, "left")
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str, at_most: int | None = None) -> DataFrame:
     """Exact median per group (mean of the two middle values), one row per group."""
     n = F.col("_n")
     out = order_statistics(
-        df, keys, value, 0.5, {"_a": F.floor((n + 1) / 2), "_b": F.floor(n / 2) + 1}
+        df, keys, value, {"_a": F.floor((n + 1) / 2), "_b": F.floor(n / 2) + 1}, at_most
     )
     return out.select(*keys, ((F.col("_a") + F.col("_b")) / 2.0).alias(name))
 

@@ -16,7 +16,7 @@ def quantile(scores: DataFrame, keys: list[str], alpha: float = C.CONFORMAL_ALPH
         raise ValueError("alpha must lie strictly between 0 and 1")
     n = F.col("_n")
     k = F.ceil((n + 1) * F.lit(1.0 - alpha))
-    out = scan.order_statistics(scores, keys, "score", 1.0 - alpha, {"_q": k})
+    out = scan.order_statistics(scores, keys, "score", {"_q": k})
     return out.select(
         *keys, n.alias("n"), F.when(k > n, float("inf")).otherwise(F.col("_q")).alias("q")
     )

@@ -118,7 +118,7 @@ def mislabelled_units(cov: Coverage, rules: dict) -> DataFrame:
     pick = lambda i: lookup({p: v[i] for p, v in rules.items()}, F.col("parameter"))
     declares = r.where(F.col("unit") == pick(0)).select(*SERIES).distinct()
     med = scan.exact_median(
-        r.join(declares, SERIES, "left_semi"), SERIES, "value", "observed_median"
+        r.join(declares, SERIES, "left_semi"), SERIES, "value", "observed_median", cov.n_rows
     )
     return med.where(F.col("observed_median").between(pick(2), pick(3))).select(
         *SERIES,

@@ -34,7 +34,7 @@ def residual_features(residuals: DataFrame, at_most: int | None = None) -> DataF
         F.when(F.min(r) == F.max(r), 0.0).otherwise(F.stddev_pop(r)).alias("_rs"),
         F.when(F.min(a) == F.max(a), 0.0).otherwise(F.stddev_pop(a)).alias("_as"),
     )
-    med = scan.exact_median(residuals, SERIES, "actual", "_med")
+    med = scan.exact_median(residuals, SERIES, "actual", "_med", at_most)
     blocked = scan.assign_blocks(residuals, SERIES, seq=None, at_most=at_most)
     rows = scan.ordered_scan(blocked, SERIES, ["timestamp_utc"], sums={"_rn": F.lit(1).cast("bigint")})
     rows, part = scan.rolling_frame(scan.drop_blocks(rows), SERIES, "_rn", 24)

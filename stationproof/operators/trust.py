@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from stationproof import config as C
 from stationproof import registry
 from stationproof.functions import scan
-from stationproof.functions.columns import CELL, SERIES, at_secs, lookup, secs
+from stationproof.functions.columns import CELL, SERIES, at_secs, lookup, secs, sized_broadcast
+from stationproof.functions.state import cut
 from stationproof.operators import runs
 from stationproof.operators.coverage import Coverage
 
@@ -180,8 +181,52 @@ def _average_rank(v: str, group: list[str]) -> Column:
     return F.rank().over(W.partitionBy(*group).orderBy(v)) + (ties - 1) / 2.0
 
 
-def rank_agreement(readings: DataFrame, series: DataFrame, c: Clock) -> DataFrame:
-    """Spearman correlation of each series with each of its peers per instant."""
+def _rho(n: Column, s1: Column, s2: Column, q1: Column, q2: Column, p: Column) -> Column:
+    """Correlation from sums of ranks, their squares and products; null where one side does not vary."""
+    return (n * p - s1 * s2) / F.nullif(F.sqrt((n * q1 - s1 * s1) * (n * q2 - s2 * s2)), F.lit(0.0))
+
+
+def _usable() -> Column:
+    return (F.min("value") < F.max("value")) & (F.min("peer_value") < F.max("peer_value"))
+
+
+def _small_groups(w: DataFrame, group: list[str]) -> DataFrame:
+    """Spearman correlation of groups that one window can hold each."""
+    ranked = w.withColumns({"r1": _average_rank("value", group), "r2": _average_rank("peer_value", group)})
+    # sums of ranks are exact, and zero spread gives null instead of a division by zero
+    of = lambda c: F.sum(c)
+    r1, r2 = F.col("r1"), F.col("r2")
+    n = F.count(F.lit(1))
+    rho = _rho(n, of(r1), of(r2), of(r1 * r1), of(r2 * r2), of(r1 * r2))
+    return ranked.groupBy(*group).agg(F.when((n >= C.PEERS_MIN_POINTS) & _usable(), rho).alias("rho"))
+
+
+def _value_ranks(cells: DataFrame, group: list[str], v: str, name: str, target: int | None) -> DataFrame:
+    """Average rank of every distinct value of a group: the values are counted first, and many of them are ordered in blocks."""
+    d = cells.groupBy(*group, v).agg(F.sum("m").alias("_m"))
+    upto = scan.ordered_scan(scan.assign_value_blocks(d, group, v, target), group, [v], sums={"_cum": F.col("_m")})
+    return scan.drop_blocks(upto).select(*group, v, (F.col("_cum") - (F.col("_m") - 1) / 2.0).alias(name))
+
+
+def _large_groups(w: DataFrame, group: list[str], target: int | None) -> DataFrame:
+    """The same from counts of distinct pairs of values, so that no task holds a group."""
+    cells = cut(w.groupBy(*group, "value", "peer_value").agg(F.count(F.lit(1)).alias("m")))
+    j = cells.join(_value_ranks(cells, group, "value", "r1", target), [*group, "value"])
+    j = j.join(_value_ranks(cells, group, "peer_value", "r2", target), [*group, "peer_value"])
+    of = lambda c: F.sum(F.col("m") * c)
+    r1, r2 = F.col("r1"), F.col("r2")
+    n = F.sum("m")
+    rho = _rho(n, of(r1), of(r2), of(r1 * r1), of(r2 * r2), of(r1 * r2))
+    return j.groupBy(*group).agg(F.when((n >= C.PEERS_MIN_POINTS) & _usable(), rho).alias("rho"))
+
+
+def rank_agreement(readings: DataFrame, series: DataFrame, c: Clock, at_most: int | None = None, target: int | None = None) -> DataFrame:
+    """Spearman correlation of each series with each of its peers per instant.
+
+    Groups of more than `target` pairs (scan.BLOCK_ROWS) go by counts of values. `at_most`, a known bound on the rows of a
+    series, tells without a count that there are none.
+    """
+    target = target or scan.BLOCK_ROWS
     first = first_values(readings).where(F.col("value").isNotNull())
     other = first.select(
         F.col("station_id").alias("peer_id"), "parameter", "timestamp_utc", F.col("value").alias("peer_value")
@@ -189,28 +234,19 @@ def rank_agreement(readings: DataFrame, series: DataFrame, c: Clock) -> DataFram
     pairs = first.join(peers(series), SERIES).join(other, ["peer_id", "parameter", "timestamp_utc"])
     group = [*SERIES, "peer_id", "k"]
     w = in_windows(pairs, c).select(*group, "value", "peer_value")
-    ranked = w.withColumns(
-        {"r1": _average_rank("value", group), "r2": _average_rank("peer_value", group)}
-    )
-    usable = (
-        (F.count(F.lit(1)) >= C.PEERS_MIN_POINTS)
-        & (F.min("value") < F.max("value"))
-        & (F.min("peer_value") < F.max("peer_value"))
-    )
-    # sums of ranks are exact, and zero spread gives null instead of a division by zero
-    n = F.count(F.lit(1))
-    s1, s2 = F.sum("r1"), F.sum("r2")
-    spread = lambda r, t: n * F.sum(F.col(r) * F.col(r)) - t * t
-    scale = F.sqrt(spread("r1", s1) * spread("r2", s2))
-    rho = (n * F.sum(F.col("r1") * F.col("r2")) - s1 * s2) / F.nullif(scale, F.lit(0.0))
-    return (
-        ranked.groupBy(*group)
-        .agg(F.when(usable, rho).alias("rho"))
-        .where(F.col("rho").isNotNull())
-    )
-
-
-def cross_sensor(readings: DataFrame, series: DataFrame, c: Clock) -> DataFrame:
+    if at_most is not None and at_most <= target:
+        return _small_groups(w, group).where(F.col("rho").isNotNull())
+    # the pairs of an instant are counted before they are repeated for the windows that hold it
+    ticks = pairs.groupBy(*SERIES, "peer_id", "timestamp_utc").count()
+    hot = cut(in_windows(ticks, c).groupBy(*group).agg(F.sum("count").alias("n")).where(F.col("n") > target).select(*group))
+    if hot.isEmpty():
+        return _small_groups(w, group).where(F.col("rho").isNotNull())
+    hot = sized_broadcast(hot)
+    rest = _small_groups(w.join(hot, group, "left_anti"), group)
+    return rest.unionByName(_large_groups(w.join(hot, group, "left_semi"), group, target)).where(F.col("rho").isNotNull())
+
+
+def cross_sensor(readings: DataFrame, series: DataFrame, c: Clock, at_most: int | None = None) -> DataFrame:
     """Agreement with peers averaged over a station's parameters."""
     own = in_windows(
         readings.groupBy(*CELL).agg(
@@ -221,7 +257,7 @@ def cross_sensor(readings: DataFrame, series: DataFrame, c: Clock) -> DataFrame:
         (F.coalesce(F.min("value") == F.max("value"), F.lit(True))).alias("frozen")
     )
     n_peers = peers(series).groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n_peers"))
-    rho = rank_agreement(readings, series, c).groupBy(*SERIES, "k").agg(
+    rho = rank_agreement(readings, series, c, at_most).groupBy(*SERIES, "k").agg(
         F.avg("rho").alias("rho"), F.count(F.lit(1)).alias("n_valid")
     )
     x = (
@@ -302,7 +338,7 @@ def components(cov: Coverage, defects: DataFrame) -> DataFrame:
         covered.select(*KEY)
         .join(health(defects, cov.series, c, covered), KEY)
         .join(imputation(cov, c, covered), KEY)
-        .join(cross_sensor(cov.readings, cov.series, c), KEY, "left")
+        .join(cross_sensor(cov.readings, cov.series, c, cov.n_rows), KEY, "left")
         .join(plausibility(cov.readings, defects, c), KEY, "left")
         .join(severity_above(defects, c), KEY, "left")
     )

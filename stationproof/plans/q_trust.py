@@ -331,13 +331,13 @@ def t5(spark, sf):
 @query("t6_rank_agreement", "SELECT station_id, parameter, peer_id, k, round(rho, 6) AS rho FROM rhos")
 def t6a(spark, sf):
     s, c = clk(spark, sf)
-    return trust.rank_agreement(s.readings, s.cov.series, c).withColumn("rho", F.round("rho", 6))
+    return trust.rank_agreement(s.readings, s.cov.series, c, s.cov.n_rows).withColumn("rho", F.round("rho", 6))
 
 
 @query("t6_cross_sensor", "SELECT station_id, k, round(consistency, 6) AS consistency, n_scored, n_disagree, few_peers FROM t_cross WHERE (station_id, k) IN (SELECT (station_id, k) FROM cross1)")
 def t6(spark, sf):
     s, c = clk(spark, sf)
-    return trust.cross_sensor(s.readings, s.cov.series, c).withColumn("consistency", F.round("consistency", 6))
+    return trust.cross_sensor(s.readings, s.cov.series, c, s.cov.n_rows).withColumn("consistency", F.round("consistency", 6))
 
 
 @query("t7_plausibility", "SELECT station_id, k, round(plausibility, 6) AS plausibility, n_readings, implausible FROM t_plaus WHERE (station_id, k) IN (SELECT (station_id, k) FROM plaus0 UNION SELECT (station_id, k) FROM veto)")

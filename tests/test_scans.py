@@ -92,10 +92,62 @@ def test_exact_median_and_order_statistics(spark):
     for k in ("a", "b"):
         assert got[k] == statistics.median(v for kk, v in data if kk == k)
     n = sum(1 for k, _ in data if k == "a")
-    nth = scan.order_statistics(df, ["k"], "v", 0.9, {"q": F.ceil(F.col("_n") * 0.9)}).where("k = 'a'").first().q
+    nth = scan.order_statistics(df, ["k"], "v", {"q": F.ceil(F.col("_n") * 0.9)}).where("k = 'a'").first().q
     assert nth == sorted(v for k, v in data if k == "a")[-(-n * 9 // 10) - 1]
 
 
+def test_ranks_by_counting_rounds_are_exact(spark, monkeypatch):
+    """Outliers, ties over most of a group, extremes, missing values and ranks outside the group."""
+    rnd = random.Random(8)
+    data = {
+        "ties": [0.25] * 3000 + [rnd.random() for _ in range(500)],
+        "wide": [rnd.choice([-1, 1]) * 10 ** rnd.uniform(-300, 300) for _ in range(900)] + [float("inf"), -float("inf"), 1.7e308, -1.7e308, 0.0],
+        "same": [7.0] * 800,
+        "small": [3.0, 1.0, 2.0],
+        "none": [None, float("nan")],
+    }
+    rows = [(k, v) for k, vs in data.items() for v in vs] + [("ties", None), ("ties", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    n = F.col("_n")
+    ranks = {"first": F.lit(1), "mid": F.floor((n + 1) / 2), "q9": F.ceil(n * 0.9), "last": n, "over": n + 1}
+
+    def wanted(vs):
+        vs = sorted(v for v in vs if v is not None and v == v)
+        return (len(vs), vs[0], vs[(len(vs) + 1) // 2 - 1], vs[-(-len(vs) * 9 // 10) - 1], vs[-1], None)
+
+    truth = {k: wanted(vs) for k, vs in data.items() if k != "none"}
+    everything = [v for vs in data.values() for v in vs]
+    for held in (200_000, 40):
+        monkeypatch.setattr(scan, "HELD_ROWS", held)
+        monkeypatch.setattr(scan, "PARTS", 256)
+        got = {r[0]: tuple(r)[1:] for r in scan.order_statistics(df, ["k"], "v", ranks).collect()}
+        assert got == truth
+        assert tuple(scan.order_statistics(df.where("k <> 'ties' OR v > 0"), [], "v", ranks).first()) == wanted(everything)
+
+
+def test_a_hot_group_is_never_ordered_whole(spark, monkeypatch):
+    monkeypatch.setattr(scan, "HELD_ROWS", 1000)
+    df = spark.range(60_000).selectExpr("if(id % 50 = 0, id div 50 % 7, 7) AS k", "if(id % 3 = 0, 5.0D, id / 7.0D) AS v")
+    made = scan.exact_median(df, ["k"], "v", "m")
+    values = {}
+    for r in df.collect():
+        values.setdefault(r.k, []).append(r.v)
+    assert {r.k: r.m for r in made.collect()} == {k: statistics.median(v) for k, v in values.items()}
+
+
+@pytest.mark.parametrize("target", [40, 300])
+def test_rank_agreement_by_counts_equals_windows(spark, target):
+    from stationproof.operators import trust
+
+    readings = views.readings(spark, "/root/testdata/sf0.01").cache()
+    cov = coverage.build(readings)
+    c = trust.clock(cov.series)
+    plain = trust.rank_agreement(readings, cov.series, c, at_most=cov.n_rows)
+    counted = trust.rank_agreement(readings, cov.series, c, target=target)
+    key = lambda df: {tuple(r)[:4]: round(r.rho, 9) for r in df.collect()}
+    assert key(plain) == key(counted) and len(key(plain)) > 50
+
+
 def test_rolling_across_blocks(rows):
     from pyspark.sql import Window as W
 
