@@ -234,7 +234,7 @@ PARTS = 4096
 _MOST, _LEAST = 1.7976931348623157e308, 2.2250738585072014e-308
 
 
-def _part(v: Column, lo: Column, hi: Column) -> Column:
+def value_part(v: Column, lo: Column, hi: Column, parts: int) -> Column:
     """Number of the part of [lo, hi] that holds v, never falling as v grows.
 
     Parts are equal on a scale of orders of magnitude where the ends are more than four times apart or differ in sign, else
@@ -245,7 +245,7 @@ def _part(v: Column, lo: Column, hi: Column) -> Column:
     a, b, x = finite(lo), finite(hi), finite(v)
     near = ((a > 0) & (b / 4 <= a)) | ((b < 0) & (a / 4 >= b))
     at = F.when(near, F.try_divide(x - a, b - a)).otherwise(F.try_divide(order(x) - order(a), order(b) - order(a)))
-    return F.when(at.isNull(), (v > lo).cast("bigint")).otherwise(F.floor(at * PARTS))
+    return F.when(at.isNull(), (v > lo).cast("bigint")).otherwise(F.floor(at * parts))
 
 
 def _counted(cells: DataFrame, by: list[str], cell: str, *more: Column) -> DataFrame:
@@ -293,7 +293,7 @@ def _selected(d: DataFrame, by: list[str], sizes: DataFrame, ranks: dict[str, Co
         return d.join(sized_broadcast(targets.select(*span).distinct()), by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
 
     while not (todo := t.where(open_)).isEmpty():
-        cells = inside(todo).withColumn("_part", _part(F.col("_v"), F.col("_lo"), F.col("_hi")))
+        cells = inside(todo).withColumn("_part", value_part(F.col("_v"), F.col("_lo"), F.col("_hi"), PARTS))
         counted = _counted(cells, span, "_part", F.min("_v").alias("_min"), F.max("_v").alias("_max"))
         hit = todo.join(counted, span).where(_holds(F.col("_rank") - F.col("_below")))
         narrow = hit.select(*by, "_n", F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), F.col("_c").alias("_in"), (F.col("_below") + F.col("_cum") - F.col("_c")).alias("_below"), "_name", "_rank")

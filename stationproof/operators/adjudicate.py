@@ -7,11 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stationproof import config as C
-from stationproof.functions import geo, scan
-from stationproof.functions.columns import CELL, SERIES, at_secs, secs
+from stationproof.functions import geo, prefix, scan
+from stationproof.functions.columns import CELL, SERIES, at_secs, secs, sized_broadcast
 from stationproof.functions.state import cut
 from stationproof.operators import graph
 
+#: Rows that requests and the histories of their series may make when they are joined.
+MOST_ROWS = 20_000_000
 AMBIGUOUS, GENUINE, FAULT = "AMBIGUOUS", "GENUINE_EVENT", "LIKELY_FAULT"
 
 
@@ -28,6 +30,7 @@ def baselines(
     values: DataFrame,
     hours: int = C.BASELINE_HOURS,
     whole_series: bool = False,
+    most_rows: int = MOST_ROWS,
 ) -> DataFrame:
     """Median of a series before an instant: trailing window, else everything earlier, else
     (on request) the whole series.
@@ -50,15 +53,28 @@ def baselines(
     open_q = cut(q.join(out.select(*keys), keys, "left_anti"))
     if open_q.isEmpty():
         return out
-    earlier = open_q.join(v, SERIES).where(F.col("_s") < F.col("_t"))
-    second = cut(scan.exact_median(earlier, keys, "_val", "baseline"))
+    second = cut(earlier_baselines(open_q, keys, v, most_rows))
     found = out.unionByName(second)
     if whole_series:
-        rest = open_q.join(second.select(*keys), keys, "left_anti").join(v, SERIES)
-        found = found.unionByName(scan.exact_median(rest, keys, "_val", "baseline"))
+        rest = open_q.join(second.select(*keys), keys, "left_anti")
+        of_series = scan.exact_median(v.join(sized_broadcast(rest.select(*SERIES).distinct()), SERIES, "left_semi"), SERIES, "_val", "baseline")
+        found = found.unionByName(rest.join(of_series, SERIES).select(*keys, "baseline"))
     return found
 
 
+def earlier_baselines(asked: DataFrame, keys: list[str], values: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Median of everything before each request.
+
+    Where requests times the rows of their series stay within `most_rows`, they are joined; beyond that the medians come from
+    counts over a tree of days. The results are the same.
+    """
+    per_series = asked.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_q")).join(values.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n")), SERIES)
+    if (per_series.agg(F.sum(F.col("_q") * F.col("_n"))).first()[0] or 0) <= most_rows:
+        earlier = asked.join(values, SERIES).where(F.col("_s") < F.col("_t"))
+        return scan.exact_median(earlier, keys, "_val", "baseline")
+    return prefix.earlier_medians(asked, keys, values, SERIES, "baseline")
+
+
 def candidates(events: DataFrame, values: DataFrame, hours: int = C.BASELINE_HOURS) -> DataFrame:
     """Events with their value, baseline and excess; those whose series does not exist drop out.
 
