@@ -51,6 +51,11 @@ def with_cell(df: DataFrame, lat: str, lon: str, size_km: float, radius: float)
     return df.withColumn("_cell", F.struct(*_cube(lat, lon, size_km, radius)))
 
 
+def with_base_cell(df: DataFrame, lat: str, lon: str, size_km: float, radius: float = C.EARTH_KM) -> DataFrame:
+    """Add the lattice cell of a point as `_x`, `_y` and `_z`."""
+    return df.withColumns(dict(zip(("_x", "_y", "_z"), _cube(lat, lon, size_km, radius))))
+
+
 def with_near_cells(
     df: DataFrame, lat: str, lon: str, size_km: float, radius: float
 ) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stationproof import config as C
 from stationproof.functions import geo
+from stationproof.functions.columns import sized_broadcast
 from stationproof.functions.state import cut
 
 
@@ -73,37 +76,61 @@ def exposure_for(stations, stops, stop_times, trips) -> DataFrame | None:
     return exposure_layer(service_intensity(stations, stops_with_routes(stops, stop_times, trips)))
 
 
+def _levels(first_km: float) -> int:
+    """Levels of the pyramid: cells of the last one are wider than the globe."""
+    return math.ceil(math.log2(2.0 * C.EARTH_KM / first_km)) + 1
+
+
+def _in_level(base: list, level) -> Column:
+    """Cell of a base cell at a level of the pyramid."""
+    x, y, z = (F.call_function("shiftright", c, level) for c in base)
+    return F.struct(level.alias("level"), x.alias("x"), y.alias("y"), z.alias("z"))
+
+
+def _around(df: DataFrame, level: Column, keep: list[str]) -> DataFrame:
+    """One row per cell at a level that touches the own one or is it, as `cell`."""
+    out = df.withColumn("_at", _in_level([F.col("_x"), F.col("_y"), F.col("_z")], level))
+    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    at = lambda s: F.struct(F.col("_at.level").alias("level"), *[(F.col(f"_at.{a}") + d).alias(a) for a, d in zip("xyz", s)])
+    return out.select(*keep, F.explode(F.array(*[at(s) for s in steps])).alias("cell"))
+
+
+def _ring(asked: DataFrame, points: DataFrame, level: str, k: int) -> DataFrame:
+    """The k nearest points of every station among those in the cells around it at its level."""
+    cells = _around(asked, F.col(level), ["station_id", "lat", "lon"])
+    wanted = cut(cells.select("cell").distinct())
+    used = [r[0] for r in wanted.select("cell.level").distinct().collect()]
+    base = [F.col("_x"), F.col("_y"), F.col("_z")]
+    own = F.explode(F.array(*[_in_level(base, F.lit(i)) for i in used])) if used else F.lit(None).cast("struct<level:int,x:bigint,y:bigint,z:bigint>")
+    placed = points.select("point_id", "p_lat", "p_lon", own.alias("cell")).join(sized_broadcast(wanted), "cell", "left_semi")
+    near = cells.join(placed, "cell").withColumn("distance_km", geo.haversine_km("lat", "lon", "p_lat", "p_lon"))
+    w = W.partitionBy("station_id").orderBy(F.round("distance_km", 9), "point_id")
+    ranked = near.select("station_id", "point_id", "distance_km", F.row_number().over(w).cast("bigint").alias("rank"))
+    return ranked.where(F.col("rank") <= k)
+
+
 def nearest(
     stations: DataFrame, points: DataFrame, k: int = C.ROAD_K, first_km: float = 0.25
 ) -> DataFrame:
     """The k nearest points (point_id, p_lat, p_lon) of every station, ties by id.
 
-    The search radius grows for stations that have fewer than k points inside it; a station
-    is settled once k points lie within the radius, because nothing outside can be nearer.
+    A pyramid of lattice cells, each level twice as wide, holds the number of points of every cell. A station starts at the
+    lowest level at which the cells around it hold k points; the distance of the k-th of those bounds the true one, and the
+    cells around it that are as wide as that bound hold the answer. So points are read twice, whatever the density.
     """
-    todo = stations.select("station_id", "lat", "lon")
-    n_points = points.limit(k).count()
-    found, radius = [], first_km
-    half_turn = 3.15 * C.EARTH_KM
-    while True:
-        last = radius >= half_turn
-        pairs = geo.radius_join(todo, points, radius, ("lat", "lon"), ("p_lat", "p_lon"))
-        w = W.partitionBy("station_id").orderBy(F.round("distance_km", 9), "point_id")
-        best = pairs.select("station_id", "point_id", "distance_km").withColumn(
-            "rank", F.row_number().over(w)
-        )
-        # every round is written, so a later round never repeats an earlier one
-        best = cut(best.where(F.col("rank") <= k))
-        full = best.groupBy("station_id").count().where(F.col("count") >= min(k, n_points))
-        found.append(best.join(full.select("station_id"), "station_id", "left_semi"))
-        todo = cut(todo.join(full.select("station_id"), "station_id", "left_anti"))
-        if last or n_points == 0 or todo.isEmpty():
-            break
-        radius *= 4
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.withColumn("rank", F.col("rank").cast("bigint"))
+    st = geo.with_base_cell(stations.select("station_id", "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL"), "lat", "lon", first_km)
+    pt = geo.with_base_cell(points.select("point_id", "p_lat", "p_lon").where("p_lat IS NOT NULL AND p_lon IS NOT NULL"), "p_lat", "p_lon", first_km)
+    top = _levels(first_km)
+    least = min(k, pt.limit(k).count())
+    every = F.explode(F.sequence(F.lit(0), F.lit(top)))
+    level = pt.select("_x", "_y", "_z", every.alias("_level")).groupBy(_in_level([F.col("_x"), F.col("_y"), F.col("_z")], F.col("_level")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    around = _around(st.withColumn("_level", every), F.col("_level"), ["station_id"])
+    start = around.join(level, "cell").groupBy("station_id", F.col("cell.level").alias("_level")).agg(F.sum("n").alias("n"))
+    start = start.where(F.col("n") >= max(least, 1)).groupBy("station_id").agg(F.min("_level").alias("_level"))
+    first = cut(_ring(cut(st.join(start, "station_id")), pt, "_level", least))
+    bound = first.groupBy("station_id").agg(F.max("distance_km").alias("_far"))
+    wide = F.ceil(F.log2(F.greatest(F.col("_far") * (1 + 1e-9), F.lit(first_km)) / first_km)).cast("int")
+    return _ring(cut(st.join(bound, "station_id").withColumn("_level", F.least(wide, F.lit(top)))), pt, "_level", least)
 
 
 def corridors(stops: DataFrame, max_cells: int = C.CORRIDORS_MAX) -> DataFrame:
