@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from stationproof.functions.columns import CELL, SERIES, secs
-from stationproof.functions.state import cut
+from stationproof.functions.columns import CELL, SERIES, secs, union_all
+from stationproof.functions.state import checkpoint_dir, cut
 from stationproof.operators import audit, canonical, coverage, ops, reads
 from stationproof.plans import oracle as O
 from stationproof.plans import views
@@ -16,6 +18,7 @@ from stationproof.plans.q_trust import scores as compute_scores
 from stationproof.plans.shared import store
 from stationproof.sources import readings as src
 from stationproof.sources import sinks
+from stationproof.sources.runstore import RunStore
 
 _CACHE: dict = {}
 
@@ -412,6 +415,81 @@ def o11r(spark, sf):
     return ops.recent(c, "requested_at", "request_id", 20).select("request_id", "requested_at", "reason")
 
 
+# --- runs on record ----------------------------------------------------------------------------
+#: Two configurations of one audit: all flags, and the grave ones an hour later.
+CONFIGS = ("cfg00000", "cfg00001")
+_RUNS: dict = {}
+
+
+def run_store(spark, sf):
+    """Both runs with their readings, defects, coverage facts and events, committed once in a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        s, rs = store(spark, sf), RunStore(spark, f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}")
+        facts = coverage.structural_absences(s.readings, s.cov.series, s.cov.n_rows)
+        end = s.readings.agg(F.max("timestamp_utc").alias("x")).scalar()
+        for i, config in enumerate(CONFIGS):
+            defects = s.defects if i == 0 else s.defects.where("severity IN ('critical', 'high')")
+            meta = audit.run_meta(s.readings, config)
+            run = meta.first()["audit_run_id"]
+            described = meta.drop("audit_run_id").withColumn("generated_at", end + F.expr(f"INTERVAL {i} HOUR"))
+            tables = {"runs": described, "defects": defects, "coverage_facts": facts, "events": events(spark, sf)}
+            rs.commit(run, tables | ({"readings": s.readings} if i == 0 else {}))
+        _RUNS[key] = rs
+    return _RUNS[key]
+
+
+O.cte(
+    runrow="""SELECT 'ar_' || checksum || '_' || c AS audit_run_id, '0.1.0' AS code_version, c AS config_hash, checksum AS data_checksum, n_rows, (SELECT max(timestamp_utc) FROM rd) + to_hours(i) AS generated_at
+  FROM digest, (VALUES (0, 'cfg00000'), (1, 'cfg00001')) t(i, c)""",
+    rundef="SELECT audit_run_id, d.* FROM runrow, defect d WHERE config_hash = 'cfg00000' OR severity IN ('critical', 'high')",
+)
+
+
+@query(
+    "k3_run_tables",
+    """SELECT audit_run_id, 'runs' AS name, 1::BIGINT AS n_rows FROM runrow UNION ALL SELECT audit_run_id, 'defects', count(*) FROM rundef GROUP BY ALL
+  UNION ALL SELECT audit_run_id, 'coverage_facts', n FROM runrow, (SELECT count(*) AS n FROM structural) UNION ALL SELECT audit_run_id, 'events', n FROM runrow, (SELECT count(*) AS n FROM evt)""",
+)
+def k3_tables(spark, sf):
+    """Rows of every stored table of every run."""
+    rs = run_store(spark, sf)
+    names = ("runs", "defects", "coverage_facts", "events")
+    return union_all([rs.table(n).groupBy("audit_run_id").agg(F.count(F.lit(1)).alias("n_rows")).select("audit_run_id", F.lit(n).alias("name"), "n_rows") for n in names])
+
+
+RUN_COLUMNS = ["audit_run_id", "code_version", "config_hash", "data_checksum", "n_rows", "generated_at"]
+
+
+@query("q10_audit_runs", "SELECT * FROM runrow ORDER BY audit_run_id LIMIT 50")
+def q10_runs(spark, sf):
+    return run_store(spark, sf).page(50).select(RUN_COLUMNS)
+
+
+@query("q10_latest_run", "SELECT * FROM runrow ORDER BY generated_at DESC, audit_run_id LIMIT 1")
+def q10_latest(spark, sf):
+    return run_store(spark, sf).latest_run().select(RUN_COLUMNS)
+
+
+@query("q11_run_defects", "SELECT audit_run_id, station_id, parameter, timestamp_utc, reason_code, severity FROM rundef WHERE audit_run_id = (SELECT audit_run_id FROM runrow ORDER BY generated_at DESC LIMIT 1)")
+def q11_defects(spark, sf):
+    """Every defect of the latest run."""
+    rs = run_store(spark, sf)
+    return rs.run_defects(rs.latest_run().first()["audit_run_id"]).select("audit_run_id", *CELL, "reason_code", "severity")
+
+
+@query("o11_recent_runs", "SELECT audit_run_id, generated_at, n_rows FROM runrow ORDER BY generated_at DESC, audit_run_id LIMIT 10")
+def o11_runs(spark, sf):
+    return run_store(spark, sf).recent(10).select("audit_run_id", "generated_at", "n_rows")
+
+
+@query("s10_stored_days", "SELECT row_hash, station_id, parameter, timestamp_utc FROM hashed WHERE timestamp_utc >= TIMESTAMP '2024-01-05' AND timestamp_utc < TIMESTAMP '2024-01-08'")
+def s10_days(spark, sf):
+    """Readings of three days out of the store; no other day's files are read."""
+    rows = run_store(spark, sf).table("readings", days=("2024-01-05", "2024-01-07"))
+    return rows.select("row_hash", *CELL)
+
+
 # --- read queries -------------------------------------------------------------------------------
 @query("q1_readings_page", "SELECT timestamp_utc, row_hash, station_id, parameter FROM hashed WHERE parameter = 'PM10' AND (timestamp_utc, row_hash) > (TIMESTAMP '2024-01-05 00:00:00', '8') ORDER BY timestamp_utc, row_hash LIMIT 50")
 def q1(spark, sf):
