@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from stationproof import config as C
 from stationproof.functions.columns import CELL
 from stationproof.functions.state import checkpoint_dir, cut
-from stationproof.operators import canonical, coverage, deweather, explain, fault, features, learn, shapley
+from stationproof.operators import canonical, coverage, cv, deweather, explain, fault, features, labels, learn, shapley
 from stationproof.plans import oracle as O
 from stationproof.plans.catalog import query
-from stationproof.plans.q_models import CAL, MET, feed, series_residuals
+from stationproof.plans.q_models import CAL, MET, fault_inputs, feed, series_residuals
 from stationproof.plans.q_ops import once
 from stationproof.plans.shared import store
 
@@ -123,6 +123,75 @@ def corpus(spark, sf):
     return marks, x, once(spark, sf, "corpus_flags", flags)
 
 
+FOLDS = 4
+
+
+def weakly_labelled(spark, sf):
+    """All cells of all series that no rule claims, with the label model's class and their time block."""
+
+    def make():
+        s, x = fault_inputs(spark, sf)
+        return labels.blocked(labels.weak_labels(x, s.defects), FOLDS)
+
+    return once(spark, sf, "weak_labels", make)
+
+
+_CLASSIFIERS: dict = {}
+
+
+def cross_fitted(spark, sf):
+    """The classifier on the label model's labels: one model of all blocks and one without each block."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CLASSIFIERS:
+        _CLASSIFIERS[key] = learn.fit(weakly_labelled(spark, sf), folds=FOLDS)
+    return _CLASSIFIERS[key]
+
+
+_DAY, _TREND = "abs(resid_roll_mean_24) / nullif(abs(residual) / nullif(resid_abs_z, 0), 0)", "abs(resid_trend) / nullif(abs(residual) / nullif(resid_abs_z, 0), 0)"
+O.cte(
+    free="SELECT * FROM fx WHERE (station_id, parameter, timestamp_utc) NOT IN (SELECT (station_id, parameter, timestamp_utc) FROM rulec)",
+    stepped="SELECT DISTINCT station_id, parameter, timestamp_utc, true AS step FROM defect WHERE reason_code = 'R14'",
+    voted=f"""SELECT station_id, parameter, timestamp_utc, concat(CASE WHEN step THEN 2 ELSE 0 END, CASE WHEN {_DAY} > 1.0 THEN 2 WHEN {_DAY} < 0.4 THEN 1 ELSE 0 END, CASE WHEN {_TREND} > 1.0 THEN 2 WHEN {_TREND} < 0.3 THEN 1 ELSE 0 END,
+  CASE WHEN raw_z > {C.METEO_RAW_Z} AND resid_abs_z < {C.METEO_RESID_ABS_Z} THEN 3 WHEN raw_z < 1.0 THEN 1 ELSE 0 END, CASE WHEN raw_z > 1.0 AND explained_ratio > 0.6 THEN 3 ELSE 0 END,
+  CASE WHEN abs(raw_z) < 1.0 AND resid_abs_z < 1.0 THEN 1 ELSE 0 END) AS votes FROM free LEFT JOIN stepped USING (station_id, parameter, timestamp_utc)""",
+)
+
+
+@query("l6_vote_patterns", "SELECT votes, count(*) AS n FROM voted GROUP BY ALL")
+def l6_patterns(spark, sf):
+    """Cells of every pattern of votes that the label model is fitted on."""
+    s, x = fault_inputs(spark, sf)
+    return labels.patterns(labels.votes(x, s.defects)).select(F.array_join(F.col("votes").cast("array<string>"), "").alias("votes"), "n")
+
+
+@query("l6_weak_labels")
+def l6_labels(spark, sf):
+    """Label and certainty of every cell."""
+    return r(weakly_labelled(spark, sf), "certainty").select(*CELL, "block", "label_class", "certainty")
+
+
+@query("l6_cross_fitted")
+def l6_cross(spark, sf):
+    """Labels against the classes that the model without the cell's block predicts."""
+    table = weakly_labelled(spark, sf)
+    out = learn.predictor(cross_fitted(spark, sf), F.col("block"))(table)
+    return out.groupBy("block", "label_class", F.col("fault_class").alias("predicted_class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "l4_hybrid_cells",
+    """SELECT station_id, parameter, timestamp_utc, CASE WHEN fault_class IS NULL THEN 'ml' ELSE 'rule' END AS source, fault_class AS forced_class, true AS sure FROM res LEFT JOIN rulec USING (station_id, parameter, timestamp_utc)
+  UNION ALL SELECT DISTINCT station_id, parameter, timestamp_utc, 'rule', 'communication_failure', true FROM r02""",
+)
+def l4_cells(spark, sf):
+    """Who decides every cell of the readings as they are, the class where a rule forces it, and whether the confidence is one of a best class."""
+    s, x = fault_inputs(spark, sf)
+    x = x.join(cv.time_blocks(x, FOLDS), "timestamp_utc")
+    out = fault.classify(x, s.defects, learn.predictor(cross_fitted(spark, sf), F.col("block")))
+    sure = F.col("confidence").between(1.0 / 3, 1.0) & F.col("fault_class").isin(*C.FAULT_CLASSES)
+    return out.select(*CELL, "source", F.when(F.col("source") == "rule", F.col("fault_class")).alias("forced_class"), sure.alias("sure"))
+
+
 @query("l6_fault_training")
 def l6(spark, sf):
     marks, x, _ = corpus(spark, sf)
