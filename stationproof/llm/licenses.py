@@ -1,9 +1,10 @@
 """License scans: exact phrases by word, and fuzzy short notices by exact seeds and bounded-error matching.
 
 A text becomes its words (lower-cased A-Z, runs of digits, letters and non-ASCII characters) joined by one blank. A notice of
-L characters may differ by up to k = min(3, L // 15) edits (the matching's time grows steeply with k). Cut into k + 1 parts, at least one part must then stand exactly in any
-match, so an automaton over all parts finds every candidate place; the regex library's bounded-error matching decides each
-and gives span and edits. Work on a text is linear but for windows of length L + 3k around seeds, so texts are taken whole.
+L characters may differ by up to k = L // 15 edits. Cut into k + 1 parts, at least one part must then stand exactly in any
+match, so an automaton over all parts finds every candidate place. The time of matching grows steeply with k, so a candidate is first counted:
+of 2 k + 2 parts, k + 2 must stand exactly, each at most k places from where it belongs. The regex library's bounded-error matching
+decides what is left and gives span and edits. Work on a text is linear but for windows of length L + 3k around seeds, so texts are taken whole.
 
 A null or empty text has no words, no places and no labels, and the score 0. Repeated rows get equal results. Places of a
 phrase may overlap and each counts. Other columns pass through; one named like a result column is replaced.
@@ -32,7 +33,6 @@ NOTICES = {
     "licensed under cc by nc": "cc-by-nc",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
 }
-MOST_EDITS = 3
 RESULT = (
     "n_words long, places array<struct<label:string,word:long>>, "
     "notices array<struct<label:string,first_word:long,last_word:long,edits:int,similarity:double>>"
@@ -40,12 +40,11 @@ RESULT = (
 
 
 def edits_allowed(notice: str) -> int:
-    return min(MOST_EDITS, len(notice) // 15)
+    return len(notice) // 15
 
 
-def parts(notice: str) -> list[tuple[int, str]]:
-    """k + 1 parts of nearly equal length with their offsets."""
-    n = edits_allowed(notice) + 1
+def parts(notice: str, n: int) -> list[tuple[int, str]]:
+    """n parts of nearly equal length with their offsets."""
     cuts = [len(notice) * i // n for i in range(n + 1)]
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
@@ -61,13 +60,14 @@ class Scanner:
         self.seeds = ahocorasick.Automaton()
         by_seed: dict[str, list] = {}
         for notice in notices:
-            for offset, seed in parts(notice):
+            for offset, seed in parts(notice, edits_allowed(notice) + 1):
                 by_seed.setdefault(seed, []).append((notice, offset, len(seed)))
         for seed, uses in by_seed.items():
             self.seeds.add_word(seed, uses)
         if by_seed:
             self.seeds.make_automaton()
         self.patterns = {n: regex.compile(f"(?b)(?:{regex.escape(n, literal_spaces=True)}){{e<={edits_allowed(n)}}}") for n in notices}
+        self.small = {n: parts(n, 2 * edits_allowed(n) + 2) for n in notices}
         self.ready = bool(by_seed)
 
     def exact(self, line: str) -> list[dict]:
@@ -83,6 +83,23 @@ class Scanner:
                 at = line.find(f" {phrase} ", at + 1)
         return sorted(out, key=lambda p: (p["word"], p["label"]))
 
+    def likely(self, notice: str, line: str, at: int) -> bool:
+        """Whether enough small parts of a notice stand in `line` about where a match that begins near `at` has them."""
+        k = edits_allowed(notice)
+        need = left = k + 2
+        spare = len(self.small[notice]) - need
+        for offset, part in self.small[notice]:
+            place = at + offset
+            if line.find(part, max(place - k, 0), max(place + k + len(part), 0)) >= 0:
+                left -= 1
+                if not left:
+                    return True
+            else:
+                spare -= 1
+                if spare < 0:
+                    return False
+        return False
+
     def fuzzy(self, line: str) -> list[dict]:
         """Notices in `line` (as above) within their edits."""
         starts: dict[str, set[int]] = {}
@@ -94,6 +111,8 @@ class Scanner:
         for notice, found in starts.items():
             k, done = edits_allowed(notice), -1
             for at in sorted(found):
+                if not self.likely(notice, line, at):
+                    continue
                 begin, stop = max(at - k, 0), min(at + len(notice) + 2 * k, len(line))
                 m = self.patterns[notice].search(line, max(begin, done), stop)
                 if m and m.end() > m.start():
