@@ -210,7 +210,7 @@ def run_audit(readings: DataFrame, materialise: bool = True, **rules) -> dict[st
     section reads, so neither a lost executor nor the next section recomputes them.
     """
     cov = coverage.build(readings)
-    absences = coverage.structural_absences(readings, cov.series, cov.n_rows)
+    absences = coverage.structural_absences(cov.readings, cov.series, cov.n_rows)
     defects = detectors.run_all(cov, **rules)
     if materialise:
         defects = state.cut(defects)

@@ -120,9 +120,11 @@ def gap_ranges(gap: DataFrame, series: DataFrame) -> DataFrame:
     ).where("k_hi >= k_lo")
 
 
-def build(readings: DataFrame) -> Coverage:
+def build(readings: DataFrame, keep: bool = True) -> Coverage:
     """Coverage of a network. The series table, one row per series, is computed once and kept:
-    every detector reads it."""
+    every detector reads it. So do all of them read the readings, which are written once instead of
+    being derived from their sources a dozen times; `keep` off for readings that are a stored table already."""
+    readings = cut(readings) if keep else readings
     n = readings.count()
     gap = gaps(readings, SERIES, n)
     series = cut(series_grid(readings, gap))

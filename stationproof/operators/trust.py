@@ -342,7 +342,8 @@ def components(cov: Coverage, defects: DataFrame) -> DataFrame:
         .join(plausibility(cov.readings, defects, c), KEY, "left")
         .join(severity_above(defects, c), KEY, "left")
     )
-    return out.fillna(
+    # a station without a reading in the window has nothing to compare
+    return out.withColumn("compared", F.col("n_scored").isNotNull()).fillna(
         {
             "consistency": 0.5,
             "n_scored": 0,
@@ -376,13 +377,20 @@ def score(parts: DataFrame, exposure: DataFrame | None = None) -> DataFrame:
         F.when(F.col("implausible"), "T04"),
     )
     raised = F.array_distinct(F.array_compact(codes))
-    text = lambda c: F.col(c).cast("string")
+    text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
     evidence = {
         "HealthConf": {"n_defects": "n_episodes"},
         "ImputationCertainty": {"pct": "absent_pct"},
-        "CrossSensorConsistency": {"n": "n_disagree"},
+        "CrossSensorConsistency": {"n": "n_disagree", "min_peers": F.lit(C.PEERS_MIN)},
         "PhysicalPlausibility": {"n_readings": "n_readings"},
     }
+    # What each component says of itself.
+    detail = {
+        "HealthConf": F.concat(text("n_episodes"), F.lit(" active fault(s) spoiling "), text("spoiled_pct"), F.lit("% of readings")),
+        "ImputationCertainty": F.concat(F.lit("imputation uncertainty "), text("absent_pct"), F.lit("% (placeholder, no model)")),
+        "CrossSensorConsistency": F.when(F.col("compared"), F.concat(text("n_scored"), F.lit(" parameter(s) compared to peers"))).otherwise("no data"),
+        "PhysicalPlausibility": F.concat(F.lit("worst-case margin over "), text("n_readings"), F.lit(" readings")),
+    }
     parts_col = F.array(
         *[
             F.struct(
@@ -391,6 +399,7 @@ def score(parts: DataFrame, exposure: DataFrame | None = None) -> DataFrame:
                 F.lit(C.TRUST_WEIGHTS[n]).alias("weight"),
                 share[n].alias("contribution"),
                 F.lit(n == "ImputationCertainty").alias("is_placeholder"),
+                detail[n].alias("detail"),
                 F.create_map(*[x for k, v in evidence[n].items() for x in (F.lit(k), text(v))]).alias(
                     "evidence"
                 ),
@@ -433,6 +442,13 @@ def merged_evidence(scores: DataFrame) -> Column:
     )
 
 
+def reason_sentences(scores: DataFrame) -> DataFrame:
+    """Every reason of every score as the sentence that its evidence fills in."""
+    one = scores.withColumn("evidence", merged_evidence(scores)).select("station_id", "timestamp_utc", "evidence", F.explode("reason_codes").alias("reason_code"))
+    said = registry.render(lookup(registry.SENTENCE, F.col("reason_code")), F.col("evidence"), F.lit(None).cast("string"))
+    return one.select("station_id", "timestamp_utc", "reason_code", said.alias("sentence"))
+
+
 def score_violations(scores: DataFrame) -> DataFrame:
     """Scores without components or reasons, or outside [0, 1]; must be empty."""
     return scores.where(

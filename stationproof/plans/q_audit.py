@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stationproof import config as C
 from stationproof import registry
 from stationproof.functions.columns import CELL, SERIES, humanise, secs, steps_for_hours
 from stationproof.functions.state import cut
 from stationproof.operators import audit, canonical, coverage, detectors, runs
 from stationproof.plans import oracle as O
 from stationproof.plans import views
-from stationproof.plans.catalog import query
+from stationproof.plans.catalog import ORACLE, query
 
 RULES = {"unit_rules": views.UNIT_RULES, "floors": views.FLOORS}
 
@@ -406,6 +407,13 @@ def d16(spark, sf):
     )
 
 
+#: Section of the audit -> the query whose twin gives its rows, or a shared expression.
+SECTIONS = {
+    "series": "series", "defects": "defect", "defect_rate": "a1_defect_rate", "coverage": "a4_coverage_summary", "breakdowns": "a2_a3_breakdowns",
+    "structural_absences": "structural", "notable_events": "notable", "network_wide": "a5_network_wide",
+}
+
+
 # --- audit -------------------------------------------------------------------------------------
 @query("a1_defect_rate", "SELECT * FROM rate")
 def a1(spark, sf):
@@ -489,6 +497,11 @@ def a8(spark, sf):
     return detectors.union_all([n(k) for k in out])
 
 
+# the query of network-wide faults asks for a tenth of the readings, the audit for the default share
+_SECTION_SQL = {k: (ORACLE.get(q) or O.sql(f"SELECT * FROM {q}")).replace(">= 0.1", f">= {C.NETWORK_WIDE_FRACTION}") for k, q in SECTIONS.items()}
+ORACLE["a8_full_audit"] = " UNION ALL ".join(f"SELECT '{k}' AS section, count(*) AS n_rows FROM ({text})" for k, text in _SECTION_SQL.items())
+
+
 @query(
     "a9_run_meta",
     "SELECT '0.1.0' AS code_version, 'cfg00000' AS config_hash, checksum AS data_checksum, n_rows, 'ar_' || checksum || '_cfg00000' AS audit_run_id FROM digest",

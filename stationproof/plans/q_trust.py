@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stationproof import registry
 from stationproof.functions import geo
 from stationproof.functions.columns import SERIES, secs
 from stationproof.operators import counters, exposure, trust
@@ -276,7 +277,7 @@ O.cte(
     t_sev="SELECT station_id, k, 1 + coalesce(max(w), 0) AS severity FROM stk LEFT JOIN dfs d USING (station_id) WHERE false GROUP BY ALL",
     t_sev1="SELECT station_id, k, 1 + max(w) AS severity FROM dfs, inst WHERE s > ats - 604800 AND s <= ats GROUP BY ALL",
     tscore="""SELECT station_id, k, timestamp_utc, round(health * 0.35, 6) AS c1, round(certainty * 0.15, 6) AS c2, round(consistency * 0.2, 6) AS c3, round(plausibility * 0.3, 6) AS c4,
-  health, certainty, consistency, plausibility, coalesce(severity, 1.0) AS severity, measured, CASE WHEN measured THEN exposure ELSE 1.0 END AS x, n_episodes, absent_pct, n_disagree, n_readings,
+  health, certainty, consistency, plausibility, coalesce(severity, 1.0) AS severity, measured, CASE WHEN measured THEN exposure ELSE 1.0 END AS x, n_episodes, absent_pct, n_disagree, n_readings, spoiled_pct, n_scored, (station_id, k) IN (SELECT (station_id, k) FROM cross1) AS compared,
   concat_ws('|', CASE WHEN n_episodes > 0 THEN 'T01' END, CASE WHEN certainty < 1 THEN 'T02' END, CASE WHEN n_scored > 0 AND n_disagree > 0 THEN 'T03' END,
   CASE WHEN few_peers THEN 'T05' END, CASE WHEN implausible THEN 'T04' END) AS codes
   FROM stk JOIN t_health USING (station_id, k) JOIN t_imp USING (station_id, k) JOIN t_cross USING (station_id, k) JOIN t_plaus USING (station_id, k)
@@ -392,13 +393,32 @@ def t11(spark, sf):
     )
 
 
-@query("t12_merged_evidence", "SELECT station_id, timestamp_utc, n_episodes AS n_defects, absent_pct AS pct, n_disagree AS n, n_readings FROM tfinal")
+@query(
+    "t9_component_details",
+    """SELECT station_id, timestamp_utc, name, detail FROM (SELECT station_id, timestamp_utc, 'HealthConf' AS name, n_episodes || ' active fault(s) spoiling ' || spoiled_pct::DOUBLE || '% of readings' AS detail FROM tfinal
+  UNION ALL SELECT station_id, timestamp_utc, 'ImputationCertainty', 'imputation uncertainty ' || absent_pct::DOUBLE || '% (placeholder, no model)' FROM tfinal
+  UNION ALL SELECT station_id, timestamp_utc, 'CrossSensorConsistency', CASE WHEN compared THEN n_scored || ' parameter(s) compared to peers' ELSE 'no data' END FROM tfinal
+  UNION ALL SELECT station_id, timestamp_utc, 'PhysicalPlausibility', 'worst-case margin over ' || n_readings || ' readings' FROM tfinal)""",
+)
+def t9d(spark, sf):
+    return scores(spark, sf).select("station_id", "timestamp_utc", F.inline("components")).select("station_id", "timestamp_utc", "name", "detail")
+
+
+@query("t12_merged_evidence", "SELECT station_id, timestamp_utc, n_episodes AS n_defects, absent_pct AS pct, n_disagree AS n, 2::BIGINT AS min_peers, n_readings FROM tfinal")
 def t12(spark, sf):
     s = scores(spark, sf).withColumn("e", trust.merged_evidence(None))
     get = lambda k, t: F.try_element_at("e", F.lit(k)).cast(t).alias(k)
-    return s.select(
-        "station_id", "timestamp_utc", get("n_defects", "bigint"), get("pct", "double"), get("n", "bigint"), get("n_readings", "bigint")
-    )
+    wanted = [get("n_defects", "bigint"), get("pct", "double"), get("n", "bigint"), get("min_peers", "bigint"), get("n_readings", "bigint")]
+    return s.select("station_id", "timestamp_utc", *wanted)
+
+
+@query(
+    "t12_reason_sentences",
+    "SELECT station_id, timestamp_utc, code AS reason_code, replace(replace(replace(replace(" + O.case("code", {c: t for c, t in registry.SENTENCE.items() if c.startswith("T")}) + """,
+  '{n_defects}', n_episodes::VARCHAR), '{pct}', absent_pct::DOUBLE::VARCHAR), '{min_peers}', '2'), '{n}', n_disagree::VARCHAR) AS sentence FROM (SELECT *, unnest(string_split(reason_codes, '|')) AS code FROM tfinal)""",
+)
+def t12s(spark, sf):
+    return trust.reason_sentences(scores(spark, sf))
 
 
 @query("t13_score_invariants", "SELECT count(*) FILTER (trust NOT BETWEEN 0 AND 1 OR reason_codes = '') AS n_violations, count(*) AS n_scores FROM tfinal")

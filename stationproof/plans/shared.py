@@ -29,7 +29,7 @@ def store(spark: SparkSession, sf: str) -> Store:
     if key not in _STORES:
         views.prepare(spark)
         r = cut(canonical.add_row_hash(views.readings(spark, sf)))
-        cov = coverage.build(r)
+        cov = coverage.build(r, keep=False)
         cov = cov._replace(gap_ranges=cut(cov.gap_ranges))
         d = cut(detectors.run_all(cov, unit_rules=views.UNIT_RULES, floors=views.FLOORS))
         _STORES[key] = Store(r, cov, d)
