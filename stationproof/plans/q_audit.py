@@ -123,22 +123,22 @@ O.cte(
   UNION ALL SELECT station_id, parameter, timestamp_utc, 'R13', 'Variation over full record is far below this sensor''s normal range.' FROM r13
   UNION ALL SELECT station_id, parameter, timestamp_utc, 'R18', CASE reason_code WHEN 'R18' THEN 'This station does not carry a ' || parameter || ' sensor.' END FROM r18 WHERE reason_code = 'R18'
   UNION ALL SELECT station_id, parameter, timestamp_utc, 'R19', 'No {{source}} data exists for this station.' FROM r18 WHERE reason_code = 'R19'
-  UNION ALL SELECT station_id, parameter, timestamp_utc, 'R21', 'This sensor has reported nothing usable since ' || strftime(timestamp_utc, '%Y-%m-%dT%H:%M:%S') || '.' FROM r21""",
+  UNION ALL SELECT station_id, parameter, timestamp_utc, 'R21', 'This sensor has reported nothing usable since ' || strftime(timestamp_utc, '%Y-%m-%dT%H:%M:%S') || '.' FROM r21
+  UNION ALL SELECT station_id, parameter, timestamp_utc, 'R01', 'No reading was recorded for this hour.' FROM r01
+  UNION ALL SELECT station_id, parameter, timestamp_utc, 'R03', 'Two different readings claim the same timestamp.' FROM r03
+  UNION ALL SELECT station_id, parameter, timestamp_utc, 'R04', 'This reading is timestamped earlier than the one before it.' FROM r04
+  UNION ALL SELECT station_id, parameter, timestamp_utc, 'R07', 'Value of ' || value || ' ' || unit || ' exceeds the physical maximum for ' || parameter || '.' FROM r07
+  UNION ALL SELECT station_id, parameter, timestamp_utc, 'R08', 'Value of ' || value || ' ' || unit || ' is below the physical minimum for ' || parameter || '.' FROM r08
+  UNION ALL SELECT station_id, parameter, timestamp_utc, 'R09', 'PM2.5 (' || pm25 || ') exceeds PM10 (' || pm10 || '), which is physically impossible.' FROM r09
+  UNION ALL SELECT station_id, parameter, timestamp_utc, 'R10', 'Declared unit (ug/m3) does not match the observed value range, which is consistent with ppm.' FROM r10
+  UNION ALL SELECT station_id, parameter, timestamp_utc, 'R11', 'Value is pinned at the instrument''s detection limit (0.7 ug/m3) and is left-censored, not a measurement.' FROM r11
+  UNION ALL SELECT station_id, parameter, timestamp_utc, 'R14', 'The series shifted by ' || abs(shift) || ' ' || unit || ' and did not return.' FROM r14""",
 )
 
 
 @query("f6_reason_sentences", "SELECT * FROM t_sentence")
 def f6(spark, sf):
-    c = cov(spark, sf)
-    d = detectors.union_all(
-        [
-            detectors.communication_gaps(c),
-            detectors.row_flags(c, ("R12", "R13")),
-            detectors.structural(c),
-            detectors.dead_sensors(c.series),
-        ]
-    )
-    return audit.defect_sentences(d).select(*CELL, "reason_code", "sentence")
+    return audit.defect_sentences(defects(spark, sf)).select(*CELL, "reason_code", "sentence")
 
 
 O.cte(

@@ -514,10 +514,12 @@ def q3(spark, sf):
     return reads.defects_page(store(spark, sf).defects, station="STA-01", severity="high", start="2024-01-10 00:00:00", limit=40).select(*CELL, "reason_code")
 
 
-@query("q4_stations_page", "SELECT station_id, n_parameters, zone_type FROM (SELECT station_id, count(DISTINCT parameter) AS n_parameters, CASE station_id WHEN 'STA-01' THEN 'urban' WHEN 'STA-02' THEN 'industrial' WHEN 'STA-05' THEN 'background' END AS zone_type FROM rd GROUP BY station_id) WHERE station_id > 'STA-02' ORDER BY station_id LIMIT 5")
+@query("q4_stations_page", "SELECT station_id, n_parameters, coverage, zone_type FROM (SELECT station_id, count(*) AS n_parameters, string_agg(parameter || '=' || n, '|' ORDER BY parameter) AS coverage, CASE station_id WHEN 'STA-01' THEN 'urban' WHEN 'STA-02' THEN 'industrial' WHEN 'STA-05' THEN 'background' END AS zone_type FROM (SELECT station_id, parameter, count(value) AS n FROM rd GROUP BY ALL) GROUP BY station_id) WHERE station_id > 'STA-02' ORDER BY station_id LIMIT 5")
 def q4(spark, sf):
     dim = src.with_zones(sinks.station_dimension(store(spark, sf).readings), ZONES)
-    return reads.page(dim.select("station_id", F.size("coverage").cast("bigint").alias("n_parameters"), "zone_type"), ["station_id"], ("STA-02",), 5)
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("coverage")), lambda e: F.concat_ws("=", e["key"], e["value"])), "|")
+    out = dim.select("station_id", F.size("coverage").cast("bigint").alias("n_parameters"), shown.alias("coverage"), "zone_type")
+    return reads.page(out, ["station_id"], ("STA-02",), 5)
 
 
 @query("q5_last_reading", "SELECT station_id, max(timestamp_utc) AS last_reading_at FROM rd GROUP BY station_id")
