@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationproof import config as C
-from stationproof.functions import geo
+from stationproof.functions import geo, scan
 from stationproof.functions.columns import dense, union_all
+from stationproof.functions.state import cut
 
 AT = ("lat", "lon")
+#: Instants of one bucket in which gaps and runs of the city's wind meet.
+SPAN = 256
 
 
 def station_wind(readings: DataFrame) -> DataFrame:
@@ -99,6 +102,58 @@ def wind_edges(p: DataFrame, stations: DataFrame, local: DataFrame, city: DataFr
         "wind_origin",
     )
 
+def wind_runs(stations: DataFrame, local: DataFrame, city: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranges of network instants with one wind, and the instants with their numbers.
+
+    Rows: station_id, lo, hi (numbers of instants, from 1), from_deg, speed, wind_origin. Where a station has no wind of its own, the
+    city's runs are cut to the gaps; instants without any wind are in no range. Rows follow changes of the wind, not instants.
+    """
+    hours = cut(scan.global_rank(city.select("timestamp_utc").distinct(), [F.col("timestamp_utc")], "i"))
+    wind = ["from_deg", "speed"]
+    own = local.where("from_deg IS NOT NULL AND speed IS NOT NULL").select("station_id", "timestamp_utc", *wind).join(hours, "timestamp_utc")
+    own = scan.assign_seq_blocks(own.join(stations.select("station_id").distinct(), "station_id", "left_semi"), ["station_id"], "i")
+    own = cut(scan.ordered_scan(own, ["station_id"], ["i"], lags={"_pi": F.col("i"), "_pd": F.col("from_deg"), "_ps": F.col("speed")}))
+    parted = F.col("_pi").isNull() | (F.col("i") != F.col("_pi") + 1) | (F.col("from_deg") != F.col("_pd")) | (F.col("speed") != F.col("_ps"))
+    runs = _numbered(own, ["station_id"], parted).groupBy("station_id", "_run").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), *[F.first(c).alias(c) for c in wind])
+    # before the first, between two neighbours and after the last instant with a wind of the station's own
+    n = hours.agg(F.coalesce(F.max("i"), F.lit(0)).alias("x")).scalar()
+    between = own.select("station_id", (F.coalesce("_pi", F.lit(0)) + 1).alias("lo"), (F.col("i") - 1).alias("hi"))
+    ends = stations.select("station_id").distinct().join(own.groupBy("station_id").agg(F.max("i").alias("_last")), "station_id", "left")
+    tail = ends.select("station_id", (F.coalesce("_last", F.lit(0)) + 1).alias("lo"), n.alias("hi"))
+    gaps = between.unionByName(tail).where("lo <= hi")
+    c = city.where("city_deg IS NOT NULL AND city_speed IS NOT NULL").join(hours, "timestamp_utc").select("i", F.col("city_deg").alias("from_deg"), F.col("city_speed").alias("speed"))
+    c = scan.ordered_scan(scan.assign_seq_blocks(c, [], "i"), [], ["i"], lags={"_pi": F.col("i"), "_pd": F.col("from_deg"), "_ps": F.col("speed")})
+    far = _numbered(scan.drop_blocks(c), [], parted).groupBy("_run").agg(F.min("i").alias("clo"), F.max("i").alias("chi"), *[F.first(x).alias(x) for x in wind])
+    spans = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / SPAN), F.floor(F.col(b) / SPAN))).alias("_span")
+    met = gaps.select("*", spans("lo", "hi")).join(far.select("*", spans("clo", "chi")), "_span").where("lo <= chi AND clo <= hi")
+    met = met.withColumns({"_a": F.greatest("lo", "clo"), "_b": F.least("hi", "chi")}).where(F.floor(F.col("_a") / SPAN) == F.col("_span"))
+    fallback = met.select("station_id", F.col("_a").alias("lo"), F.col("_b").alias("hi"), *wind, F.lit("city-fallback").alias("wind_origin"))
+    mine = runs.select("station_id", "lo", "hi", *wind, F.lit("station-local").alias("wind_origin"))
+    return mine.unionByName(fallback), hours
+
+
+def _numbered(rows: DataFrame, keys: list[str], parted: Column) -> DataFrame:
+    """Add `_run`, counting the rows at which a run begins."""
+    blocked = scan.assign_seq_blocks(scan.drop_blocks(rows), keys, "i")
+    return scan.drop_blocks(scan.ordered_scan(blocked, keys, ["i"], sums={"_run": F.when(parted, 1).otherwise(0).cast("bigint")}))
+
+
+def wind_edge_ranges(p: DataFrame, stations: DataFrame, local: DataFrame, city: DataFrame) -> DataFrame:
+    """Edges of positive weight per pair and range of instants with one wind; `expand_edges` gives them per instant."""
+    runs, hours = wind_runs(stations, local, city)
+    e = p.join(runs.withColumnRenamed("station_id", "src"), "src").withColumn("weight", wind_weight("from_deg", "speed", "distance_km", "bearing_deg"))
+    e = e.where("weight > 0")
+    at = lambda i, name: hours.select(F.col("i").alias(i), F.col("timestamp_utc").alias(name))
+    return e.join(at("lo", "start_utc"), "lo").join(at("hi", "end_utc"), "hi").select(
+        "src", "dst", "start_utc", "end_utc", "lo", "hi", "weight", "distance_km", "bearing_deg", "wind_origin"
+    )
+
+
+def expand_edges(ranges: DataFrame, hours: DataFrame) -> DataFrame:
+    """One row per edge and instant; `hours` are the numbered instants, or those that are asked for."""
+    numbered = ranges.withColumn("i", F.explode(F.sequence("lo", "hi")))
+    return numbered.join(hours, "i").drop("i", "lo", "hi", "start_utc", "end_utc")
+
 
 def corridor_edges(stations: DataFrame, corridors: DataFrame) -> DataFrame:
     c = corridors.select("corridor_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), "n_stops")

@@ -90,6 +90,34 @@ def g6(spark, sf):
     return graph.wind_edges(p, st, local, city).withColumns(r6("weight", "distance_km", "bearing_deg"))
 
 
+O.cte(
+    wpos=f"""SELECT src, dst, w.timestamp_utc, i, from_deg, speed, wind_origin, {WEIGHT} AS weight FROM pair JOIN windall w ON w.station_id = src
+  JOIN (SELECT timestamp_utc, row_number() OVER (ORDER BY timestamp_utc) AS i FROM city) h ON h.timestamp_utc = w.timestamp_utc""",
+    wrun="""SELECT *, sum(CASE WHEN i = pi + 1 AND from_deg = pd AND speed = ps AND wind_origin = po THEN 0 ELSE 1 END) OVER (PARTITION BY src, dst ORDER BY i) AS run FROM (
+  SELECT *, lag(i) OVER w AS pi, lag(from_deg) OVER w AS pd, lag(speed) OVER w AS ps, lag(wind_origin) OVER w AS po FROM wpos WHERE weight > 0 WINDOW w AS (PARTITION BY src, dst ORDER BY i))""",
+)
+
+
+@query(
+    "g6_wind_edge_ranges",
+    "SELECT src, dst, min(timestamp_utc) AS start_utc, max(timestamp_utc) AS end_utc, count(*) AS n_instants, round(any_value(weight), 6) AS weight, any_value(wind_origin) AS wind_origin FROM wrun GROUP BY src, dst, run",
+)
+def g6_ranges(spark, sf):
+    """Edges of positive weight by ranges of instants with one wind."""
+    s, st, p, local, city = pieces(spark, sf)
+    e = graph.wind_edge_ranges(p, st, local, city).withColumn("n_instants", F.col("hi") - F.col("lo") + 1)
+    return e.select("src", "dst", "start_utc", "end_utc", "n_instants", F.round("weight", 6).alias("weight"), "wind_origin")
+
+
+@query("g6_positive_edges", "SELECT timestamp_utc, src, dst, round(weight, 6) AS weight, wind_origin FROM wpos WHERE weight > 0")
+def g6_positive(spark, sf):
+    """The same edges per instant, expanded from their ranges."""
+    s, st, p, local, city = pieces(spark, sf)
+    ranges = graph.wind_edge_ranges(p, st, local, city)
+    hours = graph.wind_runs(st, local, city)[1]
+    return graph.expand_edges(ranges, hours).select("timestamp_utc", "src", "dst", F.round("weight", 6).alias("weight"), "wind_origin")
+
+
 def corridors(spark, sf):
     return exposure.corridors(exposure.stop_points(views.stops(spark, sf)))
 
