@@ -20,8 +20,8 @@ from stationproof.functions.state import cut
 DAY_S = 86_400
 #: Parts of an interval in one round.
 PARTS = 256
-#: Levels of the tree: days of more than a century.
-LEVELS = 17
+#: Levels of the tree: more days than lie between the years 1 and 9999.
+LEVELS = 22
 
 
 def _nodes(day: Column, of_prefix: bool) -> Column:
