@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationproof import config as C
 from stationproof.functions import scan
-from stationproof.functions.columns import at_secs, secs, union_all
+from stationproof.functions.columns import at_secs, micros, secs, sized_broadcast, union_all
+from stationproof.functions.state import cut
 from stationproof.registry import SEVERITY
 
 KEYS = ["counter_id", "parameter"]
@@ -21,10 +22,35 @@ def unpivot_measures(wide: DataFrame, ids: list[str], measures: list[str]) -> Da
     )
 
 
+def _place() -> Column:
+    """Place of a row in delivered order, turned so that later ones are smaller; rows without a number come before all others."""
+    return F.bitwise_not(F.coalesce(F.col("ingest_seq").cast("bigint"), F.lit(-(1 << 63))))
+
+
+def _ticks(counts: DataFrame) -> DataFrame:
+    """Of each instant, in one pass: the total delivered last, how many competed, first and last place of its rows."""
+    given = F.col("cumulative").isNotNull()
+    return counts.groupBy(*TICK).agg(
+        F.max_by("cumulative", F.when(given, F.col("ingest_seq"))).alias("cumulative"),
+        F.count_if(given).alias("n_rows"),
+        F.max(_place()).alias("_first"),
+        F.min(_place()).alias("_last"),
+    )
+
+
+def _late(counts: DataFrame, ticks: DataFrame) -> DataFrame:
+    """A row is late where any later instant has a row before it, so instants are scanned backwards, not rows in delivered order."""
+    back = ticks.where(F.col("timestamp_utc").isNotNull()).withColumn("_back", -micros("timestamp_utc"))
+    back = scan.assign_value_blocks(back, KEYS, "_back")
+    seen = scan.drop_blocks(scan.ordered_scan(back, KEYS, ["_back"], maxs={"_ahead": F.col("_first")}))
+    some = seen.where(F.col("_last") < F.col("_ahead")).select(*[F.col(c).alias(f"_{c}") for c in TICK], "_ahead")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEYS] + [F.col("timestamp_utc") == F.col("_timestamp_utc")]
+    return counts.join(sized_broadcast(cut(some)), same).where(_place() < F.col("_ahead")).select(*counts.columns)
+
+
 def late_rows(counts: DataFrame) -> DataFrame:
-    blocked = scan.assign_seq_blocks(counts, KEYS)
-    seen = scan.ordered_scan(blocked, KEYS, ["ingest_seq"], maxs={"_max": F.col("timestamp_utc")})
-    return scan.drop_blocks(seen).where(F.col("timestamp_utc") < F.col("_max"))
+    """Rows delivered after a row of a later instant."""
+    return _late(counts, cut(_ticks(counts)))
 
 
 def last_delivered(counts: DataFrame) -> DataFrame:
@@ -84,13 +110,14 @@ def completeness(totals: DataFrame, interval_s: int = C.COUNTER_INTERVAL_S) -> D
 
 
 def repair_events(counts: DataFrame) -> DataFrame:
-    """Everything a repair had to work around, as flags."""
-    totals = last_delivered(counts)
+    """Everything a repair had to work around, as flags. The delivered rows are read twice, all else from one row an instant."""
+    ticks = cut(_ticks(counts))
+    totals = ticks.where("n_rows > 0").drop("_first", "_last")
     steps = increments(totals).where(F.col("reason_code").isNotNull())
     mark = lambda df, code: df.select(*TICK, F.lit(code).alias("reason_code"))
     return union_all(
         [
-            mark(late_rows(counts), "R04"),
+            mark(_late(counts, ticks), "R04"),
             mark(totals.where("n_rows > 1"), "R03"),
             steps.select(*TICK, "reason_code"),
             mark(dead_counters(totals), "R21"),

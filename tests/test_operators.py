@@ -1,9 +1,11 @@
 """Hand-worked tables and stated invariants."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from stationproof.functions import geo
+from stationproof.functions import geo, scan
 from stationproof.functions.columns import dense
 from stationproof.operators import adjudicate as adj
 from stationproof.operators import canonical, conformal, counters, cv, explain, exposure, graph, ops, reads, trust
@@ -260,3 +262,29 @@ def test_pages_reach_every_row_and_refuse_too_many(spark):
 def test_every_scoring_instant_is_kept(spark):
     series = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:00:00' AS start, TIMESTAMP_NTZ '2024-05-09 00:00:00' AS `end`")
     assert trust.instants(series).count() == 130 and trust.instants(series, 7).count() == 7
+
+
+def test_late_rows_from_instants(spark, monkeypatch):
+    monkeypatch.setattr(scan, "BLOCK_ROWS", 60)
+    rng = random.Random(3)
+    rows = [(c, p, rng.choice([None, *range(40)]), 1.0, q) for c in ("a", "b", None) for p in ("x", None) for q in [None, *rng.sample(range(1000), 120)]]
+    df = spark.createDataFrame(rows, "counter_id string, parameter string, s long, cumulative double, ingest_seq long")
+    df = df.withColumn("timestamp_utc", F.timestamp_seconds(F.col("s") * 900).cast("timestamp_ntz"))
+    wanted = []
+    for key in {r[:2] for r in rows}:
+        most = None
+        for r in sorted((r for r in rows if r[:2] == key), key=lambda r: -1 if r[4] is None else r[4]):
+            if r[2] is not None:
+                wanted += [r] if most is not None and r[2] < most else []
+                most = max(r[2], -1 if most is None else most)
+    late = counters.late_rows(df)
+    assert sorted(map(str, (tuple(r[:5]) for r in late.collect()))) == sorted(map(str, wanted)) and late.columns == df.columns
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(q):
+        reads.add(1)
+        return q
+
+    seen = df.withColumn("ingest_seq", F.udf(read, "long").asNondeterministic()("ingest_seq"))
+    assert counters.repair_events(seen).where("reason_code = 'R04'").count() == len(wanted)
+    assert reads.value <= 2 * len(rows)
