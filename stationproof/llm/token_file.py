@@ -6,8 +6,9 @@ Elias-Fano sequence: the low bits of each offset packed, the high bits in unary,
 that any document's offsets are found without a table of 64-bit offsets. Blocks are rows of Parquet files in a folder that
 all executors share, so a lost task is written again and a reader sees only whole files.
 
-A text is split at ASCII white space; the vocabulary drops white space and never joins across it, so each distinct chunk (of
-ASCII chunks, each distinct part) is encoded by the tokenizers library once in a worker's memory and looked up after that.
+The vocabulary drops white space and never joins across it. A text of ASCII and Latin-1 letters is cut into the parts of its
+words at once, any other into chunks at ASCII white space, whose chunks of such letters are cut into parts too. The tokenizers library encodes each distinct part
+or other chunk once in a worker's memory; it is looked up after that.
 
 Nulls and empty texts hold the end id only. Null doc_ids come first. Rows of equal doc_id are ordered by a hash of their text,
 equal rows stay side by side. A document is never cut, however long. An empty table gives no blocks.
@@ -34,8 +35,11 @@ BLOCK = 1 << 20
 SAMPLE = 256
 #: A chunk of its own that separates the words put to the library together.
 MARK = "\x01"
-#: How the vocabulary's pre-tokenizer cuts lower-cased ASCII without white space (a fixed value of its file).
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: How the vocabulary's pre-tokenizer cuts lower-cased texts of the characters below (a fixed value of its file); the commonest kind
+#: stands first.
+PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^a-z0-9ß-öø-ÿ \t-\r]+")
+#: Any character but ASCII and the letters of Latin-1, which no normal form changes and which lower-case one to one.
+OTHERS = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
 BLOCKS = (
     "shard int, block int, start long, n_docs int, n_ids long, width int, low_bits int, low binary, high binary, samples binary, ids binary, "
     "doc_ids array<bigint>"
@@ -84,50 +88,67 @@ class EliasFano:
         return (ones - np.arange(self.n) << self.low_bits) + (low.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
 
 
+def _plain(text: str) -> bool:
+    """Of ASCII and Latin-1 letters, without added tokens or the mark: lower-cased and cut by `PARTS`, it is what the library encodes."""
+    return (text.isascii() or not OTHERS.search(text)) and MARK not in text and "<|" not in text
+
+
 class ChunkEncoder:
-    """Ids of whole texts by way of their white-space chunks."""
+    """Ids of whole texts by way of their parts and white-space chunks."""
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(model)
+        #: The same vocabulary for parts, which need no more lower-casing and cutting.
+        self.of_parts = Tokenizer(self.library.model)
+        self.of_parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.mark = self.library.encode(MARK, add_special_tokens=False).ids
-        self.known, self.parts = Recent("token_file"), Recent("token_file", 200_000)
+        self.known, self.parts = Recent("token_file"), Recent("token_file")
 
     def _learn(self, chunks: list[bytes]) -> list[bytes]:
-        """ASCII chunks are cut into parts, which repeat more often; others go to the library whole."""
+        """Plain chunks are cut into parts, which repeat more often; others go to the library whole."""
         words = [c.decode("utf-8", "surrogatepass") for c in chunks]
-        cut = [PARTS.findall(w.lower()) if w.isascii() and MARK not in w and "<|" not in w else None for w in words]
+        cut = [PARTS.findall(w.lower()) if _plain(w) else None for w in words]
         whole = [w for w, c in zip(words, cut) if c is None]
         alone = dict(zip(whole, self._ask(whole)))
-        of = self.parts.ensure(set(chain.from_iterable(c for c in cut if c)), self._ask)
+        of = self.parts.ensure(set(chain.from_iterable(c for c in cut if c)), self._ask_parts)
         return [alone[w] if c is None else b"".join(map(of.__getitem__, c)) for w, c in zip(words, cut)]
 
     def _ask(self, words: list[str]) -> list[bytes]:
         """The library's ids of words, many at once."""
         plain = [w for w in words if MARK not in w]
-        made: dict[str, bytes] = {}
-        for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
-            ids = np.array(self.library.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, dtype="<u4")
+        made = dict(zip(plain, self._together(self.library, plain)))
+        return [made[w] if w in made else self._alone(w) for w in words]
+
+    def _ask_parts(self, parts: list[str]) -> list[bytes]:
+        return self._together(self.of_parts, parts)
+
+    def _together(self, library, words: list[str]) -> list[bytes]:
+        """Ids of words without the mark, which goes between them."""
+        made: list[bytes] = []
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = np.array(library.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else []
-            if len(cuts) != len(part) - 1:
-                made |= {w: self._alone(w) for w in part}
+            if len(cuts) != len(some) - 1:
+                made += map(self._alone, some)
                 continue
-            ends = np.append(cuts, len(ids)).tolist()
-            starts = [0, *(c + 1 for c in cuts.tolist())]
-            made |= {w: ids[a:b].tobytes() for w, a, b in zip(part, starts, ends)}
-        return [made[w] if w in made else self._alone(w) for w in words]
+            raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+            made += [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
+        return made
 
     def _alone(self, word: str) -> bytes:
         return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        known = self.known.ensure(set(chain.from_iterable(split)), self._learn)
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        plain = [t is not None and _plain(t) for t in texts]
+        split = [PARTS.findall(t.lower()) if own else (t or "").encode("utf-8", "surrogatepass").split() for t, own in zip(texts, plain)]
+        known = self.known.ensure(set(chain.from_iterable(s for s, own in zip(split, plain) if not own)), self._learn)
+        parts = self.parts.ensure(set(chain.from_iterable(s for s, own in zip(split, plain) if own)), self._ask_parts)
+        return [b"".join(map((parts if own else known).__getitem__, s)) for s, own in zip(split, plain)]
 
 
 _ENCODERS: dict[int, ChunkEncoder] = {}

@@ -81,6 +81,18 @@ def test_chunks_equal_the_library():
         assert np.frombuffer(raw, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
+def test_latin_texts_need_no_memory_of_chunks():
+    model = open(WORDS, encoding="utf-8").read()
+    library, own = Tokenizer.from_str(model), token_file.ChunkEncoder(model)
+    texts = strings(4, "ab \n\t\x0b\x1c\x00'sSTREVLdm1_.<>-") + ["It'S we'Re'll 'tis ''s !'ve", "THE\x0bdog\x0c's\rcat", "<startoftext>|<"]
+    texts += strings(5, "ab 's1.RE" + "".join(c for c in map(chr, range(0xC0, 0x100)) if c.isalpha()))
+    for text, raw in zip(texts, own.encode(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert own.parts.young and not own.known.young
+    for raw, text in zip(own.encode(rest := [f"a{chr(c)}b {chr(c)} e\u0301{chr(c)}" for c in range(0x80, 0x180)]), rest):
+        assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_token_file_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_file, "BLOCK", 500)
     texts = odd(random.Random(1)) + [(100 + i % 60, f"text {i} on the er") for i in range(200)]
