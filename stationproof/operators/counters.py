@@ -35,11 +35,19 @@ def _ticks(counts: DataFrame) -> DataFrame:
         F.count_if(given).alias("n_rows"),
         F.max(_place()).alias("_first"),
         F.min(_place()).alias("_last"),
+        F.count(F.lit(1)).alias("_rows"),
     )
 
 
 def _late(counts: DataFrame, ticks: DataFrame) -> DataFrame:
-    """A row is late where any later instant has a row before it, so instants are scanned backwards, not rows in delivered order."""
+    """Rows delivered after a row of a later instant.
+
+    Short series are scanned in delivered order. In long ones a row is late where any later instant has a row before it, so
+    instants are scanned backwards; rows of equal sequence numbers, whose order is open, do not make each other late there.
+    """
+    if ticks.groupBy(*KEYS).agg(F.sum("_rows").alias("_n")).where(F.col("_n") > scan.BLOCK_ROWS).isEmpty():
+        seen = scan.ordered_scan(counts, KEYS, ["ingest_seq"], maxs={"_max": F.col("timestamp_utc")})
+        return seen.where(F.col("timestamp_utc") < F.col("_max")).select(*counts.columns)
     back = ticks.where(F.col("timestamp_utc").isNotNull()).withColumn("_back", -micros("timestamp_utc"))
     back = scan.assign_value_blocks(back, KEYS, "_back")
     seen = scan.drop_blocks(scan.ordered_scan(back, KEYS, ["_back"], maxs={"_ahead": F.col("_first")}))
@@ -112,7 +120,7 @@ def completeness(totals: DataFrame, interval_s: int = C.COUNTER_INTERVAL_S) -> D
 def repair_events(counts: DataFrame) -> DataFrame:
     """Everything a repair had to work around, as flags. The delivered rows are read twice, all else from one row an instant."""
     ticks = cut(_ticks(counts))
-    totals = ticks.where("n_rows > 0").drop("_first", "_last")
+    totals = ticks.where("n_rows > 0").drop("_first", "_last", "_rows")
     steps = increments(totals).where(F.col("reason_code").isNotNull())
     mark = lambda df, code: df.select(*TICK, F.lit(code).alias("reason_code"))
     return union_all(
