@@ -8,7 +8,9 @@ takes the class that most training words of its group have.
 
 Words and their classes are a table of parts of about `PART` words; the corpus is kept as pieces of bigrams over the piece's
 own words. In a round each part sends every piece the classes of the piece's words, pieces return sums by word and neighbour
-class, and the part's task moves its words. Rows are packed arrays, and a task reads them in order: one piece or part at a time.
+class, and the part's task moves its words. The same reading of the pieces gives the class bigrams of the round before, so a
+round reads the corpus once, or twice after a round that was taken back. Rows are packed arrays, and a task reads them in order:
+one piece or part at a time.
 
 score = sum of log10 P(class | class before) + log10 P(word | class), with P(word | class) = (c + 1) / (N_class + V_class + 1)
 and transitions smoothed by `SMOOTH`. Only counts per class (and group) pass through the driver, whatever the corpus. Counts
@@ -31,7 +33,7 @@ from itertools import chain, groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +44,21 @@ BLOCK, PART = 8_000_000, 50_000
 #: Occurrences from which a word is clustered alone; rarer ones alone would learn their few neighbours by heart.
 LEAST = 3
 END = b""
+#: Counts for which growths of x log x are shared between words.
+STEPS = 64
 #: Columns of a word's counts: classes after it, classes before it, and how often it follows itself.
 WIDTH = 2 * (CLASSES + 1) + 1
 #: Distinct words, or bigrams, a task holds before it hands them on.
-HELD_WORDS, HELD_PAIRS = 200_000, 2_000_000
+HELD_WORDS, HELD_PAIRS = 200_000, 500_000
+#: Bytes of packed rows that a task holds in one batch, beside the row at hand.
+HELD_BYTES = 8 << 20
+#: Cells of counts that a piece's task adds up at once.
+HELD_CELLS = 4_000_000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Part number of rows that hold class bigrams.
+TOTALS = -2
+SURVEY = "part int, block long, body binary, n long"
+SURVEY_NAMES = ["part", "block", "body", "n"]
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -83,7 +96,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _row(names: str, *columns: tuple) -> pa.RecordBatch:
-    kinds = {"block": pa.int64(), "part": pa.int32(), "kind": pa.int32(), "body": pa.binary(), "c": pa.binary(), "own": pa.binary()}
+    kinds = {"block": pa.int64(), "part": pa.int32(), "kind": pa.int32(), "body": pa.binary(), "n": pa.int64(), "c": pa.binary(), "own": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(list(v), kinds[k]) for k, v in zip(names.split(), columns)], names=names.split())
 
 
@@ -113,17 +126,17 @@ def pieces(texts: DataFrame, parts: int) -> DataFrame:
         runs, held, block = [], 0, TaskContext.get().partitionId() << 32
 
         def out():
-            owner = lambda w: zlib.crc32(w) % parts
-            old = list(numbers)
-            order = [0, *sorted(range(1, len(old)), key=lambda i: (owner(old[i]), old[i]))]
-            new = np.empty(len(old), np.int64)
-            new[order] = np.arange(len(old))
-            codes = [np.concatenate(([0], r[:-1])) * len(old) + r for r in map(new.__getitem__, runs)]
+            words = sorted(w for w in numbers if w != END)
+            owner = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
+            order = np.argsort(owner, kind="stable").tolist()
+            words, owner = [words[i] for i in order], owner[order]
+            new = np.zeros(len(numbers), np.int64)
+            new[[numbers[w] for w in words]] = np.arange(1, len(numbers))
+            codes = [np.concatenate(([0], r[:-1])) * len(new) + r for r in map(new.__getitem__, runs)]
             code, n = np.unique(np.concatenate(codes), return_counts=True)
-            own: dict[int, list] = {}
-            for i in order[1:]:
-                own.setdefault(owner(old[i]), []).append(old[i])
-            yield _row("block part body", [block] * (len(own) + 1), [-1, *own], [_packed(code // len(old), code % len(old), n), *map(b"\n".join, own.values())])
+            has, first = np.unique(owner, return_index=True)
+            lists = [b"\n".join(words[lo:hi]) for lo, hi in zip(first, [*first[1:], len(words)])]
+            yield _row("block part body", [block] * (len(has) + 1), [-1, *has.tolist()], [_packed(code // len(new), code % len(new), n), *lists])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -213,22 +226,41 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 yield block, parts, sizes, np.concatenate(places), np.concatenate(classes), _unpacked(body)
 
 
+def _of_words(classes: np.ndarray) -> np.ndarray:
+    """Classes by number in a piece; the end has number and class 0."""
+    return np.concatenate(([0], classes)).astype(np.int64)
+
+
+def _class_bigrams(of: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    k = CLASSES + 1
+    return np.bincount(of[a] * k + of[b], n, k * k).astype(np.int64)
+
+
+def _total_rows(total: np.ndarray) -> pa.RecordBatch:
+    """Class bigrams by cell as rows of their own part."""
+    cell = np.flatnonzero(total)
+    none = pa.nulls(len(cell), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([TOTALS] * len(cell), pa.int32()), pa.array(cell, pa.int64()), none, pa.array(total[cell], pa.int64())], names=SURVEY_NAMES)
+
+
+def _matrix(rows: DataFrame) -> np.ndarray:
+    """Class bigrams from the rows of their part."""
+    m = np.zeros((CLASSES + 1) ** 2)
+    for r in rows.where(F.col("part") == TOTALS).groupBy("block").agg(F.sum("n").alias("n")).collect():  # at most classes squared rows
+        m[r.block] = r.n
+    return m.reshape(CLASSES + 1, -1)
+
+
 def matrix(state: DataFrame, asked: DataFrame, cut: DataFrame) -> np.ndarray:
     """Class bigrams of the training corpus."""
-    k = CLASSES + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k * k, np.int64)
+        total = np.zeros((CLASSES + 1) ** 2, np.int64)
         for *_, classes, (a, b, n) in _read(batches):
-            of = np.concatenate(([0], classes)).astype(np.int64)
-            total += np.bincount(of[a] * k + of[b], n, k * k).astype(np.int64)
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(total[cell], pa.int64())], names=["cell", "n"])
+            total += _class_bigrams(_of_words(classes), a, b, n)
+        yield _total_rows(total)
 
-    m = np.zeros(k * k)
-    for r in _at_pieces(state, asked, cut).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most classes squared rows
-        m[r.cell] = r.n
-    return m.reshape(k, k)
+    return _matrix(_at_pieces(state, asked, cut).mapInArrow(run, SURVEY))
 
 
 def _turn(places: np.ndarray, part, turn: int) -> np.ndarray:
@@ -238,25 +270,51 @@ def _turn(places: np.ndarray, part, turn: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(13))) & np.uint64(1)).astype(bool)
 
 
-def moved(state: DataFrame, asked: DataFrame, cut: DataFrame, m: np.ndarray, turn: int) -> DataFrame:
-    """Classes after half of the words have moved: part, body."""
+def _near(at: np.ndarray, column: np.ndarray, n: np.ndarray, words: int) -> Iterator[tuple]:
+    """Sums of n by word and column, in order, for at most `HELD_CELLS` cells at a time: words, columns, sums."""
+    step = max(1, HELD_CELLS // WIDTH)
+    for lo in range(0, words, step):
+        own = slice(None) if words <= step else (at >= lo) & (at < lo + step)
+        cells = np.bincount((at[own] - lo) * WIDTH + column[own], n[own], min(step, words - lo) * WIDTH)
+        code = np.flatnonzero(cells)
+        yield lo + code // WIDTH, code % WIDTH, cells[code].astype(np.int64)
+
+
+def surveyed(state: DataFrame, asked: DataFrame, cut: DataFrame, turn: int) -> DataFrame:
+    """Neighbours by class of the words that may move this time, and class bigrams (part `TOTALS`): part, block or cell, body, n."""
     k = CLASSES + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
         for block, parts, sizes, places, classes, (a, b, n) in _read(batches):
-            of = np.concatenate(([0], classes)).astype(np.int64)
-            moves = np.concatenate(([False], _turn(places, np.repeat(parts, sizes), turn)))
-            x, y = moves[a], moves[b]
+            of = _of_words(classes)
+            total += _class_bigrams(of, a, b, n)
+            moves = _turn(places, np.repeat(parts, sizes), turn)
+            word = np.flatnonzero(moves)  # words from 1 on have places from 0 on
+            number = np.full(len(of), -1)
+            number[1:][moves] = np.arange(len(word))
+            x, y = number[a] >= 0, number[b] >= 0
             symbol = np.concatenate(([-1], np.repeat(np.array(parts, np.int64) << 32, sizes) + places))
             same = x & (symbol[a] == symbol[b])
-            key = np.concatenate((a[x] * WIDTH + of[b[x]], b[y] * WIDTH + k + of[a[y]], a[same] * WIDTH + WIDTH - 1))
-            code, at = np.unique(key, return_inverse=True)
-            total = np.bincount(at, np.concatenate((n[x], n[y], n[same])), len(code)).astype(np.int64)
-            ends = np.searchsorted(code, (np.cumsum([0, *sizes]) + 1) * WIDTH)
+            at = np.concatenate((number[a[x]], number[b[y]], number[a[same]]))
+            column = np.concatenate((of[b[x]], k + of[a[y]], np.full(same.sum(), WIDTH - 1)))
+            found = [np.concatenate(c) for c in zip(*_near(at, column, np.concatenate((n[x], n[y], n[same])), len(word)))]
+            if not found:
+                continue
+            of_word = word[found[0]]
+            ends = np.searchsorted(of_word, np.cumsum([0, *sizes]))
             for part, lo, hi in zip(parts, ends, ends[1:]):
                 if lo < hi:
-                    word, column = places[code[lo:hi] // WIDTH - 1], code[lo:hi] % WIDTH
-                    yield _row("part block body", [part], [block], [total[lo:hi].tobytes() + word.astype(np.int32).tobytes() + column.astype(np.uint8).tobytes()])
+                    body = found[2][lo:hi].tobytes() + places[of_word[lo:hi]].astype(np.int32).tobytes() + found[1][lo:hi].astype(np.uint8).tobytes()
+                    yield _row("part block body n", [part], [block], [body], [0])
+        yield _total_rows(total)
+
+    return _at_pieces(state, asked, cut).mapInArrow(count, SURVEY)
+
+
+def moved(state: DataFrame, counted: DataFrame, m: np.ndarray) -> DataFrame:
+    """Classes after the words of `counted` have moved: part, body."""
+    k = CLASSES + 1
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in groupby(_rows(batches), lambda r: r[0]):
@@ -268,18 +326,18 @@ def moved(state: DataFrame, asked: DataFrame, cut: DataFrame, m: np.ndarray, tur
                 np.add.at(near, word * WIDTH + np.frombuffer(body, np.uint8, size, 12 * size), n)  # words of a group share a number
             near = near.reshape(-1, WIDTH)
             chosen = np.flatnonzero(near.any(axis=1))
+            steps = _steps(m)
             for i in range(0, len(chosen), 500):
                 at = chosen[i : i + 500]
                 v, own = near[at].astype(float), classes[at].astype(np.int64)
-                g = all_gains(m, own, v[:, :k], v[:, k : 2 * k], v[:, -1])
+                g = all_gains(m, own, v[:, :k], v[:, k : 2 * k], v[:, -1], steps)
                 g[:, 0] = -np.inf  # the end's class takes no words
                 to, line = g.argmax(axis=1), np.arange(len(at))
                 better = g[line, to] > g[line, own] + 1e-6
                 classes[at[better]] = to[better]
             yield _row("part body", [part], [classes.tobytes()])
 
-    counted = _at_pieces(state, asked, cut).mapInArrow(count, "part int, block long, body binary")
-    return _by_part(state, counted).mapInArrow(move, "part int, body binary")
+    return _by_part(state, counted.where(F.col("part") != TOTALS)).mapInArrow(move, "part int, body binary")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -291,27 +349,40 @@ def likelihood(m: np.ndarray) -> float:
     return float(_xlogx(m).sum() - _xlogx(m.sum(axis=0)).sum() - _xlogx(m.sum(axis=1)).sum())
 
 
-def all_gains(m: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np.ndarray) -> np.ndarray:
+def _steps(m: np.ndarray) -> tuple:
+    """For cells and their transpose: x log x, and by n how much it grows in a row of cells that each gain n."""
+    return tuple((x, _xlogx(x), np.stack([_xlogx(x + n) - _xlogx(x) for n in range(STEPS)])) for x in (np.ascontiguousarray(m.T), np.ascontiguousarray(m)))
+
+
+def all_gains(m: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np.ndarray, steps: tuple | None = None) -> np.ndarray:
     """Likelihood, by word and class, of putting a word there, with what it has in its own class taken out first.
 
-    after, before: its neighbours by class, `twice` of them itself. Only cells that a word's neighbours touch are worked out.
+    after, before: its neighbours by class, `twice` of them itself. Only cells that a word's neighbours touch are worked out,
+    those of small counts by `steps`, which words share.
     """
     line = np.arange(len(own))
     a, b = after.copy(), before.copy()
     a[line, own] -= twice
     b[line, own] -= twice
     out = np.zeros(after.shape)
-    for cells, near, full, other in ((m.T, a, after, before), (m, b, before, after)):
+    for (cells, logs, grown), near, full, other in zip(steps or _steps(m), (a, b), (after, before), (before, after)):
         i, c = np.nonzero(near)
         if not len(i):
             continue
-        e, o, n = np.arange(len(i)), own[i], near[i, c][:, None]
-        x = cells[c]
+        e, o, n = np.arange(len(i)), own[i], near[i, c]
+        small = n < STEPS
+        d = grown[np.where(small, n, 0).astype(np.int64), c]
+        rest = np.flatnonzero(~small)
+        d[rest] = _xlogx(cells[c[rest]] + n[rest, None]) - logs[c[rest]]
+        taken = cells[c, o] - full[i, c]  # in the word's own class its own share is not there
+        d[e, o] = _xlogx(taken + n) - _xlogx(taken)
         same = np.flatnonzero(c == o)
-        x[same] -= other[i[same]]
-        x[e, o] -= full[i, c]
-        x[same, o[same]] += twice[i[same]]
-        d = _xlogx(x + n) - _xlogx(x)
+        if len(same):
+            x = cells[c[same]] - other[i[same]]
+            at = np.arange(len(same)), o[same]
+            x[at] -= full[i[same], c[same]]
+            x[at] += twice[i[same]]
+            d[same] = _xlogx(x + n[same, None]) - _xlogx(x)
         d[e, c] = 0
         first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
         out[i[first]] += np.add.reduceat(d, first, axis=0)
@@ -343,13 +414,24 @@ def exchange(own: DataFrame, cut: DataFrame, parts: int) -> tuple[DataFrame, np.
 
     state = stored(own.select("part", "c").mapInArrow(begin, "part int, body binary"), "classes")
     asked = stored(asks(own, cut), "asks")
-    m = matrix(state, asked, cut)
+
+    def survey(of: DataFrame, turn: int) -> tuple[np.ndarray, DataFrame | None]:
+        if turn >= ROUNDS:
+            return matrix(of, asked, cut), None
+        counted = surveyed(of, asked, cut, turn).persist(StorageLevel.DISK_ONLY)  # until the words have moved
+        return _matrix(counted), counted
+
+    m, counted = survey(state, 0)
     best = likelihood(m)
     for turn in range(ROUNDS):
-        new = stored(moved(state, asked, cut, m, turn), "classes")
-        after = matrix(new, asked, cut)
+        new = stored(moved(state, counted, m), "classes")
+        counted.unpersist()
+        after, counted = survey(new, turn + 1)
         if (value := likelihood(after)) > best:
             state, m, best = new, after, value
+        elif counted is not None:
+            counted.unpersist()
+            counted = survey(state, turn + 1)[1]
         gc.collect()  # shuffles of ended rounds leave the disk only with the driver's garbage
         own.sparkSession._jvm.System.gc()
     return state, m
@@ -381,7 +463,13 @@ def score(docs: DataFrame) -> DataFrame:
     total, types = int(whole.n), int(whole.v)
     parts = max(1, -(-types // PART))
     own = stored(owners(counts, parts), "parts")
-    state, m = exchange(own, stored(pieces(train, parts), "pieces"), parts)
+    cut = stored(pieces(train, parts), "pieces")
+    held = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(HELD_BYTES))
+    try:
+        state, m = exchange(own, cut, parts)
+    finally:
+        spark.conf.set(BATCH_BYTES, held)
     known = stored(classed(own, state), "classed")
     ends = sum(r.c for r in counts.where(F.length("word") == 0).collect())  # at most one row
     frequency, kinds = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
@@ -413,7 +501,7 @@ def score(docs: DataFrame) -> DataFrame:
             yield _block_words(block, words)
 
     wanted = dealt.mapInArrow(asked, "block int, word binary")
-    answers = wanted.join(known, "word").groupBy("block", "word").agg(F.first("c").alias("c"), F.first("k").alias("k")).repartition(blocks, "block")
+    answers = wanted.join(known, "word").repartition(blocks, "block").groupBy("block", "word").agg(F.first("c").alias("c"), F.first("k").alias("k"))
 
     def judge(texts: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         of = dict(zip(answer["word"], zip(answer["c"], answer["k"])))

@@ -61,6 +61,31 @@ def test_every_word_of_a_few_occurrences_has_its_own_class(spark, monkeypatch):
     assert class_lm.likelihood(m) > class_lm.likelihood(class_lm.exchange(own, cut, parts)[1])
 
 
+def test_a_round_reads_the_corpus_once(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "HELD_PAIRS", 300)
+    monkeypatch.setattr(class_lm, "HELD_CELLS", 700)
+    monkeypatch.setattr(class_lm, "ROUNDS", 2)
+    reads, at_pieces = [], class_lm._at_pieces
+    monkeypatch.setattr(class_lm, "_at_pieces", lambda *tables: reads.append(1) or at_pieces(*tables))
+    rng = random.Random(4)
+    train = documents(spark, [(i, " ".join(rng.choice("the dog cat sees a big old sees".split()) for _ in range(40))) for i in range(30)])
+    own, cut = class_lm.stored(class_lm.owners(class_lm.word_counts(train), 2), "parts"), class_lm.stored(class_lm.pieces(train, 2), "pieces")
+    _, m = class_lm.exchange(own, cut, 2)
+    assert m.sum() == 30 * 41 and len(reads) <= 4  # the first, one a round, and one after a round taken back
+
+
+def test_gains_by_shared_steps_equal_those_without(monkeypatch):
+    rng, k = np.random.default_rng(3), class_lm.CLASSES + 1
+    m, own = rng.integers(500, 900, (k, k)).astype(float), rng.integers(1, k, 40)
+    after, before, twice = (rng.integers(0, 90, (40, k)) * rng.integers(0, 2, (40, k))).astype(float), rng.integers(0, 3, (40, k)).astype(float), rng.integers(0, 3, 40).astype(float)
+    line = np.arange(40)
+    after[line, own] += twice
+    before[line, own] += twice
+    with_steps = class_lm.all_gains(m, own, after, before, twice)
+    monkeypatch.setattr(class_lm, "STEPS", 1)
+    assert np.array_equal(with_steps, class_lm.all_gains(m, own, after, before, twice))
+
+
 def test_gains_are_differences_of_likelihood():
     rng, k, size = np.random.default_rng(1), class_lm.CLASSES + 1, 90
     pairs = rng.integers(0, 5, (size, size)).astype(float)
