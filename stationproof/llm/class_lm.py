@@ -6,19 +6,19 @@ Tokens are words (lower-cased A-Z, cut at ASCII white space) and one end a text.
 likelihood; a round that loses likelihood is taken back. The end is a class of its own. A word that training has not seen
 takes the class that most training words of its group have.
 
-Words and their classes are a table of parts of about `PART` words; the corpus is kept as pieces of bigrams over the piece's
-own words. In a round each part sends every piece the classes of the piece's words, pieces return sums by word and neighbour
-class, and the part's task moves its words. The same reading of the pieces gives the class bigrams of the round before, so a
-round reads the corpus once, or twice after a round that was taken back. Rows are packed arrays, and a task reads them in order:
-one piece or part at a time.
+Words and their classes are a table of parts of about `PART` words. Texts are read once, into pieces of numbered words. Pieces
+ask the parts for their words' places, and hand every part the bigrams that its words stand in, added up there over all pieces
+(`linked`): a round reads these and not the corpus. In a round each part sends the others the classes of the neighbours that they
+listed once; with them a part counts neighbours by class and the class bigrams, and its words move when these have been added
+up. A round reads its links once, or twice after a round that was taken back. Rows are packed arrays, and a task reads them in
+order: one chunk of links, or one piece, at a time.
 
 score = sum of log10 P(class | class before) + log10 P(word | class), with P(word | class) = (c + 1) / (N_class + V_class + 1)
 and transitions smoothed by `SMOOTH`. Only counts per class (and group) pass through the driver, whatever the corpus. Counts
-and classes of words reach the texts by a shuffle: texts are dealt to blocks of about `BLOCK` characters, each block asks for
-its distinct words once, and block and answers meet in one task.
+and classes of words reach the pieces by a shuffle, and a piece's texts are scored from its numbers in one task.
 
-Null and empty texts hold the end alone. A null doc_id counts as empty text in the split. Repeated rows count each. A block's
-texts are scored whole; identical rows share a block. An empty table gives an empty result; without training texts every
+Null and empty texts hold the end alone. A null doc_id counts as empty text in the split. Repeated rows count each. Texts
+are scored whole. An empty table gives an empty result; without training texts every
 count is zero and scores come from smoothing alone. Other columns are not read.
 """
 
@@ -26,12 +26,11 @@ from __future__ import annotations
 
 import gc
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import count, groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
@@ -40,7 +39,7 @@ from pyspark.sql import functions as F
 from stationproof.llm.common import BATCH_ROWS, blank_words, stored
 
 GROUPS, CLASSES, ROUNDS, SMOOTH = 128, 64, 8, 0.1
-BLOCK, PART = 8_000_000, 50_000
+PART = 50_000
 #: Occurrences from which a word is clustered alone; rarer ones alone would learn their few neighbours by heart.
 LEAST = 3
 END = b""
@@ -48,15 +47,17 @@ END = b""
 STEPS = 64
 #: Columns of a word's counts: classes after it, classes before it, and how often it follows itself.
 WIDTH = 2 * (CLASSES + 1) + 1
-#: Distinct words, or bigrams, a task holds before it hands them on.
+#: Distinct words, or tokens, of a piece.
 HELD_WORDS, HELD_PAIRS = 200_000, 500_000
-#: Bytes of packed rows that a task holds in one batch, beside the row at hand.
-HELD_BYTES = 8 << 20
-#: Cells of counts that a piece's task adds up at once.
+#: Links from pieces that a part's task holds before it adds up equal ones.
+HELD_LINKS = 400_000
+#: Bytes of packed rows that a task holds in one batch, beside the row at hand; and of one row, so that it fits a region of the JVM's heap.
+HELD_BYTES, ROW_BYTES = 2 << 20, 384 << 10
+#: Cells of counts that a task adds up at once.
 HELD_CELLS = 4_000_000
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Part number of rows that hold class bigrams.
-TOTALS = -2
+#: Part numbers of rows that hold class bigrams, and of the end as a neighbour.
+TOTALS, NONE = -2, -1
 SURVEY = "part int, block long, body binary, n long"
 SURVEY_NAMES = ["part", "block", "body", "n"]
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -75,28 +76,94 @@ def group(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % 16 * 8 + min(len(word) // 2, 7)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word, c over all tokens."""
+def _flat(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, so that files and shuffles compress them well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _numbers(body: bytes, kind: str, n: int, at: int = 0) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8, n * size, at).reshape(size, n).T).view(kind)[:, 0]
+
+
+def _small(body: bytes) -> bytes:
+    """Compressed with its size before it."""
+    return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+
+
+def _large(body: bytes) -> bytes:
+    return pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True)
+
+
+def numbered(texts: DataFrame) -> DataFrame:
+    """The corpus as pieces: block, part (-1, -2, … for a piece's rows in turn), words (in the order of their numbers from 1 on; 0 is
+    the end) and how often each number occurs in training texts (n), both in the first row, and the texts as numbers in rows of
+    `ROW_BYTES` (body, see `_texts`). Without a column held_out all texts are for training."""
+    out_of = F.col("held_out") if "held_out" in texts.columns else F.lit(False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        block = TaskContext.get().partitionId() << 32
 
         def out():
-            yield pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-            held.clear()
-
+            sizes, seq, away = np.array(list(map(len, runs)), np.int64), np.concatenate(runs), np.array(held_outs, bool)
+            n = np.bincount(seq[np.repeat(~away, sizes)], minlength=len(numbers)).astype(np.int64)
+            ids = np.array([0 if i is None else i for i in doc_ids], np.int64)
+            null = np.array([i is None for i in doc_ids], bool)
+            body = len(runs).to_bytes(8, "little") + null.tobytes() + away.tobytes() + _flat(ids) + _flat(sizes) + _flat(seq)
+            body = _small(body)
+            for i, lo in enumerate(range(0, len(body), ROW_BYTES)):
+                first = [None, None] if i else [_small(b"\n".join(list(numbers)[1:])), _small(_flat(n))]
+                yield _row("block part words n body", [block], [NONE - i], *[[x] for x in first], [body[lo : lo + ROW_BYTES]])
+
+        numbers, runs, doc_ids, held_outs, held = defaultdict(count().__next__, {}), [], [], [], 0
+        numbers[END]
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(tokens(text))
-                if len(held) > HELD_WORDS:
+            for doc_id, text, away in zip(*(c.to_pylist() for c in batch.columns)):
+                words = tokens(text)
+                runs.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                doc_ids.append(doc_id)
+                held_outs.append(away)
+                held += len(words)
+                if held > HELD_PAIRS or len(numbers) > HELD_WORDS:
                     yield from out()
-        yield from out()
+                    numbers, runs, doc_ids, held_outs, held, block = defaultdict(count().__next__, {}), [], [], [], 0, block + 1
+                    numbers[END]
+        if runs:
+            yield from out()
+
+    return texts.select(F.col("doc_id").cast("long"), "text", out_of).mapInArrow(run, "block long, part int, words binary, n binary, body binary")
+
+
+def _texts(body: bytes) -> tuple:
+    """Of a piece: doc_ids, which of them are null, which texts are held out, their sizes, and the numbers of all their words."""
+    body = _large(body)
+    d = int.from_bytes(body[:8], "little")
+    null, away = (np.frombuffer(body, bool, d, 8 + i * d) for i in range(2))
+    ids, sizes = (_numbers(body, "<i8", d, 8 + (2 + 8 * i) * d) for i in range(2))
+    return ids, null, away, sizes, _numbers(body, "<i4", (len(body) - 8 - 18 * d) // 4, 8 + 18 * d)
+
 
-    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+def _counted(whole: DataFrame) -> DataFrame:
+    """word, c over all training tokens of the pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for body, n in _rows(batches):
+            words = pa.array([END, *_split(_large(body))], pa.binary())
+            n = _numbers(_large(n), "<i8", len(words))
+            has = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(has)), pa.array(n[has])], names=["word", "n"])
+
+    return whole.where("part = -1").select("words", "n").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word, c over all tokens."""
+    return _counted(numbered(texts))
 
 
 def _row(names: str, *columns: tuple) -> pa.RecordBatch:
-    kinds = {"block": pa.int64(), "part": pa.int32(), "kind": pa.int32(), "body": pa.binary(), "n": pa.int64(), "c": pa.binary(), "own": pa.binary()}
+    kinds = {"block": pa.int64(), "part": pa.int32(), "kind": pa.int32(), "body": pa.binary(), "n": pa.int64(), "c": pa.binary(), "own": pa.binary(), "words": pa.binary()}
+    kinds |= {"n": pa.binary()} if "words" in names else {}
     return pa.RecordBatch.from_arrays([pa.array(list(v), kinds[k]) for k, v in zip(names.split(), columns)], names=names.split())
 
 
@@ -106,61 +173,75 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield tuple(c[i].as_py() for c in batch.columns)
 
 
-def _packed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bytes:
-    """Bigrams in order of a: steps of a, and byte by byte, so that shuffles compress them well."""
-    return np.stack((np.diff(a, prepend=0), b, n)).astype("<i4").view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1).tobytes()
+def _packed(a: np.ndarray, *others: np.ndarray) -> bytes:
+    """Columns of rows in order of a: steps of a, and byte by byte, so that shuffles compress them well."""
+    rows = np.stack((np.diff(a, prepend=0), *others)).astype("<i4")
+    return _small(rows.view(np.uint8).reshape(len(rows), -1, 4).transpose(0, 2, 1).tobytes())
 
 
-def _unpacked(body: bytes) -> np.ndarray:
-    rows = np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(3, 4, -1).transpose(0, 2, 1)).view("<i4")[:, :, 0].astype(np.int64)
+def _unpacked(body: bytes, columns: int) -> np.ndarray:
+    rows = np.ascontiguousarray(np.frombuffer(_large(body), np.uint8).reshape(columns, 4, -1).transpose(0, 2, 1)).view("<i4")[:, :, 0].astype(np.int64)
     rows[0] = np.cumsum(rows[0])
     return rows
 
 
-def pieces(texts: DataFrame, parts: int) -> DataFrame:
-    """The corpus as bigrams of pieces: for each part the piece's words, in the order of their numbers from 1 on; part -1 has
-    the numbers a, b (0 is the end, also before a text) and their count."""
+def _asked(block: int, words: bytes, parts: int) -> pa.RecordBatch:
+    """What a piece asks each part: block, part, and how many words, their numbers and the words (body)."""
+    words = _split(_large(words))
+    owner = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
+    order = np.argsort(owner, kind="stable")
+    has, first = np.unique(owner[order], return_index=True)
+    number, words = order.astype("<i4") + np.int32(1), [words[i] for i in order.tolist()]
+    bodies = [_small(int(hi - lo).to_bytes(8, "little") + _flat(number[lo:hi]) + b"\n".join(words[lo:hi])) for lo, hi in zip(first, [*first[1:], len(words)])]
+    return _row("block part body", [block] * len(has), has.tolist(), bodies)
+
+
+def _lists(whole: DataFrame, parts: int) -> DataFrame:
+    """What each piece asks each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[bytes, int] = {END: 0}
-        runs, held, block = [], 0, TaskContext.get().partitionId() << 32
+        for block, words in _rows(batches):
+            yield _asked(block, words, parts)
 
-        def out():
-            words = sorted(w for w in numbers if w != END)
-            owner = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
-            order = np.argsort(owner, kind="stable").tolist()
-            words, owner = [words[i] for i in order], owner[order]
-            new = np.zeros(len(numbers), np.int64)
-            new[[numbers[w] for w in words]] = np.arange(1, len(numbers))
-            codes = [np.concatenate(([0], r[:-1])) * len(new) + r for r in map(new.__getitem__, runs)]
-            code, n = np.unique(np.concatenate(codes), return_counts=True)
-            has, first = np.unique(owner, return_index=True)
-            lists = [b"\n".join(words[lo:hi]) for lo, hi in zip(first, [*first[1:], len(words)])]
-            yield _row("block part body", [block] * (len(has) + 1), [-1, *has.tolist()], [_packed(code // len(new), code % len(new), n), *lists])
+    return whole.where("part = -1").select("block", "words").mapInArrow(run, "block long, part int, body binary")
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = tokens(text)
-                runs.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
-                held += len(words)
-                if held > HELD_PAIRS or len(numbers) > HELD_WORDS:
-                    yield from out()
-                    numbers, runs, held, block = {END: 0}, [], 0, block + 1
-        if runs:
-            yield from out()
 
-    return texts.select("text").mapInArrow(run, "block long, part int, body binary")
+def pieces(texts: DataFrame, parts: int) -> DataFrame:
+    """The corpus as pieces: what each asks each part, and at parts -1, -2, … its texts as numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, part, words, body in _rows(batches):
+            if part == NONE:
+                yield _asked(block, words, parts)
+            yield _row("block part body", [block], [part], [body])
+
+    return numbered(texts).select("block", "part", "words", "body").mapInArrow(run, "block long, part int, body binary")
 
 
 def owners(counts: DataFrame, parts: int) -> DataFrame:
     """The words of each part in order, with their counts, and those clustered alone: part, body, c, own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in groupby(_rows(batches), lambda r: r[0]):
-            words, c = zip(*[r[1:] for r in rows])
+        held = None, [], []
+
+        def out():
+            part, words, c = held
             alone = [w for w, n in zip(words, c) if n >= LEAST]
             yield _row("part body c own", [part], [b"\n".join(words)], [np.array(c, np.int64).tobytes()], [b"\n".join(alone)])
 
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for part, rows in groupby(range(batch.num_rows), columns[0].__getitem__):
+                rows = list(rows)
+                if part != held[0]:
+                    if held[1]:
+                        yield from out()
+                    held = part, [], []
+                for more, column in zip(held[1:], columns[1:]):
+                    more += column[rows[0] : rows[-1] + 1]
+        if held[1]:
+            yield from out()
+
     dealt = counts.where(F.length("word") > 0).select(F.pmod(F.crc32("word"), F.lit(parts)).cast("int").alias("part"), "word", "c")
     return dealt.repartition("part").sortWithinPartitions("part", "word").mapInArrow(run, "part int, body binary, c binary, own binary")
 
@@ -174,66 +255,151 @@ def _places(words: list[bytes], place: dict[bytes, int]) -> np.ndarray:
     return np.array([i if (i := place.get(w)) is not None else len(place) + group(w) for w in words], np.int32)
 
 
-def _by_part(own: DataFrame, of_blocks: DataFrame) -> DataFrame:
+def _by_part(own: DataFrame, of_blocks: DataFrame, tasks: int | None = None) -> DataFrame:
     """Each part's own row and then its blocks' rows, in one task: part, kind, block, body."""
     both = own.select("part", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("block"), "body").union(of_blocks.select("part", F.lit(1), "block", "body"))
-    return both.repartition("part").sortWithinPartitions("part", "kind", "block")
+    return both.repartition(*([tasks] if tasks else []), "part").sortWithinPartitions("part", "kind", "block")
 
 
 def asks(own: DataFrame, cut: DataFrame) -> DataFrame:
-    """Places in its part of the words of a piece: part, block, body."""
+    """Answers of the parts to the pieces: part, block, and how many words, their numbers, places and counts (body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[bytes, int] = {}
-        for part, kind, block, body in _rows(batches):
-            words = _split(body)
-            if kind == 0:
-                place = dict(zip(words, range(len(words))))
-            else:
-                yield _row("part block body", [part], [block], [_places(words, place).tobytes()])
-
-    return _by_part(own.select("part", F.col("own").alias("body")), cut.where("part >= 0")).mapInArrow(run, "part int, block long, body binary")
-
-
-def _at_pieces(state: DataFrame, asked: DataFrame, cut: DataFrame) -> DataFrame:
-    """Each piece's places and classes by part and then its bigrams, in one task: block, kind, part, body."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = np.zeros(0, np.uint8)
-        for part, kind, block, body in _rows(batches):
-            if kind == 0:
-                classes = np.frombuffer(body, np.uint8)
-            else:
-                yield _row("block kind part body", [block], [0], [part], [body + classes[np.frombuffer(body, np.int32)].tobytes()])
-
-    sent = _by_part(state, asked).mapInArrow(send, "block long, kind int, part int, body binary")
-    both = sent.union(cut.where("part = -1").select("block", F.lit(1), "part", "body"))
+        for part, rows in groupby(_rows(batches), lambda r: r[0]):
+            index: dict[bytes, int] = {}
+            c, places, alone = np.zeros(1, np.int64), np.zeros(1, np.int32), 0
+            for _, kind, block, body in rows:
+                if kind == 0:
+                    words, _, c = body.partition(b"\n\n")  # the first such place: words are never empty
+                    words, c = _split(words), np.frombuffer(c, np.int64)
+                    own = [w for w, n in zip(words, c.tolist()) if n >= LEAST]
+                    index, alone, places = dict(zip(words, range(len(words)))), len(own), _places(words, dict(zip(own, range(len(own)))))
+                else:
+                    body = _large(body)
+                    n = int.from_bytes(body[:8], "little")
+                    words = _split(body[8 + 4 * n :])
+                    at = np.fromiter((index.get(w, -1) for w in words), np.int64, n)
+                    place, new = places[at], np.flatnonzero(at < 0)
+                    place[new] = [alone + group(words[i]) for i in new]
+                    yield _row("part block body", [part], [block], [_small(body[: 8 + 4 * n] + _flat(place) + _flat(np.where(at < 0, 0, c[at])))])
+
+    mine = own.select("part", F.concat("body", F.lit(b"\n\n"), "c").alias("body"))
+    return _by_part(mine, cut.where("part >= 0")).mapInArrow(run, "part int, block long, body binary")
+
+
+def _answer(body: bytes) -> tuple:
+    """Numbers in the piece, places, counts."""
+    body = _large(body)
+    n = int.from_bytes(body[:8], "little")
+    return _numbers(body, "<i4", n, 8), _numbers(body, "<i4", n, 8 + 4 * n), _numbers(body, "<i8", n, 8 + 8 * n)
+
+
+def _at_pieces(answers: DataFrame, cut: DataFrame) -> DataFrame:
+    """Each piece's answers by part and then its texts, in one task: block, kind, part, body."""
+    both = answers.select("block", F.lit(0).alias("kind"), "part", "body").union(cut.where("part < 0").select("block", F.lit(1), "part", "body"))
     return both.repartition("block").sortWithinPartitions("block", "kind", "part")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Of each piece: block, parts, words in each part, places, classes (both from word 1 on), bigrams."""
+    """Of each piece: block, answers (part, body), texts."""
     for block, rows in groupby(_rows(batches), lambda r: r[0]):
-        parts, sizes, places, classes = [], [], [np.zeros(0, np.int32)], [np.zeros(0, np.uint8)]
+        answers, bodies = [], []
         for _, kind, part, body in rows:
             if kind == 0:
-                n = len(body) // 5
-                parts.append(part)
-                sizes.append(n)
-                places.append(np.frombuffer(body, np.int32, n))
-                classes.append(np.frombuffer(body, np.uint8, n, 4 * n))
+                answers.append((part, body))
             else:
-                yield block, parts, sizes, np.concatenate(places), np.concatenate(classes), _unpacked(body)
+                bodies.insert(0, body)  # the first row has the largest part
+        yield block, answers, b"".join(bodies)
 
 
-def _of_words(classes: np.ndarray) -> np.ndarray:
-    """Classes by number in a piece; the end has number and class 0."""
-    return np.concatenate(([0], classes)).astype(np.int64)
+def _bigrams(asked: DataFrame, cut: DataFrame) -> DataFrame:
+    """Bigrams of each piece's training texts for the parts of both their words: part, block, body, n. Packed are the word's place
+    and what the neighbour is to it (0 after it, 1 before it, 2 the word itself, counted a third time), part and place of the
+    neighbour, and the count. The end follows itself n times in a row of part `TOTALS`."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, answers, body in _read(batches):
+            _, _, away, sizes, seq = _texts(body)
+            if away.all():
+                continue
+            found = [(part, *_answer(a)[:2]) for part, a in answers]
+            symbol = np.concatenate([[NONE << 32], *[(part << 32) + places.astype(np.int64) for part, _, places in found]])
+            known, number = np.unique(symbol, return_inverse=True)  # the end comes first
+            of = np.zeros(len(symbol), np.int64)
+            of[np.concatenate([[0], *[at for _, at, _ in found]])] = number
+            y = of[seq[np.repeat(~away, sizes)]]
+            code, n = np.unique(np.concatenate(([0], y[:-1])) * len(known) + y, return_counts=True)  # each text ends with the end
+            a, b = code // len(known), code % len(known)
+            if code[0] == 0:
+                yield _row("part block body n", [TOTALS], [block], [None], [n[0]])
+            x, y, same = a > 0, b > 0, (a == b) & (a > 0)
+            own, near, n = np.concatenate((a[x], b[y], a[same])), np.concatenate((b[x], a[y], a[same] * 0)), np.concatenate((n[x], n[y], n[same]))
+            way = np.repeat([0, 1, 2], [x.sum(), y.sum(), same.sum()])
+            order = np.argsort((own * 3 + way) * len(known) + near)
+            own, near, n, way = own[order], near[order], n[order], way[order]
+            part, place = known >> 32, known & 0xFFFFFFFF
+            has, first = np.unique(part[own], return_index=True)
+            for p, lo, hi in zip(has, first, [*first[1:], len(own)]):
+                yield _row("part block body n", [p], [block], [_packed(place[own[lo:hi]] * 3 + way[lo:hi], part[near[lo:hi]], place[near[lo:hi]], n[lo:hi])], [0])
+
+    return _at_pieces(asked, cut).mapInArrow(run, SURVEY)
+
+
+def _added(held: list) -> list:
+    """Equal links as one: places with ways, neighbours, sums, in this order."""
+    own, near, n = (np.concatenate(c) for c in zip(*held))
+    held.clear()
+    of, place = (near >> 32) + 1, near & 0xFFFFFFFF
+    bits = [int(x.max()).bit_length() for x in (own, of, place)]
+    if sum(bits) < 63:
+        code = (own.astype(np.int64) << (bits[1] + bits[2])) + (of << bits[2]) + place
+        order = np.argsort(code)
+        code = code[order]
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        order, sums = order[first], np.add.reduceat(n[order], first)
+    else:
+        order = np.lexsort((near, own))
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(own[order]) != 0) | (np.diff(near[order]) != 0))))
+        order, sums = order[first], np.add.reduceat(n[order], first)
+    return [(own[order], near[order], sums)]
+
+
+def linked(asked: DataFrame, cut: DataFrame) -> DataFrame:
+    """The training corpus by words: kind, part, block, body, n. Kind 0 lists places of a part whose classes another part (block)
+    wants; kind 1 are links of a part, in chunks: place and way, number of the neighbour in the part's lists, count."""
 
-def _class_bigrams(of: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-    k = CLASSES + 1
-    return np.bincount(of[a] * k + of[b], n, k * k).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in groupby(_rows(batches), lambda r: r[0]):
+            if part == TOTALS:
+                yield _row("kind part block body n", [1], [part], [0], [None], [sum(r[3] for r in rows)])
+                continue
+            held, size, limit = [], 0, HELD_LINKS
+            for _, _, body, _ in rows:
+                own, of, place, n = _unpacked(body, 4)
+                held.append((own.astype(np.int32), (of << 32) + place, n.copy()))
+                size += len(own)
+                if size > limit:
+                    held = _added(held)
+                    size = len(held[0][0])
+                    limit = HELD_LINKS + size * 5 // 4
+            (own, near, n), = _added(held)
+            known = np.unique(np.concatenate(([NONE << 32], near)))
+            number = np.searchsorted(known, near)
+            of, place = known[1:] >> 32, known[1:] & 0xFFFFFFFF
+            has, first = np.unique(of, return_index=True)
+            for other, lo, hi in zip(has, first, [*first[1:], len(of)]):
+                yield _row("kind part block body n", [0], [other], [part], [_packed(place[lo:hi])], [0])
+            for i, lo in enumerate(range(0, len(own), ROW_BYTES // 16)):
+                to = slice(lo, lo + ROW_BYTES // 16)
+                yield _row("kind part block body n", [1], [part], [i], [_packed(own[to], number[to], n[to] & 0xFFFFFFFF, n[to] >> 32)], [0])
+
+    return _bigrams(asked, cut).repartition("part").sortWithinPartitions("part", "block").mapInArrow(run, f"kind int, {SURVEY}")
+
+
+def _links(body: bytes) -> tuple:
+    """Places, ways, numbers of neighbours, counts."""
+    own, near, n, high = _unpacked(body, 4)
+    return own // 3, own % 3, near, (n & 0xFFFFFFFF) + (high << 32)
 
 
 def _total_rows(total: np.ndarray) -> pa.RecordBatch:
@@ -251,19 +417,7 @@ def _matrix(rows: DataFrame) -> np.ndarray:
     return m.reshape(CLASSES + 1, -1)
 
 
-def matrix(state: DataFrame, asked: DataFrame, cut: DataFrame) -> np.ndarray:
-    """Class bigrams of the training corpus."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CLASSES + 1) ** 2, np.int64)
-        for *_, classes, (a, b, n) in _read(batches):
-            total += _class_bigrams(_of_words(classes), a, b, n)
-        yield _total_rows(total)
-
-    return _matrix(_at_pieces(state, asked, cut).mapInArrow(run, SURVEY))
-
-
-def _turn(places: np.ndarray, part, turn: int) -> np.ndarray:
+def _turn(places: np.ndarray, part: int, turn: int) -> np.ndarray:
     """Which words may move this time: half of them."""
     x = (places.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B1) + np.asarray(part, np.uint64) * np.uint64(0x85EBCA77) + np.uint64(turn * 0xC2B2AE3D)
     x = (x ^ (x >> np.uint64(15))) * np.uint64(0x2C1B3C6D)
@@ -280,39 +434,56 @@ def _near(at: np.ndarray, column: np.ndarray, n: np.ndarray, words: int) -> Iter
         yield lo + code // WIDTH, code % WIDTH, cells[code].astype(np.int64)
 
 
-def surveyed(state: DataFrame, asked: DataFrame, cut: DataFrame, turn: int) -> DataFrame:
-    """Neighbours by class of the words that may move this time, and class bigrams (part `TOTALS`): part, block or cell, body, n."""
+def surveyed(state: DataFrame, links: DataFrame, turn: int) -> DataFrame:
+    """Neighbours by class of the words that may move this time (none after the last), and class bigrams (part `TOTALS`): part,
+    block or cell, body, n."""
     k = CLASSES + 1
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = np.zeros(0, np.uint8)
+        for part, kind, other, body in _rows(batches):
+            if kind == 0:
+                classes = np.frombuffer(body, np.uint8)
+            else:
+                yield _row("part block body", [other], [part], [classes[_unpacked(body, 1)[0]].tobytes()])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * k, np.int64)
-        for block, parts, sizes, places, classes, (a, b, n) in _read(batches):
-            of = _of_words(classes)
-            total += _class_bigrams(of, a, b, n)
-            moves = _turn(places, np.repeat(parts, sizes), turn)
-            word = np.flatnonzero(moves)  # words from 1 on have places from 0 on
-            number = np.full(len(of), -1)
-            number[1:][moves] = np.arange(len(word))
-            x, y = number[a] >= 0, number[b] >= 0
-            symbol = np.concatenate(([-1], np.repeat(np.array(parts, np.int64) << 32, sizes) + places))
-            same = x & (symbol[a] == symbol[b])
-            at = np.concatenate((number[a[x]], number[b[y]], number[a[same]]))
-            column = np.concatenate((of[b[x]], k + of[a[y]], np.full(same.sum(), WIDTH - 1)))
-            found = [np.concatenate(c) for c in zip(*_near(at, column, np.concatenate((n[x], n[y], n[same])), len(word)))]
-            if not found:
-                continue
-            of_word = word[found[0]]
-            ends = np.searchsorted(of_word, np.cumsum([0, *sizes]))
-            for part, lo, hi in zip(parts, ends, ends[1:]):
-                if lo < hi:
-                    body = found[2][lo:hi].tobytes() + places[of_word[lo:hi]].astype(np.int32).tobytes() + found[1][lo:hi].astype(np.uint8).tobytes()
+        for part, rows in groupby(_rows(batches), lambda r: r[0]):
+            classes, heard, of = np.zeros(0, np.uint8), [np.zeros(1, np.uint8)], None  # the end has class 0
+            for _, kind, block, body in rows:
+                if kind == 0:
+                    classes = np.frombuffer(body, np.uint8)
+                    number = np.full(len(classes), -1)
+                    if turn < ROUNDS:
+                        word = np.flatnonzero(_turn(np.arange(len(classes)), part, turn))
+                        number[word] = np.arange(len(word))
+                    continue
+                if kind == 1:
+                    heard.append(np.frombuffer(body, np.uint8))
+                    continue
+                of = np.concatenate(heard).astype(np.int64) if of is None else of
+                own, way, near, n = _links(body)
+                a, b = classes[own].astype(np.int64), of[near]
+                x, y = way == 0, (way == 1) & (near == 0)  # bigrams before the end's word are those of no part's word
+                total += np.bincount(a[x] * k + b[x], n[x], k * k).astype(np.int64) + np.bincount(a[y], n[y], k * k).astype(np.int64)
+                at = number[own]
+                x = at >= 0
+                if not x.any():
+                    continue
+                first = at[x].min()
+                for w, column, sums in _near(at[x] - first, way[x] * k + b[x], n[x], int(at[x].max() - first) + 1):
+                    body = sums.tobytes() + word[first + w].astype(np.int32).tobytes() + column.astype(np.uint8).tobytes()
                     yield _row("part block body n", [part], [block], [body], [0])
         yield _total_rows(total)
 
-    return _at_pieces(state, asked, cut).mapInArrow(count, SURVEY)
+    sent = _by_part(state, links.where("kind = 0")).mapInArrow(send, "part int, block long, body binary")
+    mine = state.select("part", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("block"), "body")
+    rows = mine.union(sent.select("part", F.lit(1), "block", "body")).union(links.where(f"kind = 1 and part <> {TOTALS}").select("part", F.lit(2), "block", "body"))
+    return rows.repartition("part").sortWithinPartitions("part", "kind", "block").mapInArrow(count, SURVEY)
 
 
-def moved(state: DataFrame, counted: DataFrame, m: np.ndarray) -> DataFrame:
+def moved(state: DataFrame, counted: DataFrame, m: np.ndarray, tasks: int) -> DataFrame:
     """Classes after the words of `counted` have moved: part, body."""
     k = CLASSES + 1
 
@@ -323,7 +494,7 @@ def moved(state: DataFrame, counted: DataFrame, m: np.ndarray) -> DataFrame:
             for _, _, _, body in rows:
                 size = len(body) // 13
                 n, word = np.frombuffer(body, np.int64, size), np.frombuffer(body, np.int32, size, 8 * size).astype(np.int64)
-                np.add.at(near, word * WIDTH + np.frombuffer(body, np.uint8, size, 12 * size), n)  # words of a group share a number
+                np.add.at(near, word * WIDTH + np.frombuffer(body, np.uint8, size, 12 * size), n)  # chunks of links may share a word
             near = near.reshape(-1, WIDTH)
             chosen = np.flatnonzero(near.any(axis=1))
             steps = _steps(m)
@@ -337,7 +508,7 @@ def moved(state: DataFrame, counted: DataFrame, m: np.ndarray) -> DataFrame:
                 classes[at[better]] = to[better]
             yield _row("part body", [part], [classes.tobytes()])
 
-    return _by_part(state, counted.where(F.col("part") != TOTALS)).mapInArrow(move, "part int, body binary")
+    return _by_part(state, counted.where(F.col("part") != TOTALS), tasks).mapInArrow(move, "part int, body binary")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -403,8 +574,14 @@ def gains(m: np.ndarray, own: int, after: np.ndarray, before: np.ndarray, twice:
     return all_gains(m, np.array([own]), after[None, :].astype(float), before[None, :].astype(float), np.array([float(twice)]))[0]
 
 
-def exchange(own: DataFrame, cut: DataFrame, parts: int) -> tuple[DataFrame, np.ndarray]:
-    """Classes of each part's words (part, body) and the class bigrams."""
+def _swept(df: DataFrame) -> None:
+    """Shuffles of ended jobs leave the disk only with the driver's garbage."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
+def exchange(own: DataFrame, cut: DataFrame, parts: int, asked: DataFrame | None = None) -> tuple[DataFrame, np.ndarray]:
+    """Classes of each part's words (part, body) and the class bigrams; `asked` are the parts' answers to the pieces, if at hand."""
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, c in _rows(batches):
@@ -413,27 +590,30 @@ def exchange(own: DataFrame, cut: DataFrame, parts: int) -> tuple[DataFrame, np.
             yield _row("part body", [part], [((rank * parts + part) % CLASSES + 1).astype(np.uint8).tobytes()])
 
     state = stored(own.select("part", "c").mapInArrow(begin, "part int, body binary"), "classes")
-    asked = stored(asks(own, cut), "asks")
+    links = stored(linked(stored(asks(own, cut), "asks") if asked is None else asked, cut), "links", "kind")
+    _swept(own)
+    ends = sum(r.n for r in links.where(f"kind = 1 and part = {TOTALS}").select("n").collect())  # one row at most
+    tasks = max(min(parts, 12), parts // 3)
 
-    def survey(of: DataFrame, turn: int) -> tuple[np.ndarray, DataFrame | None]:
-        if turn >= ROUNDS:
-            return matrix(of, asked, cut), None
-        counted = surveyed(of, asked, cut, turn).persist(StorageLevel.DISK_ONLY)  # until the words have moved
-        return _matrix(counted), counted
+    def survey(of: DataFrame, turn: int) -> tuple[np.ndarray, DataFrame]:
+        counted = surveyed(of, links, turn).persist(StorageLevel.DISK_ONLY)  # until the words have moved
+        m = _matrix(counted)
+        m[0, 0] = ends
+        return m, counted
 
     m, counted = survey(state, 0)
     best = likelihood(m)
     for turn in range(ROUNDS):
-        new = stored(moved(state, counted, m), "classes")
+        new = stored(moved(state, counted, m, tasks), "classes")
         counted.unpersist()
         after, counted = survey(new, turn + 1)
         if (value := likelihood(after)) > best:
             state, m, best = new, after, value
-        elif counted is not None:
+        elif turn + 1 < ROUNDS:
             counted.unpersist()
             counted = survey(state, turn + 1)[1]
-        gc.collect()  # shuffles of ended rounds leave the disk only with the driver's garbage
-        own.sparkSession._jvm.System.gc()
+        _swept(own)
+    counted.unpersist()
     return state, m
 
 
@@ -451,31 +631,55 @@ def classed(own: DataFrame, state: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word binary, c long, k int, family int")
 
 
+def _kinds(own: DataFrame, state: DataFrame) -> DataFrame:
+    """family, k, c, v: occurrences and number of training words by group and class."""
+    k = CLASSES + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for body, c, alone, classes in _rows(batches):
+            words, alone = _split(body), _split(alone)
+            of = np.frombuffer(classes, np.uint8)[_places(words, dict(zip(alone, range(len(alone)))))]
+            cell = np.array(list(map(group, words)), np.int64) * k + of
+            v = np.bincount(cell, minlength=GROUPS * k)
+            c = np.bincount(cell, np.frombuffer(c, np.int64), GROUPS * k).astype(np.int64)
+            has = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([pa.array((has // k).astype(np.int32)), pa.array((has % k).astype(np.int32)), pa.array(c[has]), pa.array(v[has])], names=["family", "k", "c", "v"])
+
+    rows = own.join(state.withColumnRenamed("body", "classes"), "part").select("body", "c", "own", "classes")
+    return rows.mapInArrow(run, "family int, k int, c long, v long").groupBy("family", "k").agg(F.sum("c").alias("c"), F.sum("v").alias("v"))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Scores of all texts by a model of those that are not held out."""
     spark = docs.sparkSession
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    train = rows.where(~F.col("held_out"))
-    counts = stored(word_counts(train), "words")
-    whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
-    total, types = int(whole.n), int(whole.v)
-    parts = max(1, -(-types // PART))
-    own = stored(owners(counts, parts), "parts")
-    cut = stored(pieces(train, parts), "pieces")
     held = spark.conf.get(BATCH_BYTES)
-    spark.conf.set(BATCH_BYTES, str(HELD_BYTES))
+    spark.conf.set(BATCH_BYTES, str(HELD_BYTES))  # for all jobs up to the stored scores
     try:
-        state, m = exchange(own, cut, parts)
+        return _scored(rows)
     finally:
         spark.conf.set(BATCH_BYTES, held)
-    known = stored(classed(own, state), "classed")
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    whole = stored(numbered(rows), "pieces")
+    cut = whole.select("block", "part", "body")
+    counts = stored(_counted(whole), "words")
+    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
+    total, types = int(sums.n), int(sums.v)
+    parts = max(1, -(-types // PART))
+    own = stored(owners(counts, parts), "parts")
+    _swept(own)
+    asked = stored(asks(own, _lists(whole, parts)), "asks")
+    _swept(own)
+    state, m = exchange(own, cut, parts, asked)
     ends = sum(r.c for r in counts.where(F.length("word") == 0).collect())  # at most one row
     frequency, kinds = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     frequency[0], kinds[0] = ends, ends > 0
     in_group = np.zeros((GROUPS, CLASSES + 1))
-    for r in known.groupBy("family", "k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():  # at most groups x classes rows
+    for r in _kinds(own, state).collect():  # at most groups x classes rows
         frequency[r.k] += r.c
         kinds[r.k] += r.v
         in_group[r.family, r.k] = r.v
@@ -486,43 +690,35 @@ def score(docs: DataFrame) -> DataFrame:
     transition = np.log10(smooth / smooth.sum(axis=1, keepdims=True))
     floor = np.log10(total + types + 1)
 
-    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).head().n
-    blocks = max(1, -(-int(size) // BLOCK))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set] = {}
-        for batch in batches:
-            for text, block in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
-                seen.setdefault(block, set()).update(blank_words(text))
-            for block in [b for b, w in seen.items() if len(w) > HELD_WORDS]:
-                yield _block_words(block, seen.pop(block))
-        for block, words in seen.items():
-            yield _block_words(block, words)
-
-    wanted = dealt.mapInArrow(asked, "block int, word binary")
-    answers = wanted.join(known, "word").repartition(blocks, "block").groupBy("block", "word").agg(F.first("c").alias("c"), F.first("k").alias("k"))
-
-    def judge(texts: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
-        of = dict(zip(answer["word"], zip(answer["c"], answer["k"])))
-        of[END] = ends, 0
-        split = [tokens(t) for t in texts["text"]]
-        distinct = list(set(chain.from_iterable(split)))  # count, logarithm and class are worked out once a word
-        place = dict(zip(distinct, range(len(distinct))))
-        found = [of[w] if w in of else (0, unseen[group(w)]) for w in distinct]
-        c, kinds = np.array(found, np.int64).reshape(-1, 2).T
-        logs = np.log10(c + 1)
-        out = []
-        for doc_id, words, out_of in zip(texts["doc_id"], split, texts["held_out"]):
-            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            seen, k = float(logs[at].sum()), kinds[at]
-            steps = transition[np.concatenate(([0], k[:-1])), k].sum()
-            out.append((doc_id, out_of, len(words), int((c[at] > 0).sum()), total, seen - len(words) * floor, seen + float(steps - emission[k].sum())))
-        made = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        return made.assign(doc_id=made["doc_id"].astype("Int64"))
-
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(judge, RESULT)
-
-
-def _block_words(block: int, words: set) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int32()), pa.array(list(words), pa.binary())], names=["block", "word"])
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in groupby(_rows(batches), lambda r: r[0]):
+            classes = np.zeros(GROUPS, np.uint8)  # of a part without training words
+            for _, kind, block, body in rows:
+                if kind == 0:
+                    classes = np.frombuffer(body, np.uint8)
+                else:
+                    at, places, c = _answer(body)
+                    k = np.where(c > 0, classes[places], unseen[np.maximum(places - (len(classes) - GROUPS), 0)])
+                    yield _row("part block body", [part], [block], [_small(len(at).to_bytes(8, "little") + _flat(at) + _flat(k.astype("<i4")) + _flat(c))])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, answers, body in _read(batches):
+            ids, null, away, sizes, seq = _texts(body)
+            found = [_answer(a) for _, a in answers]
+            c = np.full(1 + sum(len(at) for at, _, _ in found), ends, np.int64)
+            k = np.zeros(len(c), np.int64)
+            for at, of, n in found:
+                c[at], k[at] = n, of
+            k = k[seq]
+            known, logs = np.concatenate(([0], np.cumsum(c[seq] > 0))), np.log10(c + 1)[seq]
+            steps, emitted = transition[np.concatenate(([0], k[:-1])), k], emission[k]  # each text ends with the end
+            hi = np.cumsum(sizes)
+            lo = hi - sizes
+            spans = [slice(x, y) for x, y in zip(lo.tolist(), hi.tolist())]
+            seen = np.array([logs[x].sum() for x in spans])
+            score = seen + np.array([steps[x].sum() - emitted[x].sum() for x in spans])
+            columns = [pa.array(ids, mask=null), pa.array(away), pa.array(sizes), pa.array(known[hi] - known[lo]), pa.array(np.full(len(ids), total)), pa.array(seen - sizes * floor), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    answers = _by_part(state, asked).mapInArrow(send, "part int, block long, body binary")
+    return stored(_at_pieces(answers, cut).mapInArrow(judge, RESULT), "scores")

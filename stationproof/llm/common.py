@@ -29,11 +29,11 @@ def blank_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the session's shared folder and read it back: cuts the lineage and keeps column pruning."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write a table to the session's shared folder, in folders of `by`, and read it back: cuts the lineage and keeps column pruning."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(by) or None)
     return spark.read.schema(df.schema).parquet(path)
 
 

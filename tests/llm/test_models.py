@@ -74,6 +74,37 @@ def test_a_round_reads_the_corpus_once(spark, monkeypatch):
     assert m.sum() == 30 * 41 and len(reads) <= 4  # the first, one a round, and one after a round taken back
 
 
+def test_rounds_read_links_in_small_rows_and_not_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "HELD_PAIRS", 300)
+    monkeypatch.setattr(class_lm, "HELD_LINKS", 50)
+    monkeypatch.setattr(class_lm, "ROW_BYTES", 320)
+    reads, at_pieces = [], class_lm._at_pieces
+    monkeypatch.setattr(class_lm, "_at_pieces", lambda *tables: reads.append(1) or at_pieces(*tables))
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("the dog cat sees a big old sees".split()) for _ in range(40)) for _ in range(30)] + ["", None, "x x x x"]
+    train = documents(spark, list(enumerate(texts)))
+    cut = class_lm.stored(class_lm.pieces(train, 2), "pieces")
+    own = class_lm.stored(class_lm.owners(class_lm.word_counts(train), 2), "parts")
+    links = class_lm.linked(class_lm.stored(class_lm.asks(own, cut), "asks"), cut).where("kind = 1").collect()
+    found, ends = Counter(), 0
+    for r in links:
+        if r.part == class_lm.TOTALS:
+            ends += r.n
+            continue
+        _, way, near, n = class_lm._links(r.body)
+        assert len(n) <= 20
+        for w, x, m in zip(way.tolist(), near.tolist(), n.tolist()):
+            found[w, x > 0] += m
+    pairs = [p for t in texts for x in [[b"", *class_lm.tokens(t)]] for p in zip(x, x[1:])]
+    assert ends == sum(a == b == b"" for a, b in pairs) == 2
+    wanted = Counter((0, b != b"") for a, b in pairs if a) + Counter((1, a != b"") for a, b in pairs if b) + Counter((2, False) for a, b in pairs if a == b != b"")
+    assert found == wanted
+    reads.clear()
+    monkeypatch.setattr(class_lm, "ROUNDS", 5)
+    assert class_lm.score(train).count() == len(texts)
+    assert len(reads) <= 2  # for the links, and for the scores
+
+
 def test_gains_by_shared_steps_equal_those_without(monkeypatch):
     rng, k = np.random.default_rng(3), class_lm.CLASSES + 1
     m, own = rng.integers(500, 900, (k, k)).astype(float), rng.integers(1, k, 40)
