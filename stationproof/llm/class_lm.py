@@ -11,7 +11,7 @@ ask the parts for their words' places, and hand every part the bigrams that its
 (`linked`): a round reads these and not the corpus. In a round each part sends the others the classes of the neighbours that they
 listed once; with them a part counts neighbours by class and the class bigrams, and its words move when these have been added
 up. A round reads its links once, or twice after a round that was taken back. Rows are packed arrays, and a task reads them in
-order: one chunk of links, or one piece, at a time.
+order: one chunk of links, or one piece, at a time. Stored tables are deleted when nothing reads them any more.
 
 score = sum of log10 P(class | class before) + log10 P(word | class), with P(word | class) = (c + 1) / (N_class + V_class + 1)
 and transitions smoothed by `SMOOTH`. Only counts per class (and group) pass through the driver, whatever the corpus. Counts
@@ -36,7 +36,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationproof.llm.common import BATCH_ROWS, blank_words, stored
+from stationproof.llm.common import BATCH_ROWS, blank_words, freed, stored, stored_in_turn
 
 GROUPS, CLASSES, ROUNDS, SMOOTH = 128, 64, 8, 0.1
 PART = 50_000
@@ -53,6 +53,8 @@ HELD_WORDS, HELD_PAIRS = 200_000, 500_000
 HELD_LINKS = 400_000
 #: Bytes of packed rows that a task holds in one batch, beside the row at hand; and of one row, so that it fits a region of the JVM's heap.
 HELD_BYTES, ROW_BYTES = 2 << 20, 384 << 10
+#: Turns in which the parts add up their links, so that the disk holds the shuffle of one turn beside the bigrams not yet added up.
+TURNS = 3
 #: Cells of counts that a task adds up at once.
 HELD_CELLS = 4_000_000
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -96,9 +98,9 @@ def _large(body: bytes) -> bytes:
 
 
 def numbered(texts: DataFrame) -> DataFrame:
-    """The corpus as pieces: block, part (-1, -2, … for a piece's rows in turn), words (in the order of their numbers from 1 on; 0 is
-    the end) and how often each number occurs in training texts (n), both in the first row, and the texts as numbers in rows of
-    `ROW_BYTES` (body, see `_texts`). Without a column held_out all texts are for training."""
+    """The corpus as pieces: block, part (0, and -1, -2, … for the rows of a piece's texts in turn), words (in the order of their
+    numbers from 1 on; 0 is the end) and how often each number occurs in training texts (n), both in row 0, and the texts as
+    numbers in rows of `ROW_BYTES` (body, see `_texts`). Without a column held_out all texts are for training."""
     out_of = F.col("held_out") if "held_out" in texts.columns else F.lit(False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +113,9 @@ def numbered(texts: DataFrame) -> DataFrame:
             null = np.array([i is None for i in doc_ids], bool)
             body = len(runs).to_bytes(8, "little") + null.tobytes() + away.tobytes() + _flat(ids) + _flat(sizes) + _flat(seq)
             body = _small(body)
+            yield _row("block part words n body", [block], [0], [_small(b"\n".join(list(numbers)[1:]))], [_small(_flat(n))], [None])
             for i, lo in enumerate(range(0, len(body), ROW_BYTES)):
-                first = [None, None] if i else [_small(b"\n".join(list(numbers)[1:])), _small(_flat(n))]
-                yield _row("block part words n body", [block], [NONE - i], *[[x] for x in first], [body[lo : lo + ROW_BYTES]])
+                yield _row("block part words n body", [block], [NONE - i], [None], [None], [body[lo : lo + ROW_BYTES]])
 
         numbers, runs, doc_ids, held_outs, held = defaultdict(count().__next__, {}), [], [], [], 0
         numbers[END]
@@ -153,7 +155,7 @@ def _counted(whole: DataFrame) -> DataFrame:
             has = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([words.take(pa.array(has)), pa.array(n[has])], names=["word", "n"])
 
-    return whole.where("part = -1").select("words", "n").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return whole.where("part = 0").select("words", "n").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -203,7 +205,7 @@ def _lists(whole: DataFrame, parts: int) -> DataFrame:
         for block, words in _rows(batches):
             yield _asked(block, words, parts)
 
-    return whole.where("part = -1").select("block", "words").mapInArrow(run, "block long, part int, body binary")
+    return whole.where("part = 0").select("block", "words").mapInArrow(run, "block long, part int, body binary")
 
 
 def pieces(texts: DataFrame, parts: int) -> DataFrame:
@@ -211,9 +213,7 @@ def pieces(texts: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, part, words, body in _rows(batches):
-            if part == NONE:
-                yield _asked(block, words, parts)
-            yield _row("block part body", [block], [part], [body])
+            yield _asked(block, words, parts) if part == 0 else _row("block part body", [block], [part], [body])
 
     return numbered(texts).select("block", "part", "words", "body").mapInArrow(run, "block long, part int, body binary")
 
@@ -353,7 +353,7 @@ def _added(held: list) -> list:
     bits = [int(x.max()).bit_length() for x in (own, of, place)]
     if sum(bits) < 63:
         code = (own.astype(np.int64) << (bits[1] + bits[2])) + (of << bits[2]) + place
-        order = np.argsort(code)
+        order = np.argsort(code, kind="stable")  # fast on the sorted rows of several pieces
         code = code[order]
         first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
         order, sums = order[first], np.add.reduceat(n[order], first)
@@ -366,7 +366,10 @@ def _added(held: list) -> list:
 
 def linked(asked: DataFrame, cut: DataFrame) -> DataFrame:
     """The training corpus by words: kind, part, block, body, n. Kind 0 lists places of a part whose classes another part (block)
-    wants; kind 1 are links of a part, in chunks: place and way, number of the neighbour in the part's lists, count."""
+    wants; kind 1 are links of a part, in chunks: place and way, number of the neighbour in the part's lists, count.
+
+    The bigrams are written before they are dealt out to the parts, and are deleted turn by turn: so the shuffle to the pieces, that
+    to the parts and the links are never on the disk at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in groupby(_rows(batches), lambda r: r[0]):
@@ -393,13 +396,21 @@ def linked(asked: DataFrame, cut: DataFrame) -> DataFrame:
                 to = slice(lo, lo + ROW_BYTES // 16)
                 yield _row("kind part block body n", [1], [part], [i], [_packed(own[to], number[to], n[to] & 0xFFFFFFFF, n[to] >> 32)], [0])
 
-    return _bigrams(asked, cut).repartition("part").sortWithinPartitions("part", "block").mapInArrow(run, f"kind int, {SURVEY}")
+    def in_turn() -> Iterator[DataFrame]:
+        found = stored(_bigrams(asked, cut).withColumn("turn", F.pmod("part", F.lit(TURNS))), "bigrams", "turn")
+        for turn in range(TURNS):
+            _swept(cut)
+            yield found.where(F.col("turn") == turn).drop("turn").repartition("part").sortWithinPartitions("part", "block").mapInArrow(run, f"kind int, {SURVEY}")
+            freed(found, f"turn={turn}")
+
+    return stored_in_turn(in_turn(), "links", "kind")
 
 
 def _links(body: bytes) -> tuple:
     """Places, ways, numbers of neighbours, counts."""
     own, near, n, high = _unpacked(body, 4)
-    return own // 3, own % 3, near, (n & 0xFFFFFFFF) + (high << 32)
+    place = own // 3
+    return place, own - 3 * place, near, (n & 0xFFFFFFFF) + (high << 32)
 
 
 def _total_rows(total: np.ndarray) -> pa.RecordBatch:
@@ -448,7 +459,7 @@ def surveyed(state: DataFrame, links: DataFrame, turn: int) -> DataFrame:
                 yield _row("part block body", [other], [part], [classes[_unpacked(body, 1)[0]].tobytes()])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k * k, np.int64)
+        total = np.zeros((k, k), np.int64)
         for part, rows in groupby(_rows(batches), lambda r: r[0]):
             classes, heard, of = np.zeros(0, np.uint8), [np.zeros(1, np.uint8)], None  # the end has class 0
             for _, kind, block, body in rows:
@@ -465,17 +476,19 @@ def surveyed(state: DataFrame, links: DataFrame, turn: int) -> DataFrame:
                 of = np.concatenate(heard).astype(np.int64) if of is None else of
                 own, way, near, n = _links(body)
                 a, b = classes[own].astype(np.int64), of[near]
-                x, y = way == 0, (way == 1) & (near == 0)  # bigrams before the end's word are those of no part's word
-                total += np.bincount(a[x] * k + b[x], n[x], k * k).astype(np.int64) + np.bincount(a[y], n[y], k * k).astype(np.int64)
+                column = way * k + b
+                cells = np.bincount(column * k + a, n, 3 * k * k).astype(np.int64).reshape(3, k, k)
+                total += cells[0].T
+                total[0] += cells[1, 0]  # bigrams that begin with the end, which alone has class 0, are those of no part's word
                 at = number[own]
                 x = at >= 0
                 if not x.any():
                     continue
                 first = at[x].min()
-                for w, column, sums in _near(at[x] - first, way[x] * k + b[x], n[x], int(at[x].max() - first) + 1):
-                    body = sums.tobytes() + word[first + w].astype(np.int32).tobytes() + column.astype(np.uint8).tobytes()
+                for w, near, sums in _near(at[x] - first, column[x], n[x], int(at[x].max() - first) + 1):
+                    body = sums.tobytes() + word[first + w].astype(np.int32).tobytes() + near.astype(np.uint8).tobytes()
                     yield _row("part block body n", [part], [block], [body], [0])
-        yield _total_rows(total)
+        yield _total_rows(total.ravel())
 
     sent = _by_part(state, links.where("kind = 0")).mapInArrow(send, "part int, block long, body binary")
     mine = state.select("part", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("block"), "body")
@@ -590,7 +603,7 @@ def exchange(own: DataFrame, cut: DataFrame, parts: int, asked: DataFrame | None
             yield _row("part body", [part], [((rank * parts + part) % CLASSES + 1).astype(np.uint8).tobytes()])
 
     state = stored(own.select("part", "c").mapInArrow(begin, "part int, body binary"), "classes")
-    links = stored(linked(stored(asks(own, cut), "asks") if asked is None else asked, cut), "links", "kind")
+    links = linked(stored(asks(own, cut), "asks") if asked is None else asked, cut)
     _swept(own)
     ends = sum(r.n for r in links.where(f"kind = 1 and part = {TOTALS}").select("n").collect())  # one row at most
     tasks = max(min(parts, 12), parts // 3)
@@ -614,6 +627,7 @@ def exchange(own: DataFrame, cut: DataFrame, parts: int, asked: DataFrame | None
             counted = survey(state, turn + 1)[1]
         _swept(own)
     counted.unpersist()
+    freed(links)
     return state, m
 
 
@@ -664,18 +678,20 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def _scored(rows: DataFrame) -> DataFrame:
-    whole = stored(numbered(rows), "pieces")
-    cut = whole.select("block", "part", "body")
-    counts = stored(_counted(whole), "words")
+    whole = stored(numbered(rows).withColumn("texts", F.col("part") < 0), "pieces", "texts")
+    cut = whole.where("texts").select("block", "part", "body")
+    counts = stored(_counted(whole.where("not texts")), "words")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
     total, types = int(sums.n), int(sums.v)
     parts = max(1, -(-types // PART))
+    ends = sum(r.c for r in counts.where(F.length("word") == 0).collect())  # at most one row
     own = stored(owners(counts, parts), "parts")
+    freed(counts)
     _swept(own)
-    asked = stored(asks(own, _lists(whole, parts)), "asks")
+    asked = stored(asks(own, _lists(whole.where("not texts"), parts)), "asks")
+    freed(whole, "texts=false")
     _swept(own)
     state, m = exchange(own, cut, parts, asked)
-    ends = sum(r.c for r in counts.where(F.length("word") == 0).collect())  # at most one row
     frequency, kinds = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     frequency[0], kinds[0] = ends, ends > 0
     in_group = np.zeros((GROUPS, CLASSES + 1))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +31,27 @@ def blank_words(text: str | None) -> list[bytes]:
 
 def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write a table to the session's shared folder, in folders of `by`, and read it back: cuts the lineage and keeps column pruning."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=list(by) or None)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_in_turn([df], name, *by)
+
+
+def stored_in_turn(tables: Iterable[DataFrame], name: str, *by: str) -> DataFrame:
+    """`stored` of one or more tables of one schema as one; the next is asked for when the one before is written."""
+    path = f"tables/{name}-{uuid.uuid4().hex}"
+    for df in tables:
+        spark, schema = df.sparkSession, df.schema
+        df.write.mode("append").parquet(f"{checkpoint_dir(spark)}/{path}", partitionBy=list(by) or None)
+        del df  # or its shuffles would stay on the disk
+    return spark.read.schema(schema).parquet(f"{checkpoint_dir(spark)}/{path}")
+
+
+def freed(df: DataFrame, folder: str = "") -> None:
+    """Delete the files of a `stored` table, or of its folder `column=value`, once nothing reads them any more."""
+    jvm = df.sparkSession._jvm
+    conf = df.sparkSession._jsc.hadoopConfiguration()
+    for place in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if place.endswith(f"/{folder}" if folder else ""):
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(place))
+            path.getFileSystem(conf).delete(path, True)
 
 
 def fields(ddl: str) -> list[StructField]:

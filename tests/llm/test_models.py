@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -11,6 +12,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from stationproof.functions.state import checkpoint_dir
 from stationproof.llm import class_lm, near_dedup, neighbours, pieces, quality, secrets
 from stationproof.llm.common import documents as table
 from tests.compare import compare, connect
@@ -105,6 +107,23 @@ def test_rounds_read_links_in_small_rows_and_not_the_corpus(spark, monkeypatch):
     assert len(reads) <= 2  # for the links, and for the scores
 
 
+def test_tables_leave_the_disk_when_nothing_reads_them(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "HELD_PAIRS", 300)
+    monkeypatch.setattr(class_lm, "PART", 2)
+    monkeypatch.setattr(class_lm, "ROUNDS", 2)
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("the dog cat sees a big old sees".split()) for _ in range(40)) for _ in range(30)]
+    folder = checkpoint_dir(spark)
+    tables = lambda: {p for p in Path(folder.removeprefix("file:")).glob("tables/*/**/*.parquet")}
+    before, at_moves, moved = tables(), [], class_lm.moved
+    monkeypatch.setattr(class_lm, "moved", lambda *a: at_moves.append(tables() - before) or moved(*a))
+    scores = class_lm.score(documents(spark, list(enumerate(texts))))
+    kinds = lambda files: {p.relative_to(folder.removeprefix("file:")).parts[1].split("-")[0] + "".join(f"/{x}" for x in p.parts if "=" in x) for p in files}
+    assert kinds(at_moves[0]) == {"pieces/texts=true", "parts", "asks", "classes", "links/kind=0", "links/kind=1"}  # no words, no bigrams
+    assert not any(k.startswith("links") for k in kinds(tables() - before))
+    assert scores.count() == len(texts)
+
+
 def test_gains_by_shared_steps_equal_those_without(monkeypatch):
     rng, k = np.random.default_rng(3), class_lm.CLASSES + 1
     m, own = rng.integers(500, 900, (k, k)).astype(float), rng.integers(1, k, 40)
